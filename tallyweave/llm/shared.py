@@ -1,0 +1,27 @@
+"""Tables written between steps into the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the cluster names no folder (tests on one machine).
+FALLBACK = "/tmp/tallyweave-checkpoints"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (folder or f"file://{FALLBACK}").rstrip("/")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows of df, written once as Parquet and read again: cuts the lineage, and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/tallyweave/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def renamed_apart(df: DataFrame, *wanted: str) -> DataFrame:
+    """Only the wanted columns, so that columns of other names in the input never clash with working columns."""
+    return df.select(*wanted)
