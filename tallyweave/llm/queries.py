@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import bpe, minhash, packing
+from tallyweave.llm import bpe, minhash, packing, substring
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.remove_repeats(table(spark, sf_dir, "documents"), 50))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BPE_50K, 1024, 2)
 
