@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, minhash, packing, substring
+from tallyweave.llm import bpe, chat, fingerprint, minhash, packing, quality, secrets, substring
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_digests(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = r"\### Assistant: </turn> ok"
+    probe = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role").withColumn("text", F.lit(says))
+    return chat.digests(turns.unionByName(probe))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.remove_repeats(table(spark, sf_dir, "documents"), 50))
 
@@ -28,13 +40,60 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=0.8)
 
 
+def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE_50K)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_formatting": CHAT_SQL, "op7_quality_ledger": QUALITY_SQL}
+
+
+#: The formatted length: 4 for the opening, 2 for ": ", 8 for the closing, and one more for each escaped character.
+CHAT_SQL = r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized as (
+  select *, length(text) + length(text) - length(translate(text, '\#<', '')) + length(role) + length(role) - length(translate(role, '\#<:', '')) + 14 as chars from said
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars
+from sized group by conv_id
+"""
+
+QUALITY_SQL = r"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+cut as (
+  select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), x -> x <> '') as words,
+    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ \t\n\v\f\r]')) as lines,
+    length(regexp_replace(text, '[ \t\n\v\f\r]+', '', 'g')) as word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols,
+    len(regexp_extract_all(text, '(?i)\b(?:clown|disgusting|idiot|loser|moron|pathetic|scum|stupid|trash|worthless)\b')) as n_insults
+  from texts),
+windows as (select doc_id, unnest(generate_series(1, len(words) - 7)) as pos, words from cut),
+hashed as (select doc_id, pos, array_to_string(list_slice(words, pos, pos + 7), ' ') as w from windows),
+twice as (select doc_id, pos from (select *, count(*) over (partition by doc_id, w) as n from hashed) where n > 1),
+covered as (select doc_id, sum(least(8, coalesce(following - pos, 8))) as n_repeat_words from (select *, lead(pos) over (partition by doc_id order by pos) as following from twice) group by doc_id),
+facts as (
+  select c.doc_id, cast(len(words) as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(len(lines) as bigint) as n_lines,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, cast(n_insults as bigint) as n_insults
+  from cut c left join covered using (doc_id)),
+bits as (
+  select *, cast((n_words < 20)::int + 2 * (100 * n_repeat_words > 30 * n_words)::int + 4 * (10 * n_symbols > n_words)::int + 8 * (n_lines > 3 and 100 * n_dup_lines > 30 * n_lines)::int
+    + 16 * (n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words))::int + 32 * (n_insults >= 2 or 100 * n_insults > n_words)::int as bigint) as failed_bits from facts)
+select *, (failed_bits & 3) <> 0 as base_failed, failed_bits = 0 as kept, 'default-1' as policy from bits
+"""
