@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, chat, fingerprint, minhash, packing, quality, secrets, substring
+from tallyweave.llm import bpe, chat, fingerprint, langid, minhash, packing, quality, secrets, substring, warc
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -36,6 +36,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BPE_50K, 1024, 2)
 
 
+def op5_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=0.8)
 
@@ -52,12 +56,16 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL, "op7_quality_ledger": QUALITY_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op3_substring_dedup": REPEATS_SQL, "op5_warc_packages": WARC_SQL, "op6_minhash_near_dedup": NEAR_SQL, "op7_quality_ledger": QUALITY_SQL}
 
 
 #: The formatted length: 4 for the opening, 2 for ": ", 8 for the closing, and one more for each escaped character.
@@ -79,8 +87,8 @@ from sized group by conv_id
 QUALITY_SQL = r"""
 with texts as (select doc_id, coalesce(text, '') as text from documents),
 cut as (
-  select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), x -> x <> '') as words,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ \t\n\v\f\r]')) as lines,
+  select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') as words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) as lines,
     length(regexp_replace(text, '[ \t\n\v\f\r]+', '', 'g')) as word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols,
     len(regexp_extract_all(text, '(?i)\b(?:clown|disgusting|idiot|loser|moron|pathetic|scum|stupid|trash|worthless)\b')) as n_insults
   from texts),
@@ -97,3 +105,39 @@ bits as (
     + 16 * (n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words))::int + 32 * (n_insults >= 2 or 100 * n_insults > n_words)::int as bigint) as failed_bits from facts)
 select *, (failed_bits & 3) <> 0 as base_failed, failed_bits = 0 as kept, 'default-1' as policy from bits
 """
+
+REPEATS_SQL = r"""
+with cut as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') as words from documents),
+windows as (select doc_id, pos, array_to_string(list_slice(words, pos, pos + 49), ' ') as w from (select doc_id, words, unnest(generate_series(1, len(words) - 49)) as pos from cut)),
+later as (select doc_id, pos from (select doc_id, pos, min(doc_id) over (partition by w) as first from windows) where first < doc_id),
+gone as (select distinct doc_id, unnest(generate_series(pos, pos + 49)) as pos from later),
+kept as (
+  select c.doc_id, c.pos, c.word from (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from cut) c
+  left join gone g on c.doc_id = g.doc_id and c.pos = g.pos where g.pos is null),
+texts as (select doc_id, count(*) as n, string_agg(word, ' ' order by pos) as kept from kept group by doc_id)
+select c.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from cut c left join texts using (doc_id)
+"""
+
+WARC_SQL = """
+with p as (select page_id, sha1(coalesce(html, '')) as digest, cast(strlen(coalesce(html, '')) as bigint) as n from pages),
+q as (select *, max(page_id) over (partition by digest, n) as last from p)
+select page_id, n as payload_bytes, digest as payload_digest, case when n >= 1000 and page_id < last then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id < last then last end as refers_to
+from q
+"""
+
+NEAR_SQL = r"""
+with recursive cut as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') as words from documents),
+shingles as (
+  select distinct doc_id, array_to_string(list_slice(words, pos, pos + 3), ' ') as s
+  from (select doc_id, words, unnest(generate_series(1, greatest(len(words) - 3, 1))) as pos from cut where len(words) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from pairs p join sizes x on x.doc_id = p.a join sizes y on y.doc_id = p.b where 100 * p.n >= 80 * (x.n + y.n - p.n)),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least_ as (select a as doc_id, min(b) as b from reach group by a)
+select c.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, least(c.doc_id, coalesce(b, c.doc_id)) as component_id, least(c.doc_id, coalesce(b, c.doc_id)) = c.doc_id as kept
+from cut c left join sizes using (doc_id) left join least_ using (doc_id)
+"""
