@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tallyweave.llm.bpe import LETTER, _classes
 from tallyweave.llm.textnp import chunks, mix
@@ -146,23 +147,25 @@ def training_sample(docs: DataFrame, usable=None) -> list[tuple[str, str]]:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row."""
+    """(row, lang_pred, score) for each row; row is a struct of all its columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows for each language, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
+            row = b.column(0)
             names = np.full(b.num_rows, "und", object)
             scores = np.zeros(b.num_rows)
-            for i, j, data, offsets in chunks(b.column(1)) if m else ():
+            for i, j, data, offsets in chunks(row.field(row.type.get_field_index("text"))) if m else ():
                 logits, letters = m.logits(data, offsets)
                 p = softmax(logits / m.temperature)
                 best = p.argmax(1)
                 names[i:j] = np.where(letters, np.array(m.languages, object)[best], "und")
                 scores[i:j] = np.where(letters, p[np.arange(j - i), best], 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(names, pa.string()), pa.array(scores)], names=["row", "lang_pred", "score"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(doc_id):
@@ -170,6 +173,6 @@ def held_out(doc_id):
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): learns from documents that are not held out, predicts all."""
+    """(row, held_out, lang_pred, score): learns from documents that are not held out, predicts all."""
     rows = training_sample(docs, ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    return predict(docs, fit(rows) if rows else None).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(docs, fit(rows) if rows else None).select("row", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")

@@ -29,7 +29,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.digests(substring.remove_repeats(table(spark, sf_dir, "documents"), 50))
+    return substring.digests(substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 50))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "held_out", "lang_pred", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

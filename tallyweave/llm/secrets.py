@@ -20,6 +20,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -155,16 +157,19 @@ LONG_HEX = re.compile(rb"[0-9a-f]{32}")
 
 
 def find_secrets(docs: DataFrame, least_cost: float = 8.0) -> DataFrame:
-    """(doc_id, spans array<struct<kind,start,end>>, text with each span replaced by <kind>, n_...) for each row."""
+    """(row, spans, redacted) for each row; row is a struct of all its columns, redacted has <kind> for each span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
+            row = b.column(0)
+            texts = row.field(row.type.get_field_index("text")).to_pylist()
             spans = [scan(t, t.encode(), least_cost) if t else [] for t in texts]
-            rows = [[{"kind": k, "start": s, "end": e} for s, k, e in x] for x in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, SPANS), pa.array([redacted(t, x) if x else t for t, x in zip(texts, spans)], pa.string())], names=["doc_id", "spans", "redacted"])
+            listed = [[{"kind": k, "start": s, "end": e} for s, k, e in x] for x in spans]
+            yield pa.RecordBatch.from_arrays([row, pa.array(listed, SPANS), pa.array([redacted(t, x) if x else t for t, x in zip(texts, spans)], pa.string())], names=["row", "spans", "redacted"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int>>, redacted string")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    span = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("spans", ArrayType(span)), StructField("redacted", StringType())]))
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

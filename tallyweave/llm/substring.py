@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyweave.llm.minhash import grouped_rows
 from tallyweave.llm.shared import written
@@ -199,12 +200,12 @@ def matched(found: DataFrame, window: int) -> DataFrame:
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): kept is the words outside the spans, joined by one blank."""
+    """(row, n_words, n_removed, kept) of rows (doc_id, tag, row); kept is the words outside the spans, joined by one blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(2).to_pylist()
-            for i, j, data, offsets in chunks(b.column(1)):
+            row, lists = b.column(0), b.column(1).to_pylist()
+            for i, j, data, offsets in chunks(row.field(row.type.get_field_index("text"))):
                 starts, ends, first = words(data, offsets)
                 cover = np.zeros(len(starts) + 1, np.int64)
                 for r in range(i, j):
@@ -214,18 +215,20 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
                         np.add.at(cover, [base + x["e"] for x in lists[r]], -1)
                 keep = np.cumsum(cover[:-1]) == 0
                 count = np.concatenate([[0], np.cumsum(keep)])
-                s, size = starts[keep], (ends - starts)[keep]
-                at = np.concatenate([[0], np.cumsum(size + 1)])
+                size = (ends - starts)[keep]
+                at, dense = np.concatenate([[0], np.cumsum(size + 1)]), np.cumsum(size) - size
                 flat = np.full(at[-1], 0x20, np.uint8)
-                flat[np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())] = data[np.repeat(s - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())]
+                each = np.arange(size.sum())
+                flat[np.repeat(at[:-1] - dense, size) + each] = data[np.repeat(starts[keep] - dense, size) + each]
                 raw = flat.tobytes()
                 lows, highs = at[count[first[:-1]]].tolist(), at[count[first[1:]]].tolist()
                 kept = [raw[x : max(x, y - 1)].decode() for x, y in zip(lows, highs)]
                 n, left = np.diff(first), np.diff(count[first])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(n - left, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([row.slice(i, j - i), pa.array(n, pa.int64()), pa.array(n - left, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept"])
 
     by_doc = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return docs.join(by_doc, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    kind = StructType([docs.schema["row"], *(StructField(c, t) for c, t in (("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType())))])
+    return docs.join(by_doc, ["doc_id", "tag"], "left").select("row", "spans").mapInArrow(run, kind)
 
 
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
@@ -247,9 +250,10 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for each row of docs."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.xxhash64(docs["text"]), F.lit(0)).alias("tag"), docs["text"])
-    return without(rows, repeated_spans(rows, window))
+    """(row, n_words, n_removed, kept) for each row of docs; row is a struct of all its columns."""
+    key = [docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("tag")]
+    spans = repeated_spans(docs.select(*key, docs["text"]), window)
+    return without(docs.select(*key, F.struct(*[docs[c] for c in docs.columns]).alias("row")), spans)
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 50) -> DataFrame:
@@ -281,4 +285,4 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 50) ->
 
 
 def digests(removed: DataFrame) -> DataFrame:
-    return removed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return removed.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
