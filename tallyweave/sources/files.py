@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -54,8 +55,6 @@ def embedded(chunks: DataFrame, encode, dimensions_type: str = "array<float>", m
     """chunks with `embedding` from encode(list of texts) -> list of vectors; longer texts are cut with a marker.
 
     A batch that fails leaves nulls in its own rows, so vectors and chunks never shift against each other."""
-    import pandas as pd
-
     @F.pandas_udf(dimensions_type)
     def vectors(texts: pd.Series) -> pd.Series:
         out: list = []
