@@ -29,6 +29,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 characters at least: a shorter r
 HEX = re.compile(r"[0-9a-f]{32,}")
 VALUE = 128
 CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|credentials?|login|auth)["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}["']?([!-~]{6,128})""", re.I | re.A)
+#: Characters that end a sentence or a quotation rather than a value.
+TRAILING = ",;.:)]}>'\""
 #: Bytes of lower-cased text without which a pattern cannot match.
 ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CONTEXT_HINTS = (b"pass", b"pwd", b"pin", b"secret", b"token", b"api", b"credential", b"login", b"auth")
@@ -147,8 +149,9 @@ def scan(text: str, raw: bytes, least_cost: float) -> list[tuple[int, str, int]]
     if any(h in low for h in CONTEXT_HINTS) and (b":" in raw or b"=" in raw or b" is " in low):
         base = sorted(found)
         for m in CONTEXT.finditer(text):
-            s, e = m.span(1)
-            if not any(a < e and s < b for a, _, b in base) and guess_cost(m[1])[0] >= least_cost:
+            value = m[1].rstrip(TRAILING)
+            s, e = m.start(1), m.start(1) + len(value)
+            if len(value) >= 6 and not any(a < e and s < b for a, _, b in base) and guess_cost(value)[0] >= least_cost:
                 found.append((s, 3, e))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
