@@ -8,21 +8,33 @@ from pyspark.sql import functions as F
 from tallyweave.llm.shared import written
 
 
+def _smaller_ends(edges: DataFrame) -> DataFrame:
+    """Distinct edges (a, b) with a > b."""
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for all nodes of edges (a, b): label is the smallest node of the component.
 
-    Each round takes the smallest label among a node and its neighbours, then the label of that label. Labels
-    are unique by node, so the joins on them never multiply a hot node's edges; the minimum is combined before
-    the shuffle. Rounds are written to the shared folder. Null nodes and self loops count for nothing.
+    Each round points every node to the smallest end among its edges, then to what that one points to, and
+    contracts the edges to the nodes pointed to; those that join a node with itself go, so the edges shrink from
+    round to round. The pointers of all rounds, one after the other, lead a node to its label. A node has one
+    pointer a round, so no join multiplies a hot node's edges, and the minimum is combined before the shuffle.
+    Rounds are written to the shared folder. Null nodes and self loops count for nothing.
     """
-    edges = edges.where("a <> b").select("a", "b")
-    both = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    left = written(_smaller_ends(edges), "edges")
+    nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rounds: list[DataFrame] = []
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
-        own = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
-        step = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = written(own.join(step, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
-        if new.where("old <> label").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        up = left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
+        after = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        rounds.append(written(up.join(after, "up", "left").select("node", F.coalesce("next", "up").alias("up")), "pointers"))
+        to = rounds[-1]
+        ends = left.join(to.select(F.col("node").alias("a"), F.col("up").alias("to_a")), "a").join(to.select(F.col("node").alias("b"), F.col("up").alias("to_b")), "b", "left")
+        left = written(_smaller_ends(ends.select(F.col("to_a").alias("a"), F.coalesce("to_b", "b").alias("b"))), "edges")
+        if left.isEmpty():
+            break
+    labels = nodes.withColumn("label", F.col("node"))
+    for to in rounds:
+        labels = labels.join(to.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+    return written(labels, "labels")

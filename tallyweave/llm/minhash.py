@@ -5,11 +5,11 @@
    hashing. 32 bands of 4 values (two minima, two maxima) miss a pair of similarity 0.8 once in 20 million.
 2. Documents of equal shingle sets fold into one node (their smallest doc_id), by a combinable aggregate.
 3. Nodes that share a band meet in that band's bucket; buckets of over `BLOCK` nodes are split into pairs of
-   blocks. Signatures are compared there, and only a spanning forest of the pairs whose estimate is within
-   five standard errors of the threshold leaves the bucket: at most one edge a row, never all pairs.
+   blocks. Signatures are compared there, and only the trees of the pairs whose estimate is within
+   five standard errors of the threshold leave the bucket, as a star each: one edge a row, never all pairs.
 4. The components of these edges are small clusters that hold every link. In each cluster all pairs are decided
    on full shingle sets, again block against block: an inverted index over one block's shingles gives the
-   intersections of a document with the whole block at once. A spanning forest of the true links leaves.
+   intersections of a document with the whole block at once. Stars over the trees of true links leave.
 5. Components of the links, and back to all documents.
 
 Every table that grows with the corpus stays distributed; blocks bound what one task holds.
@@ -107,23 +107,26 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
 
 
-class Forest:
-    """Union-find over the rows of one block; `union` tells whether the edge joined two trees."""
+class Trees:
+    """Which rows of one block hang together: a tree number for each row."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.of = np.arange(n)
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
+    def join(self, row: int, others: np.ndarray) -> None:
+        found = np.unique(self.of[others])
+        found = found[found != self.of[row]]
+        if len(found):
+            found = np.append(found, self.of[row])
+            self.of[np.isin(self.of, found)] = found.min()
 
-    def union(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+    def stars(self, ids: list[int]) -> list[tuple[int, int]]:
+        """An edge from each row that has not the smallest id of its tree to that id."""
+        least: dict[int, int] = {}
+        trees = self.of.tolist()
+        for i, t in zip(ids, trees):
+            least[t] = min(i, least.get(t, i))
+        return [(i, least[t]) for i, t in zip(ids, trees) if i != least[t]]
 
 
 def grouped_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -148,7 +151,7 @@ def block_pairs(nodes: DataFrame, size: str, per_block: str) -> DataFrame:
 
 
 def likely_edges(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b): in each bucket, a spanning forest of the pairs whose estimate comes near the threshold."""
+    """Edges (a, b): in each bucket, stars over the trees of the pairs whose estimate comes near the threshold."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     common = written(rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "members"), "buckets")
     met = rows.join(common, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "members")).alias("met"))  # at most BANDS for each node
@@ -168,22 +171,22 @@ def likely_edges(nodes: DataFrame, threshold: float) -> DataFrame:
                 continue
             sig = [np.frombuffer(b"".join(r[6] for r in s), np.uint8).reshape(len(s), values) for s in (left, right)]
             size = [np.array([r[5] for r in s], float) for s in (left, right)]
-            forest, out = Forest(len(ids)), []
+            trees = Trees(len(ids))
             shift = 0 if same else len(left)
             for k in range(len(left)):
                 near = (sig[1] == sig[0][k]).sum(1) >= agree
                 near &= (size[1] >= threshold * size[0][k]) & (size[0][k] >= threshold * size[1])
                 if same:
                     near[: k + 1] = False
-                out += [(ids[k], ids[m + shift]) for m in np.flatnonzero(near).tolist() if forest.union(k, m + shift)]
-            if out:
+                trees.join(k, np.flatnonzero(near) + shift)
+            if out := trees.stars(ids):
                 yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in out], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
     return dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(run, "a long, b long").distinct()
 
 
 def true_links(docs: DataFrame, clusters: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Edges (a, b): in each cluster, a spanning forest of the pairs whose full sets are similar enough.
+    """Edges (a, b): in each cluster, stars over the trees of the pairs whose full sets are similar enough.
 
     clusters: (node, label, members). A block takes about 2 * sqrt(members) documents, 64 at least."""
     texts = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"]).join(clusters, "node")
@@ -212,7 +215,7 @@ def true_links(docs: DataFrame, clusters: DataFrame, width: int, threshold: floa
             order = np.argsort(flat, kind="stable")
             universe, head = np.unique(flat[order], return_index=True)
             owner, head = owner[order], np.append(head, len(flat))
-            forest, out = Forest(len(ids)), []
+            trees = Trees(len(ids))
             shift = 0 if same else len(left)
             for m, s in enumerate(held if same else sets([r[5] for r in right])):
                 k = np.minimum(np.searchsorted(universe, s), max(len(universe) - 1, 0))
@@ -221,8 +224,8 @@ def true_links(docs: DataFrame, clusters: DataFrame, width: int, threshold: floa
                 both = np.bincount(owner[np.repeat(head[k] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(held))
                 ok = 100 * both >= part * (size + len(s) - both)
                 ok &= both > 0
-                out += [(ids[x], ids[m + shift]) for x in np.flatnonzero(ok).tolist() if forest.union(x, m + shift)]
-            if out:
+                trees.join(m + shift, np.flatnonzero(ok))
+            if out := trees.stars(ids):
                 yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in out], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
     return dealt.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "side").mapInArrow(run, "a long, b long").distinct()
