@@ -16,12 +16,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows of df, written once as Parquet and read again: cuts the lineage, and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/tallyweave/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    """The rows of df, written once as Parquet and read again: cuts the lineage, and survives lost executors.
 
-def renamed_apart(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the wanted columns, so that columns of other names in the input never clash with working columns."""
-    return df.select(*wanted)
+    The table goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tallyweave/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
