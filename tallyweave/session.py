@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +22,14 @@ def session(app: str = "tallyweave", master: str | None = None, **more: str) ->
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """spark, whose Python workers on this machine can import this package, whatever folder the driver started in.
+
+    On a cluster the package is shipped as any other (--py-files, or installed)."""
+    root, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+    return spark
