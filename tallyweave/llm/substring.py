@@ -11,8 +11,10 @@ into shards by content, and the documents' passages are dealt to the shards that
 3. A shard's automaton is built over its passages in ascending doc_id, each state keeping the first document
    that holds its strings; the passages then stream through it. The matching statistic at a word, cut to
    `window`, names the state and so the first document of that window; windows with a smaller one are removable.
-4. A shard of over SHARD passages (a passage that a third of all documents share has that many contexts) is not
-   built; its windows go through a combinable minimum over window hashes instead, which no key can skew.
+4. An anchor of over SHARD passages (a passage that a third of all documents share has that many contexts) makes
+   no shard. Its passages are cut into parts by the anchor's place in the window, and step 2 folds these again:
+   parts inside the shared passage fold, the others have few rivals and make shards. Parts that still have over
+   SHARD rivals go window by window through a combinable minimum over hashes, which no key can skew.
 
 `remove_reference` is the plain form for a reference of bounded size, such as a benchmark: its automaton is
 built once, broadcast, and all documents stream through it.
@@ -24,6 +26,7 @@ gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -36,7 +39,7 @@ from tallyweave.llm.minhash import grouped_rows
 from tallyweave.llm.shared import written
 from tallyweave.llm.textnp import _power, chunks, inside, mix, ngram_hashes, span_hashes, words
 
-ANCHOR, SHARD = 20, 256
+ANCHOR, SHARD, PART = 20, 256, 8
 #: Words of a reference that may be broadcast (about 1 kB each as an automaton).
 REFERENCE_WORDS = 200_000
 
@@ -152,8 +155,29 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "anchor long, content long, doc_id long, tag long, pos int, n int")
 
 
+def _parts(grams: np.ndarray, anchor: int, n: int) -> Iterator[tuple[int, int, int]]:
+    """(first window, end window, group): cuts a run of n windows where their anchor's place in them enters another
+    group of PART places. The place depends on the window's words alone, so equal windows are in equal groups."""
+    places = np.flatnonzero(grams == anchor)
+    at = places[np.searchsorted(places, np.arange(n))]
+    group = (at - np.arange(n)) // PART
+    cuts = np.flatnonzero((at[1:] != at[:-1]) | (group[1:] != group[:-1])) + 1
+    heads = [0, *cuts.tolist(), n]
+    for s, e in zip(heads, heads[1:]):
+        yield s, e, int(group[s])
+
+
+def _signed(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+PASSAGE = "key long, content long, doc_id long, tag long, places array<int>, n int, passage binary, windows array<long>"
+
+
 def passages(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The text of the wanted runs; of runs whose anchor is in over SHARD passages, a row for each window without text."""
+    """The words of the wanted runs. Runs whose anchor is in over SHARD passages are cut into parts, which carry a key
+    of their own, a hash of their content and the hashes of their windows; of other runs content and windows are null.
+    Equal parts of one document are one row with all their places, as a line can repeat many times in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,42 +185,58 @@ def passages(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             lists = b.column(3).to_pylist()
             for i, j, data, offsets in chunks(b.column(2)):
                 starts, ends, first = words(data, offsets)
-                hashes, raw = None, data.tobytes()
+                grams = whole = None
+                raw = data.tobytes()
                 for r in range(i, j):
                     base = int(first[r - i])
                     key = (b.column(0)[r].as_py(), b.column(1)[r].as_py())
+                    parts: dict[tuple[int, int], tuple] = {}
                     for x in lists[r]:
-                        s = base + x["pos"]
+                        s, n = base + x["pos"], x["n"]
                         if x["members"] <= SHARD:
-                            out.append((x["anchor"], *key, x["pos"], x["n"], raw[starts[s] : ends[s + x["n"] + window - 2]]))
-                        else:
-                            if hashes is None:
-                                hashes = ngram_hashes(span_hashes(data, starts, ends), window).view(np.int64)
-                            out += [(h, *key, x["pos"] + k, 1, None) for k, h in enumerate(hashes[s : s + x["n"]].tolist())]
+                            out.append((x["anchor"], None, *key, [x["pos"]], n, raw[starts[s] : ends[s + n + window - 2]], None))
+                            continue
+                        if grams is None:
+                            hashes = span_hashes(data, starts, ends)
+                            grams, whole = (ngram_hashes(hashes, k).view(np.int64) for k in (ANCHOR, window))
+                        for low, high, group in _parts(grams[s : s + n + window - ANCHOR], x["anchor"], n):
+                            text = b" ".join(raw[starts[s + low] : ends[s + high + window - 2]].split())
+                            part = (_signed(b"%d %d" % (x["anchor"], group)), _signed(text))
+                            if part not in parts:
+                                parts[part] = (*part, *key, [], high - low, text, whole[s + low : s + high].tolist())
+                            parts[part][4].append(x["pos"] + low)
+                    out += parts.values()
                     if len(out) > 20_000 or r == b.num_rows - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=names)
                         out = []
 
-    names, kinds = ["key", "doc_id", "tag", "pos", "n", "passage"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["key", "content", "doc_id", "tag", "places", "n", "passage", "windows"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.list_(pa.int64())]
     by_doc = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "members", "pos", "n")).alias("runs"))
-    return docs.join(by_doc, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs").mapInArrow(run, "key long, doc_id long, tag long, pos int, n int, passage binary")
+    # Documents are no skewed key, so the sides are dealt by them outright; each task then makes about as many rows.
+    key = ["doc_id", "tag"]
+    return docs.repartition(*key).join(by_doc.repartition(*key), key).select("doc_id", "tag", "text", "runs").mapInArrow(run, PASSAGE)
+
+
+SPAN = "doc_id long, tag long, places array<int>, low int, high int"
 
 
 def matched(found: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tag, s, e): word spans of windows that a document of a smaller doc_id has, from the automata of the shards."""
+    """Spans (words place + low to place + high) of windows that a document of a smaller doc_id has, from the automata
+    of the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped_rows(batches, 1):
             automaton, held, out = SuffixAutomaton(), [], []
-            for _, doc, tag, pos, _, text in rows:
-                held.append((doc, tag, pos, text.split()))
+            for _, doc, tag, places, text in rows:
+                held.append((doc, tag, places, text.split()))
                 automaton.add(held[-1][3], doc)
-            for doc, tag, pos, items in held:
-                out += [(doc, tag, pos + a, pos + b + window - 1) for a, b in _runs([k for k, first in automaton.windows(items, window) if first < doc])]
+            for doc, tag, places, items in held:
+                out += [(doc, tag, places, a, b + window - 1) for a, b in _runs([k for k, first in automaton.windows(items, window) if first < doc])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "tag", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32()))], names=["doc_id", "tag", "places", "low", "high"])
 
-    return found.repartition("key").sortWithinPartitions("key", "doc_id", "tag", "pos").mapInArrow(run, "doc_id long, tag long, s int, e int")
+    return found.repartition("key").sortWithinPartitions("key", "doc_id", "tag").mapInArrow(run, SPAN)
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -211,8 +251,8 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 for r in range(i, j):
                     if lists[r]:
                         base = first[r - i]
-                        np.add.at(cover, [base + x["s"] for x in lists[r]], 1)
-                        np.add.at(cover, [base + x["e"] for x in lists[r]], -1)
+                        np.add.at(cover, [base + p + x["low"] for x in lists[r] for p in x["places"]], 1)
+                        np.add.at(cover, [base + p + x["high"] for x in lists[r] for p in x["places"]], -1)
                 keep = np.cumsum(cover[:-1]) == 0
                 count = np.concatenate([[0], np.cumsum(keep)])
                 size = (ends - starts)[keep]
@@ -226,27 +266,34 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 n, left = np.diff(first), np.diff(count[first])
                 yield pa.RecordBatch.from_arrays([row.slice(i, j - i), pa.array(n, pa.int64()), pa.array(n - left, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_words", "n_removed", "kept"])
 
-    by_doc = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    by_doc = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("places", "low", "high")).alias("spans"))
     kind = StructType([docs.schema["row"], *(StructField(c, t) for c, t in (("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType())))])
     return docs.join(by_doc, ["doc_id", "tag"], "left").select("row", "spans").mapInArrow(run, kind)
 
 
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tag, s, e) over the rows (doc_id, tag, text): words that windows of earlier documents cover."""
+    """Spans over the rows (doc_id, tag, text): words that windows of earlier documents cover."""
     found = written(anchors(docs, window), "anchors")
     shared = written(found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared")
     marks = written(found.join(shared, "anchor"), "marks")
-    firsts = written(marks.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")), "firsts")
-    contested = written(firsts.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1"), "contested")
-    judged = written(marks.join(firsts, ["anchor", "content"]), "judged")
-    whole = judged.where("doc_id > first").select("doc_id", "tag", F.col("pos").alias("s"), (F.col("pos") + F.col("n") + (window - 1)).alias("e"))
-    wanted = judged.where("doc_id = first").join(contested, "anchor").select("anchor", "members", "doc_id", "tag", "pos", "n")
-    texts = written(passages(docs, wanted, window), "passages")
-    rare = matched(texts.where("passage is not null"), window)
-    windows = texts.where("passage is null").select("key", "doc_id", "tag", "pos")
-    owners = written(windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low"), "owners")
-    common = windows.join(owners, "key").where("low < doc_id").select("doc_id", "tag", F.col("pos").alias("s"), (F.col("pos") + window).alias("e"))
-    return whole.union(rare).union(common)
+    later, firsts = folded(marks, "anchor")
+    texts = written(passages(docs, firsts.select("anchor", "members", "doc_id", "tag", "pos", "n"), window), "passages")
+    rest, parts = folded(texts.where("content is not null"), "key")
+    shards = [x.select("key", "doc_id", "tag", "places", "passage") for x in (texts.where("content is null"), parts.where(F.col("members") <= SHARD))]
+    single = written(parts.where(F.col("members") > SHARD).select("doc_id", "tag", "places", F.posexplode("windows").alias("low", "window")), "windows")
+    owners = written(single.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first"), "owners")
+    hot = single.join(owners, "window").where("first < doc_id").select("doc_id", "tag", "places", "low", (F.col("low") + window).alias("high"))
+    whole = [x.select("doc_id", "tag", places.alias("places"), F.lit(0).alias("low"), (F.col("n") + (window - 1)).alias("high")) for x, places in ((later, F.array("pos")), (rest, F.col("places")))]
+    return whole[0].union(whole[1]).union(matched(shards[0].union(shards[1]), window)).union(hot)
+
+
+def folded(runs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Runs (key, content, doc_id, …) that an earlier document has word for word; and of the others those whose key
+    has several contents, with their number as `members`."""
+    firsts = written(runs.groupBy(key, "content").agg(F.min("doc_id").alias("first")), "firsts")
+    contested = written(firsts.groupBy(key).agg(F.count("*").alias("members")).where("members > 1"), "contested")
+    judged = written(runs.join(firsts, [key, "content"]), "judged")
+    return judged.where("doc_id > first"), judged.where("doc_id = first").join(contested, key)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
