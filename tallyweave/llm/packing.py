@@ -101,7 +101,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
             for i, j, ids, at in encoded_chunks(b.column(1), path):
                 raw = memoryview(ids.astype("<u4").tobytes())
                 tail = np.uint32(end_id).tobytes()
-                rows, sizes = [], np.diff(at) + 1
+                sizes = np.diff(at) + 1
                 pieces = -(-sizes // capacity)
                 row = np.repeat(np.arange(j - i), pieces)
                 number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -111,9 +111,9 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
                 last = number == pieces[row] - 1
                 begin = (at[row] + start) * 4
                 end = begin + (length - last) * 4
-                rows = [zlib.crc32(raw[s:e]) for s, e in zip(begin.tolist(), end.tolist())]
+                sums = [zlib.crc32(raw[s:e]) for s, e in zip(begin.tolist(), end.tolist())]
                 for k in np.flatnonzero(last).tolist():
-                    rows[k] = zlib.crc32(tail, rows[k])
+                    sums[k] = zlib.crc32(tail, sums[k])
                 order = np.argsort(length, kind="stable")
                 sorted_ = length[order]
                 run_ = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
@@ -121,7 +121,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
                 rank[order] = run_ + seen[sorted_]
                 seen += np.bincount(length, minlength=capacity + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(rows, pa.int64()), pa.array(np.full(len(row), part), pa.int32()), pa.array(rank, pa.int64())],
+                    [b.column(0).slice(i, j - i).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64()), pa.array(np.full(len(row), part), pa.int32()), pa.array(rank, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "part_rank"],
                 )
 
@@ -147,10 +147,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> D
             taken[size] += bin_[size] * times
             offset += bin_[size] * size
         sequence += times
-    rows = [(size, k, *line) for size, found in lines.items() for k, line in enumerate(found)]
     starts = {size: np.array([x[0] for x in found], np.int64) for size, found in lines.items()}
     facts = {size: np.array([x[1:] for x in found], np.int64) for size, found in lines.items()}
-    del rows
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
