@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -23,11 +24,11 @@ class Var:
         return f"{self.horizon_days}-Day {int(self.confidence * 100)}% {kind} VaR"
 
 
-def recent_dates(returns: DataFrame, lookback: int) -> DataFrame:
-    """The last `lookback` dates over all portfolios; a ValueError if there are fewer."""
-    dates = returns.select("as_of_date").distinct().orderBy(F.desc("as_of_date")).limit(lookback)
-    if (n := dates.count()) < lookback:
-        raise ValueError(f"{lookback} dates are needed, {n} are there")
+def recent_dates(returns: DataFrame, lookback: int) -> list[dt.date]:
+    """The last `lookback` dates over all portfolios, latest first; a ValueError if there are fewer."""
+    dates = [r[0] for r in returns.select("as_of_date").distinct().orderBy(F.desc("as_of_date")).limit(lookback).collect()]
+    if len(dates) < lookback:
+        raise ValueError(f"{lookback} dates are needed, {len(dates)} are there")
     return dates
 
 
@@ -36,14 +37,15 @@ def latest_weights(weights: DataFrame) -> DataFrame:
     return weights.join(F.broadcast(last), "as_of_date").select("portfolio_short_name", "security_id", "weight")
 
 
-def historical_var(returns: DataFrame, weights: DataFrame, var: Var, column: str = "log_return") -> DataFrame:
+def historical_var(returns: DataFrame, weights: DataFrame, var: Var, column: str = "log_return", dates: list[dt.date] | None = None) -> DataFrame:
     """(portfolio_short_name, value): the (1 - confidence) quantile of daily sums of weight times return.
 
-    A date on which a portfolio has no return counts as 0, as do null returns. Not scaled to the horizon."""
-    dates = F.broadcast(recent_dates(returns, var.lookback_days))
-    used = returns.join(dates, "as_of_date", "left_semi")
+    A date on which a portfolio has no return counts as 0, as do null returns. Not scaled to the horizon. The last
+    dates are a range, so the lookback is a filter that reaches the scan."""
+    dates = dates or recent_dates(returns, var.lookback_days)
+    used = returns.where(F.col("as_of_date") >= F.lit(dates[-1]))
     daily = used.join(weights, ["portfolio_short_name", "security_id"]).groupBy("portfolio_short_name", "as_of_date").agg(F.sum(F.col("weight") * F.col(column)).alias("pnl"))
-    grid = weights.select("portfolio_short_name").distinct().crossJoin(dates)  # portfolios times `lookback` days
+    grid = weights.select("portfolio_short_name").distinct().select("portfolio_short_name", F.explode(F.array(*map(F.lit, dates))).alias("as_of_date"))
     all_days = grid.join(daily, ["portfolio_short_name", "as_of_date"], "left")
     return all_days.groupBy("portfolio_short_name").agg(F.percentile(F.coalesce("pnl", F.lit(0.0)), 1 - var.confidence).alias("value"))
 
@@ -56,10 +58,11 @@ def covariances(returns: DataFrame, column: str = "log_return") -> DataFrame:
     return half.unionByName(half.where("i < j").select("portfolio_short_name", F.col("j").alias("i"), F.col("i").alias("j"), "cov"))
 
 
-def parametric_var(returns: DataFrame, weights: DataFrame, var: Var, column: str = "log_return") -> DataFrame:
+def parametric_var(returns: DataFrame, weights: DataFrame, var: Var, column: str = "log_return", dates: list[dt.date] | None = None) -> DataFrame:
     """(portfolio_short_name, value): mean + z * sigma * sqrt(horizon); the mean is not scaled. The pairs of securities
     are joined within one portfolio and after the lookback only."""
-    used = returns.join(F.broadcast(recent_dates(returns, var.lookback_days)), "as_of_date", "left_semi")
+    dates = dates or recent_dates(returns, var.lookback_days)
+    used = returns.where(F.col("as_of_date") >= F.lit(dates[-1]))
     mean = used.groupBy("portfolio_short_name", "security_id").agg(F.avg(column).alias("mean")).join(weights, ["portfolio_short_name", "security_id"])
     mean = mean.groupBy("portfolio_short_name").agg(F.sum(F.col("weight") * F.col("mean")).alias("mean"))
     pairs = covariances(used, column)
@@ -71,12 +74,13 @@ def parametric_var(returns: DataFrame, weights: DataFrame, var: Var, column: str
 
 def var_report(returns: DataFrame, weights: DataFrame, var: Var, column: str = "log_return") -> DataFrame:
     """Two metric rows for each portfolio."""
-    last = returns.agg(F.max("as_of_date").alias("AsOfDate"))
+    dates = recent_dates(returns, var.lookback_days)
     out = None
-    for kind, rows in (("Historical", historical_var(returns, weights, var, column)), ("Parametric", parametric_var(returns, weights, var, column))):
-        rows = rows.select(F.col("portfolio_short_name").alias("PortfolioShortName"), F.lit(var.label(kind)).alias("MetricName"), F.lit("Risk").alias("MetricType"), F.lit("Portfolio").alias("MetricLevel"), F.col("value").alias("MetricValue"))
+    for kind, rows in (("Historical", historical_var(returns, weights, var, column, dates)), ("Parametric", parametric_var(returns, weights, var, column, dates))):
+        named = {"AsOfDate": F.lit(dates[0]), "PortfolioShortName": F.col("portfolio_short_name"), "MetricName": F.lit(var.label(kind)), "MetricType": F.lit("Risk"), "MetricLevel": F.lit("Portfolio"), "MetricValue": F.col("value")}
+        rows = rows.select(*[c.alias(n) for n, c in named.items()])
         out = rows if out is None else out.unionByName(rows)
-    return out.crossJoin(F.broadcast(last)).select("AsOfDate", "PortfolioShortName", "MetricName", "MetricType", "MetricLevel", "MetricValue")
+    return out
 
 
 def aligned(returns: DataFrame, weights: DataFrame) -> None:

@@ -18,7 +18,7 @@ def spark(tmp_path_factory):
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "4g",
-        "spark.driver.bindAddress": "127.0.0.1",
+        "spark.driver.host": "127.0.0.1",
         "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('checkpoints')}",
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
     }
