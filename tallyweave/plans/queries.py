@@ -203,7 +203,23 @@ def membership_expand(spark: SparkSession, sf: str) -> DataFrame:
     return temporal.expand_intervals(views.intervals(spark, sf), FIRST, LAST)
 
 
-@query()
+@query(
+    """with recursive ev as (select cast(user_id as varchar) as ric, ts, event_type, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type in ('signup', 'error')),
+rics as (select distinct cast(user_id as varchar) as ric, user_id % 2 = 0 as seeded from events),
+fold as (
+  select ric, 0 as n, case when seeded then [{'ticker': 'S' || ric, 'low': timestamp '2024-01-01', 'high': cast(null as timestamp)}] else [] end as st from rics
+  union all
+  select ric, n, case when event_type = 'signup' and place > 0 then list_transform(st, lambda x, i: case when i = place then {'ticker': 'S' || ric, 'low': ts, 'high': x.high} else x end)
+    when event_type = 'signup' then list_append(st, {'ticker': 'S' || ric, 'low': ts, 'high': cast(null as timestamp)})
+    when place > 0 then list_transform(st, lambda x, i: case when i = place then {'ticker': x.ticker, 'low': x.low, 'high': ts} else x end)
+    else list_append(st, {'ticker': 'S' || ric, 'low': timestamp '2024-01-01', 'high': ts}) end as st
+  from (select f.ric, e.n, e.ts, e.event_type, f.st,
+      case when e.event_type = 'signup' then coalesce(list_position(list_transform(st, lambda x: x.low = timestamp '2024-01-01' and x.high is null), true), 0)
+      when list_max(list_transform(st, lambda x: case when x.high is null and x.low <= e.ts then x.low end)) is null then 0 else len(st) + 1 - list_position(list_reverse(list_transform(st, lambda x: case when x.high is null and x.low <= e.ts then x.low end)), list_max(list_transform(st, lambda x: case when x.high is null and x.low <= e.ts then x.low end))) end as place
+    from fold f join ev e on e.ric = f.ric and e.n = f.n + 1)),
+last as (select ric, unnest(st) as x from fold f where n = (select max(n) from fold g where g.ric = f.ric))
+select ric, x.ticker as exchange_ticker, x.low as start_date, x.high as end_date from last"""
+)
 def membership_fold(spark: SparkSession, sf: str) -> DataFrame:
     return membership.membership_intervals(views.membership_seeds(spark, sf), views.membership_events(spark, sf), dt.datetime(2024, 1, 1))
 
@@ -390,17 +406,45 @@ def conversation_context(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.conversation_context(turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"), "response"), "conv_id", "turn")
 
 
-@query()
+CHUNKS = r"""with recursive docs as (select doc_id, text, string_split(text, chr(10)) as ls from documents where text is not null),
+lines as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as k, len(ls) as n from docs where length(text) > 1000),
+marked as (select *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as t from lines),
+sums as (select doc_id, k, line, n, sum(length(line) + 1) over w as q, sum(length(line) + 1) over w - length(line) - 1 as p, {close} as close from marked window w as (partition by doc_id order by k)),
+cuts as (
+  select doc_id, 0 as no, cast(0 as bigint) as first, min(k) filter (where k > 0 and q > 1000 and close) as k from sums group by doc_id
+  union all
+  select g.doc_id, g.no + 1, g.start, min(s.k) filter (where s.k > g.k and s.k > g.start and s.q - g.base > 1000 and s.close)
+  from (select c.doc_id, c.no, c.k, min(b.k) as start, min(b.p) as base from cuts c join sums a on a.doc_id = c.doc_id and a.k = c.k join sums b on b.doc_id = c.doc_id and b.k >= c.first and b.k <= c.k and b.p >= a.p - 200 group by all) g
+  join sums s on s.doc_id = g.doc_id group by g.doc_id, g.no, g.start, g.k),
+texts as (select c.doc_id, c.no, string_agg(s.line, chr(10) order by s.k) as content from cuts c join sums s on s.doc_id = c.doc_id and s.k >= c.first and s.k < coalesce(c.k, s.n) group by c.doc_id, c.no)
+select doc_id, cast(row_number() over (partition by doc_id order by no) - 1 as int) as chunk_no, content from texts where length(content) > 100
+union all select doc_id, 0, text from docs where length(text) <= 1000"""
+CLOSE = r"bool_or(regexp_matches(t, '^(def |class |# ===|\x22{3}|\x27{3}|#.{10})|(\x22{3}|\x27{3})$')) over (partition by doc_id order by k rows between 3 preceding and 3 following)"
+
+
+@query(CHUNKS.replace("{close}", "true"))
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_texts(table(spark, sf, "documents"), "doc_id", boundary_aware=False)
 
 
-@query()
+@query(CHUNKS.replace("{close}", CLOSE))
 def chunk_documents_boundary(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_texts(table(spark, sf, "documents"), "doc_id", boundary_aware=True)
 
 
-@query()
+@query(
+    """with recursive docs as (select doc_id // 8 as pack, row_number() over (partition by doc_id // 8 order by doc_id) as n, source, lang, coalesce(text, '') as body, len(string_split(text, chr(10))) as n_lines from documents),
+heads as (select pack, n, '[Source ' || n || ': ' || source || ' (' || lang || ') | Lines: ' || n_lines || ']' as head, body from docs),
+packing as (
+  select distinct pack, cast(0 as bigint) as n, cast(0 as bigint) as used, '' as parts, false as done from docs
+  union all
+  select p.pack, h.n, case when fits then used + length(part) else used end, case when fits then parts || case when parts = '' then '' else chr(10) end || part else parts end, not fits
+  from packing p join heads h on h.pack = p.pack and h.n = p.n + 1,
+    lateral (select used + length(head) + length(body) + 50 > 8000 as over_, 8000 - used - length(head) - 100 as room) a,
+    lateral (select not over_ or room > 100 as fits, head || chr(10) || case when over_ then substr(body, 1, greatest(room, 0)) || chr(10) || '... [truncated]' else body end || chr(10) as part) b
+  where not done)
+select pack, chr(10) || repeat('=', 60) || chr(10) || parts as context from packing p where n = (select max(n) from packing q where q.pack = p.pack)"""
+)
 def context_pack(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 8).alias("pack"), "doc_id", F.col("source"), F.col("lang").alias("type"), F.col("text").alias("content"), F.create_map(F.lit("line_count"), F.size(F.split("text", "\n")).cast("string")).alias("metadata"))
     return retrieval.packed_context(docs, ["pack"], "doc_id")

@@ -14,7 +14,7 @@ from tallyweave.functions.scalar import half_even, mapped, number
 from tallyweave.schemas import EOD, POSITIONS, require
 
 #: Intervals of requests and what the second price vendor calls them.
-FREQUENCIES = {"1d": "D", "5d": "D", "1wk": "W", "1mo": "M", "3mo": "Q", "1y": "Y"}
+FREQUENCIES = {"1d": "D", "1wk": "W", "1mo": "M", "5d": "D"}
 #: Price columns of the two vendors.
 RAW_COLUMNS = {"Open Price": "open", "High Price": "high", "Low Price": "low", "Accumulated Volume": "volume"}
 YAHOO_COLUMNS = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Adj Close": "adj_close", "Volume": "volume", "Dividends": "dividends", "Stock Splits": "stock_splits"}
