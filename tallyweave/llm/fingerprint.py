@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.columns import let, run_hashes, words_of
 
-WORDS, SCALE, CUTS = 5, 8, 1023
+WORDS, SCALE, CUTS = 5, 8, 65_535
 
 
 def sketch(text: Column) -> Column:
@@ -57,10 +57,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).withColumn("key", key)
     wanted = min(CUTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    first, cuts = rows.agg(F.min("key"), F.percentile_approx("key", [k / (wanted + 1) for k in range(1, wanted + 1)], 10_000)).first()
+    first, cuts = rows.agg(F.min("key"), F.percentile_approx("key", [k / (wanted + 1) for k in range(1, wanted + 1)], max(10_000, 16 * wanted))).first()
     cuts = sorted({c for c in cuts or [] if c > first})
     depth = len(cuts).bit_length()
-    table = F.lit(cuts + [(1 << 63) - 1] * ((1 << depth) - 1 - len(cuts))).cast("array<long>") if depth else None
+    padded = cuts + [(1 << 63) - 1] * ((1 << depth) - 1 - len(cuts))
+    table = F.split(F.lit(",".join(map(str, padded))), ",").cast("array<long>") if depth else None  # folds to one literal
     bucket = F.lit(0)
     if depth:  # binary search for the number of cuts that are not above the key
         steps = F.lit([1 << k for k in range(depth - 1, -1, -1)])
