@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyweave.llm.shared import mapped
 from tallyweave.llm.textnp import chunks, span_hashes, text_buffers
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -32,7 +33,7 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 NONE = np.int32(2**31 - 1)
 #: Distinct pre-tokens that a worker remembers between chunks, and bits of the table that finds them.
-REMEMBERED, TABLE_BITS = 1_500_000, 21
+REMEMBERED, TABLE_BITS = 800_000, 21
 #: Runs of rows (of CHUNK_BYTES) whose new words are encoded together.
 GROUP = 8
 
@@ -310,7 +311,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return mapped(rows, run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded_docs: DataFrame, path: str) -> DataFrame:
@@ -322,7 +323,7 @@ def decode_documents(encoded_docs: DataFrame, path: str) -> DataFrame:
             texts = [bpe.decode(np.asarray(x, np.int64)).decode("utf-8", "replace") if x else "" for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded_docs.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return mapped(encoded_docs.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -341,4 +342,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(shas), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

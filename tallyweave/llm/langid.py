@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tallyweave.llm.bpe import LETTER, _classes
+from tallyweave.llm.shared import mapped
 from tallyweave.llm.textnp import chunks, mix
 
 BUCKETS, ORDERS, PER_LANGUAGE, EPOCHS = 1 << 16, 3, 600, 3
@@ -165,7 +166,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([row, pa.array(names, pa.string()), pa.array(scores)], names=["row", "lang_pred", "score"])
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return mapped(rows, run, StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(doc_id):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.components import components
-from tallyweave.llm.shared import written
+from tallyweave.llm.shared import mapped, written
 from tallyweave.llm.textnp import LOWER, chunks, inside, mix, ngram_hashes, span_hashes, words
 
 PERMUTATIONS, BANDS = 64, 32
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 )
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
+    return mapped(rows, run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
 
 
 class Trees:
@@ -182,7 +182,7 @@ def likely_edges(nodes: DataFrame, threshold: float) -> DataFrame:
             if out := trees.stars(ids):
                 yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in out], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
-    return dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(run, "a long, b long").distinct()
+    return mapped(dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high"), run, "a long, b long").distinct()
 
 
 def true_links(docs: DataFrame, clusters: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -228,7 +228,7 @@ def true_links(docs: DataFrame, clusters: DataFrame, width: int, threshold: floa
             if out := trees.stars(ids):
                 yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in out], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
-    return dealt.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "side").mapInArrow(run, "a long, b long").distinct()
+    return mapped(dealt.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "side"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.bpe import encoded_chunks
-from tallyweave.llm.shared import written
+from tallyweave.llm.shared import mapped, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, part_rank long"
 
@@ -125,7 +125,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "part_rank"],
                 )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, PIECES)
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, PIECES)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -163,4 +163,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> D
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(bin_of), pa.array(place)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = pieces.join(ranks, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("part_rank")).alias("rank"))
-    return ranked.mapInArrow(deal, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(ranked, deal, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

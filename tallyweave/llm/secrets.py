@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from tallyweave.llm.shared import mapped
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 characters at least: a shorter run of the class holds no longer match
@@ -172,7 +174,7 @@ def find_secrets(docs: DataFrame, least_cost: float = 8.0) -> DataFrame:
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     span = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
-    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("spans", ArrayType(span)), StructField("redacted", StringType())]))
+    return mapped(rows, run, StructType([rows.schema["row"], StructField("spans", ArrayType(span)), StructField("redacted", StringType())]))
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -202,4 +204,4 @@ def scan_digests(docs: DataFrame, least_cost: float = 8.0) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

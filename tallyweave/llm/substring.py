@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyweave.llm.minhash import grouped_rows
-from tallyweave.llm.shared import written
+from tallyweave.llm.shared import mapped, written
 from tallyweave.llm.textnp import _power, chunks, inside, mix, ngram_hashes, span_hashes, words
 
 ANCHOR, SHARD, PART = 20, 256, 8
@@ -152,7 +152,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                     names=["anchor", "content", "doc_id", "tag", "pos", "n"],
                 )
 
-    return docs.where("doc_id is not null").mapInArrow(run, "anchor long, content long, doc_id long, tag long, pos int, n int")
+    return mapped(docs.where("doc_id is not null"), run, "anchor long, content long, doc_id long, tag long, pos int, n int")
 
 
 def _parts(grams: np.ndarray, anchor: int, n: int) -> Iterator[tuple[int, int, int]]:
@@ -215,7 +215,7 @@ def passages(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     by_doc = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "members", "pos", "n")).alias("runs"))
     # Documents are no skewed key, so the sides are dealt by them outright; each task then makes about as many rows.
     key = ["doc_id", "tag"]
-    return docs.repartition(*key).join(by_doc.repartition(*key), key).select("doc_id", "tag", "text", "runs").mapInArrow(run, PASSAGE)
+    return mapped(docs.repartition(*key).join(by_doc.repartition(*key), key).select("doc_id", "tag", "text", "runs"), run, PASSAGE)
 
 
 SPAN = "doc_id long, tag long, places array<int>, low int, high int"
@@ -236,7 +236,7 @@ def matched(found: DataFrame, window: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32()))], names=["doc_id", "tag", "places", "low", "high"])
 
-    return found.repartition("key").sortWithinPartitions("key", "doc_id", "tag").mapInArrow(run, SPAN)
+    return mapped(found.repartition("key").sortWithinPartitions("key", "doc_id", "tag"), run, SPAN)
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     by_doc = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("places", "low", "high")).alias("spans"))
     kind = StructType([docs.schema["row"], *(StructField(c, t) for c, t in (("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType())))])
-    return docs.join(by_doc, ["doc_id", "tag"], "left").select("row", "spans").mapInArrow(run, kind)
+    return mapped(docs.join(by_doc, ["doc_id", "tag"], "left").select("row", "spans"), run, kind)
 
 
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
@@ -328,7 +328,7 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 50) ->
                 out.append((doc, len(items), int((~keep).sum()), b" ".join(x for x, k in zip(items, keep) if k).decode()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return mapped(rows, run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digests(removed: DataFrame) -> DataFrame:

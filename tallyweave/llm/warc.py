@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import written
+from tallyweave.llm.shared import mapped, written
 
 REVISIT_BYTES = 1000
 #: A package is closed once its records reach this size, so a task holds one package in memory.
@@ -162,7 +162,7 @@ def packages(pages: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([packed(held)], pa.binary())], names=["package"])
 
-    return planned(pages).mapInArrow(run, "package binary")
+    return mapped(planned(pages), run, "package binary")
 
 
 def records(package_rows: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def records(package_rows: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"])
 
-    return package_rows.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")
+    return mapped(package_rows, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
