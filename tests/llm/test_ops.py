@@ -214,6 +214,51 @@ def test_completion_is_the_best_filling():
         assert sum(filling) == max(sums) and all(filling.count(x) <= counts[x] for x in filling)
 
 
+def test_plan_is_no_worse_than_best_fit_and_least_where_small():
+    def fewest(items, capacity):
+        best = len(items)
+
+        def place(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(items):
+                best = len(rooms)
+                return
+            for j in {r: j for j, r in enumerate(rooms) if r >= items[i]}.values():
+                place(i + 1, [r - items[i] * (j == k) for k, r in enumerate(rooms)])
+            place(i + 1, [*rooms, capacity - items[i]])
+
+        place(0, [])
+        return best
+
+    def best_fit(items, capacity):
+        rooms = []
+        for x in items:
+            room = min((r for r in rooms if r >= x), default=None)
+            if room is not None:
+                rooms.remove(room)
+            rooms.append((capacity if room is None else room) - x)
+        return len(rooms)
+
+    size = lambda plan: sum(n for _, n in plan)
+    rng, better = random.Random(5), 0
+    for _ in range(800):
+        capacity = rng.choice([20, 30, 50])
+        items = sorted((rng.randint(1, capacity) if rng.random() < 0.3 else rng.randint(capacity // 5, capacity // 2) for _ in range(rng.randint(1, 11))), reverse=True)
+        counts = {x: items.count(x) for x in items}
+        plan = packing.plan(counts, capacity)
+        assert all(sum(k * n for k, n in bin_.items()) <= capacity and times > 0 for bin_, times in plan)
+        assert {k: sum(bin_.get(k, 0) * times for bin_, times in plan) for k in counts} == counts
+        assert packing.lower_bound(counts, capacity) <= size(plan) == fewest(items, capacity) <= best_fit(items, capacity) == size(packing.best_fit(counts, capacity))
+        better += size(plan) < best_fit(items, capacity)
+    assert better
+    for n, most in ((12, 30), (10_000, 25_000)):
+        counts = dict.fromkeys((492, 430, 423, 385, 370, 236), n)
+        plan = packing.plan(counts, 1024)
+        assert size(plan) <= most and {k: sum(bin_.get(k, 0) * times for bin_, times in plan) for k in counts} == counts
+
+
 def test_packing(spark):
     rng = random.Random(6)
     texts = [None, "", "a", "<|endoftext|>"] + [" ".join(rng.choice(["the", "of", "zq", "é"]) for _ in range(rng.randint(0, 900))) for _ in range(60)] + ["word " * 5000]
