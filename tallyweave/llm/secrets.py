@@ -4,7 +4,7 @@ Base spans come from three patterns. Beyond them, a value after a word such as p
 dynamic programming into the cheapest sequence of segments (Wheeler's guess numbers): dictionary words with
 capital and look-alike letters, dates, repeats, keyboard walks, character sequences and brute force. The cost of
 a value is the decimal logarithm of the guesses an informed attacker needs; a value of `least_cost` or more
-that no base span of its kind touches becomes a span of kind `guess`.
+becomes a span of kind `guess`, unless one base span covers it whole; redaction covers the union of all spans.
 
 Defined results: null text is empty and has no spans; any text length is scanned whole (a value is at most
 VALUE characters by its pattern); repeated rows are scanned each for itself; extra columns are ignored.
@@ -30,7 +30,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 characters at least: a shorter run of the class holds no longer match
 HEX = re.compile(r"[0-9a-f]{32,}")
 VALUE = 128
-CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|credentials?|login|auth)["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}["']?([!-~]{6,128})""", re.I | re.A)
+CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|credentials?|login|auth)["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}(?:"((?:\\[!-~]|[!#-~]|"(?=[a-z0-9])){6,128})|'((?:\\[!-~]|[!-&(-~]|'(?=[a-z0-9])){6,128})|(?!["'])([!-~]{6,128}))""", re.I | re.A)
+#: A quoted value ends at its quote (not at one after a backslash or before a letter or digit), any other at a blank.
 #: Characters that end a sentence or a quotation rather than a value.
 TRAILING = ",;.:)]}>'\""
 #: Bytes of lower-cased text without which a pattern cannot match.
@@ -151,9 +152,9 @@ def scan(text: str, raw: bytes, least_cost: float) -> list[tuple[int, str, int]]
     if any(h in low for h in CONTEXT_HINTS) and (b":" in raw or b"=" in raw or b" is " in low):
         base = sorted(found)
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(TRAILING)
-            s, e = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(a < e and s < b for a, _, b in base) and guess_cost(value)[0] >= least_cost:
+            value = m[m.lastindex].rstrip(TRAILING)
+            s, e = m.start(m.lastindex), m.start(m.lastindex) + len(value)
+            if len(value) >= 6 and not any(a <= s and e <= b for a, _, b in base) and guess_cost(value)[0] >= least_cost:
                 found.append((s, 3, e))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 

@@ -97,6 +97,24 @@ def test_guess_cost():
         assert cost(value) == pytest.approx(brute(value))
 
 
+def spans_of(text, *words):
+    return secrets.scan(text, text.encode(), 8.0, *words)
+
+
+def test_values_that_base_spans_cut_are_redacted_whole():
+    for text, left in (
+        ("password: Tr0ub4dor&3x!9Zq end", "<assign> end"),
+        ('{"token":"abcdefgh$1x9Kq","name":"some-body"}', '{"<assign>","name":"some-body"}'),
+        ('{"token":"abcdefgh1x9Kq","name":"some-body"}', '{"<assign>","name":"some-body"}'),
+        ("secret=abcdefgh1 end", "<assign> end"),
+        ("pwd='x9$Kq\\'v2Lm' end", "pwd='<guess>' end"),
+        ('pwd="x9"Kq!v2Lm" end', 'pwd="<guess>" end'),
+    ):
+        assert secrets.redacted(text, spans_of(text)) == left
+    assert spans_of("password: Tr0ub4dor&3x!9Zq") == [(0, "assign", 19), (10, "guess", 26)]
+    assert spans_of("secret=abcdefgh1") == [(0, "assign", 16)]
+
+
 def test_secret_queries(spark):
     rows = [(0, None), (1, ""), (2, 'é pwd: x9$Kq!v2Lm, password = "abcdefgh1"'), (2, "token=short pin: 123456"), (3, "x" * 200_000 + " AKIAABCDEFGHIJKL")]
     out = {(r["doc_id"], r["n_assign"], r["n_access"], r["spans"]): r["base_sha256"] for r in secrets.scan_digests(odd(spark, rows)).collect()}
