@@ -6,8 +6,8 @@ capital and look-alike letters, dates, repeats, keyboard walks, character sequen
 a value is the decimal logarithm of the guesses an informed attacker needs; a value of `least_cost` or more
 becomes a span of kind `guess`, unless one base span covers it whole; redaction covers the union of all spans.
 
-Defined results: null text is empty and has no spans; any text length is scanned whole (a value is at most
-VALUE characters by its pattern); repeated rows are scanned each for itself; extra columns are ignored.
+Defined results: null text is empty and has no spans; any text length is scanned whole, and a value
+is as long as its run of visible characters; repeated rows are scanned each for itself; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +29,7 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 characters at least: a shorter run of the class holds no longer match
 HEX = re.compile(r"[0-9a-f]{32,}")
-VALUE = 128
-CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|credentials?|login|auth)["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}(?:"((?:\\[!-~]|[!#-~]|"(?=[a-z0-9])){6,128})|'((?:\\[!-~]|[!-&(-~]|'(?=[a-z0-9])){6,128})|(?!["'])([!-~]{6,128}))""", re.I | re.A)
+CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|credentials?|login|auth)["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}(?:"((?:\\[!-~]|[!#-~]|"(?=[a-z0-9])){6,}+)|'((?:\\[!-~]|[!-&(-~]|'(?=[a-z0-9])){6,}+)|(?!["'])([!-~]{6,}+))""", re.I | re.A)
 #: A quoted value ends at its quote (not at one after a backslash or before a letter or digit), any other at a blank.
 #: Characters that end a sentence or a quotation rather than a value.
 TRAILING = ",;.:)]}>'\""
@@ -75,6 +74,25 @@ def segments(value: str) -> Iterator[tuple[int, int, float, str]]:
     low, n, ranks, near = value.lower(), len(value), _ranks(), _neighbours()
     plain = low.translate(LOOKALIKE)
     longest = max(map(len, ranks))
+    #: Ends of the runs that begin at each character, from the last one back, so that time is linear: equal characters,
+    #: neighbouring keys with their turns, equal steps (by the second character); and how far a shift by `width` agrees.
+    same, walk, turns, step = [n] * (n + 1), [n] * (n + 1), [1] * (n + 1), [n] * (n + 1)
+    moves = [ord(b) - ord(a) for a, b in zip(low, low[1:])]
+    for s in range(n - 2, -1, -1):
+        same[s] = same[s + 1] if value[s] == value[s + 1] else s + 1
+        beside = low[s + 1] in near.get(low[s], "")
+        walk[s] = walk[s + 1] if beside else s + 1
+        if beside:
+            turns[s] = 2 if walk[s + 1] == s + 2 else turns[s + 1] + (moves[s] != moves[s + 1])
+        if s + 2 < n:
+            step[s + 1] = step[s + 2] if moves[s] == moves[s + 1] else s + 2
+    alike: list[list[int]] = [[], []]
+    for width in range(2, min(16, n // 2) + 1):
+        found = [0] * (n + 1)
+        for s in range(n - width - 1, -1, -1):
+            if value[s] == value[s + width]:
+                found[s] = found[s + 1] + 1
+        alike.append(found)
     for s in range(n):
         for e in range(s + 3, min(n, s + longest) + 1):
             rank = ranks.get(low[s:e])
@@ -87,38 +105,21 @@ def segments(value: str) -> Iterator[tuple[int, int, float, str]]:
                 yield s, e, math.log10(max(rank, 2) * shapes * (1 << swapped)), "word"
         if m := DATE.match(value, s):
             yield s, m.end(), math.log10(365 * 120 if m.end() - s > 4 else 120), "date"
-        e = s + 1
-        while e < n and value[e] == value[s]:
-            e += 1
-        if e - s >= 3:
-            yield s, e, math.log10(_alphabet(value[s]) * (e - s)), "repeat"
+        if same[s] - s >= 3:
+            yield s, same[s], math.log10(_alphabet(value[s]) * (same[s] - s)), "repeat"
         for width in range(2, min(16, (n - s) // 2) + 1):
-            unit, times = value[s : s + width], 1
-            while value.startswith(unit, s + times * width):
-                times += 1
-            if times > 1:
-                yield s, s + times * width, width * math.log10(_alphabet(unit[0])) + math.log10(times), "repeat"
-        e = s + 1
-        turns, step = 1, None
-        while e < n and low[e] in near.get(low[e - 1], ""):
-            move = ord(low[e]) - ord(low[e - 1])
-            turns, step = turns + (move != step), move
-            e += 1
-        if e - s >= 4:
-            yield s, e, math.log10(47 * (e - s)) + 0.5 * min(turns, e - s), "walk"
-        if s + 1 < n and abs(step := ord(low[s + 1]) - ord(low[s])) == 1:
-            e = s + 2
-            while e < n and ord(low[e]) - ord(low[e - 1]) == step:
-                e += 1
-            if e - s >= 3:
-                yield s, e, math.log10(_alphabet(value[s]) * (e - s)), "sequence"
+            if (times := alike[width][s] // width + 1) > 1:
+                yield s, s + times * width, width * math.log10(_alphabet(value[s])) + math.log10(times), "repeat"
+        if walk[s] - s >= 4:
+            yield s, walk[s], math.log10(47 * (walk[s] - s)) + 0.5 * min(turns[s], walk[s] - s), "walk"
+        if step[s + 1] - s >= 3 and s + 1 < n and abs(ord(low[s + 1]) - ord(low[s])) == 1:
+            yield s, step[s + 1], math.log10(_alphabet(value[s]) * (step[s + 1] - s)), "sequence"
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
-    """log10 of the guesses for the cheapest segmentation of a value, and its segments.
+def cheapest(value: str) -> list[tuple[float, int, str]]:
+    """For each k, the least log10 of guesses for the first k characters, and start and kind of the last segment there.
 
-    best[k] is the cheapest way to make the first k characters; a run of brute force is kept as one segment, and
-    each segment costs a factor of 2 for the attacker's choice of kinds."""
+    A run of brute force is kept as one segment, and each segment costs a factor of 2 for the attacker's choice of kinds."""
     n = len(value)
     choice = math.log10(2)
     ends: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
@@ -131,12 +132,32 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
         options = [(cost + math.log10(_alphabet(value[k - 1])) + choice * new, k - 1 if new else start, "brute")]
         options += [(best[s][0] + c + choice, s, kind_) for s, c, kind_ in ends[k]]
         best[k] = min(options)
-    cut, k = [], n
+    return best
+
+
+def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
+    """log10 of the guesses for the cheapest segmentation of a value, and its segments."""
+    best, cut, k = cheapest(value), [], len(value)
     while k:
         _, s, kind = best[k]
         cut.append((s, k, kind))
         k = s
-    return best[n][0], cut[::-1]
+    return best[-1][0], cut[::-1]
+
+
+#: First prefix of a value that is looked at. A segment that crosses its end either begins in its last REACH characters
+#: (words and dates are shorter), or goes on as a repeat, walk or sequence whose whole units end there.
+PREFIX, REACH = 256, 32
+
+
+def costly(value: str, least_cost: float) -> bool:
+    """Whether guess_cost(value) is `least_cost` or more, decided on a prefix where that proves it."""
+    size = PREFIX
+    while size < len(value):
+        if min(best[0] for best in cheapest(value[:size])[-REACH - 1 :]) >= least_cost:
+            return True
+        size *= 4
+    return guess_cost(value)[0] >= least_cost
 
 
 def scan(text: str, raw: bytes, least_cost: float) -> list[tuple[int, str, int]]:
@@ -154,7 +175,7 @@ def scan(text: str, raw: bytes, least_cost: float) -> list[tuple[int, str, int]]
         for m in CONTEXT.finditer(text):
             value = m[m.lastindex].rstrip(TRAILING)
             s, e = m.start(m.lastindex), m.start(m.lastindex) + len(value)
-            if len(value) >= 6 and not any(a <= s and e <= b for a, _, b in base) and guess_cost(value)[0] >= least_cost:
+            if len(value) >= 6 and not any(a <= s and e <= b for a, _, b in base) and costly(value, least_cost):
                 found.append((s, 3, e))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 

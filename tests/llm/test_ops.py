@@ -115,6 +115,18 @@ def test_values_that_base_spans_cut_are_redacted_whole():
     assert spans_of("secret=abcdefgh1") == [(0, "assign", 16)]
 
 
+def test_long_values_are_redacted_whole():
+    rng = random.Random(8)
+    token = "".join(rng.choice("abcdefghijkmXYZ0123456789.-_$") for _ in range(300)) + "x"
+    for context in ("api-key: ", "auth=", "pwd="):
+        assert secrets.redacted(f"{context}{token} end", spans_of(f"{context}{token} end")) == f"{context}<guess> end"
+    assert not spans_of("pwd=" + "z" * 20_000) and not spans_of("pwd=" + "zx" * 10_000)
+    assert spans_of("pwd=" + "z" * 20_000 + "x9$Kq!v2Lm") == [(4, "guess", 20_014)]
+    for _ in range(300):
+        value = "".join(rng.choice(["z" * rng.randint(1, 400), "qwertyuiop", "password", "xy" * rng.randint(1, 200), rng.choice("kQ$7") * 2]) for _ in range(rng.randint(1, 4)))
+        assert secrets.costly(value, 8.0) == (secrets.guess_cost(value)[0] >= 8.0)
+
+
 def test_secret_queries(spark):
     rows = [(0, None), (1, ""), (2, 'é pwd: x9$Kq!v2Lm, password = "abcdefgh1"'), (2, "token=short pin: 123456"), (3, "x" * 200_000 + " AKIAABCDEFGHIJKL")]
     out = {(r["doc_id"], r["n_assign"], r["n_access"], r["spans"]): r["base_sha256"] for r in secrets.scan_digests(odd(spark, rows)).collect()}
