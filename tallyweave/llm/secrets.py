@@ -29,7 +29,11 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 characters at least: a shorter run of the class holds no longer match
 HEX = re.compile(r"[0-9a-f]{32,}")
-CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|credentials?|login|auth)["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}(?:"((?:\\[!-~]|[!#-~]|"(?=[a-z0-9])){6,}+)|'((?:\\[!-~]|[!-&(-~]|'(?=[a-z0-9])){6,}+)|(?!["'])([!-~]{6,}+))""", re.I | re.A)
+#: A name (identifier), a sign and a value. The name is matched from its first character and all runs are possessive, so time is linear.
+CONTEXT = re.compile(r"""(?<![a-z0-9_.-])([a-z0-9_.-]++)["']?(?:\x20*+[:=]|\x20++is(?=\x20))\x20*+(?:"((?:\\[!-~]|[!#-~]|"(?=[a-z0-9])){6,}+)|'((?:\\[!-~]|[!-&(-~]|'(?=[a-z0-9])){6,}+)|(?!["'])([!-~]{6,}+))""", re.I | re.A)
+#: What makes a name a credential's: a long keyword anywhere in it; a short one, which other words hold too (compass, opinion, author), as a part of its own.
+LONG_NAME = re.compile(r"password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|credential|login", re.I | re.A)
+SHORT_NAME = re.compile(r"(?:(?<![A-Za-z])(?:[Pp]ass|PASS|[Pp]in|PIN|[Oo]?[Aa]uth|O?AUTH)|(?<=[a-z])(?:Pass|Pin|PIN|O?Auth))(?![a-z]|(?<=[A-Z])[A-Z])", re.A)
 #: A quoted value ends at its quote (not at one after a backslash or before a letter or digit), any other at a blank.
 #: Characters that end a sentence or a quotation rather than a value.
 TRAILING = ",;.:)]}>'\""
@@ -173,6 +177,8 @@ def scan(text: str, raw: bytes, least_cost: float) -> list[tuple[int, str, int]]
     if any(h in low for h in CONTEXT_HINTS) and (b":" in raw or b"=" in raw or b" is " in low):
         base = sorted(found)
         for m in CONTEXT.finditer(text):
+            if not LONG_NAME.search(m[1]) and not SHORT_NAME.search(m[1]):
+                continue
             value = m[m.lastindex].rstrip(TRAILING)
             s, e = m.start(m.lastindex), m.start(m.lastindex) + len(value)
             if len(value) >= 6 and not any(a <= s and e <= b for a, _, b in base) and costly(value, least_cost):

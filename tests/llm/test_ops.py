@@ -127,6 +127,15 @@ def test_long_values_are_redacted_whole():
         assert secrets.costly(value, 8.0) == (secrets.guess_cost(value)[0] >= 8.0)
 
 
+def test_names_around_a_keyword_are_credential_contexts():
+    for name in ("DB_PASSWORD=", "user_secret: ", "db_password_prod: ", "aws_secret_access_key = ", "dbPassword=", "mypassword=", "authToken: ", "app.auth.key=", "userPin=", "DB_PASS=", "oauth: ", "my-pin-2 is ", "pwd" + " " * 40 + "=" + " " * 40, "password   is   ", '"login" : "', "x?token=", "credentials="):
+        text = f"{name}x9$Kq!v2Lm"
+        assert (len(name), "guess", len(text)) in spans_of(text), name
+    for name in ("author: ", "compass = ", "opinion is ", "passage: ", "shipping=", "Pinned: ", "AUTHOR: "):
+        assert not spans_of(f"{name}x9$Kq!v2Lm"), name
+    assert not spans_of("token" * 50_000) and not spans_of("pwd" + " " * 200_000)
+
+
 def test_secret_queries(spark):
     rows = [(0, None), (1, ""), (2, 'é pwd: x9$Kq!v2Lm, password = "abcdefgh1"'), (2, "token=short pin: 123456"), (3, "x" * 200_000 + " AKIAABCDEFGHIJKL")]
     out = {(r["doc_id"], r["n_assign"], r["n_access"], r["spans"]): r["base_sha256"] for r in secrets.scan_digests(odd(spark, rows)).collect()}
