@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and password guess costs of values that stand in a credential context.
 
 Base spans come from three patterns. Beyond them, a value after a word such as password, pin or login is cut by
-dynamic programming into the cheapest sequence of segments (Wheeler's guess numbers): dictionary words with
-capital and look-alike letters, dates, repeats, keyboard walks, character sequences and brute force. The cost of
+dynamic programming into the cheapest sequence of segments (Wheeler's guess numbers): words (those of the documents,
+ranked by a count over all of them outside such values, and common ones of passwords) with capital and look-alike letters, dates, repeats, keyboard walks, character sequences and brute force. The cost of
 a value is the decimal logarithm of the guesses an informed attacker needs; a value of `least_cost` or more
 becomes a span of kind `guess`, unless one base span covers it whole; redaction covers the union of all spans.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tallyweave.llm.shared import mapped
+from tallyweave.llm.shared import mapped, written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -41,7 +42,7 @@ TRAILING = ",;.:)]}>'\""
 ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CONTEXT_HINTS = (b"pass", b"pwd", b"pin", b"secret", b"token", b"api", b"credential", b"login", b"auth")
 
-#: Common words of passwords, most common first; their rank is their cost.
+#: Common words of passwords, most common first; their rank is their cost. The documents' own words come beside them.
 WORDS = (
     "password 123456 qwerty admin welcome letmein dragon monkey master login princess sunshine shadow football baseball superman batman "
     "trustno1 iloveyou hello freedom whatever michael jennifer jordan hunter ranger buster soccer hockey killer george charlie andrew "
@@ -60,6 +61,38 @@ def _ranks() -> dict[str, int]:
     return {w: k + 1 for k, w in enumerate(WORDS)}
 
 
+#: The dictionary from the documents: at most so many words, each of 3 to LONGEST letters and seen LEAST_SEEN times, so it is a few MB at any size.
+DICTIONARY, LONGEST, LEAST_SEEN = 50_000, 24, 2
+LETTERS = re.compile(r"(?<![a-z])[a-z]{3,24}(?![a-z])")
+
+
+def word_ranks(docs: DataFrame) -> dict[str, int]:
+    """Ranks of the most frequent words of all documents, after those of WORDS; values in a credential context do not count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = Counter()
+            for t in b.column(0).to_pylist():
+                if t:
+                    at = 0
+                    for s, e in values(t, t.encode()):
+                        seen.update(LETTERS.findall(t[at:s].lower()))
+                        at = e
+                    seen.update(LETTERS.findall(t[at:].lower()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    counted = mapped(docs.select(docs["text"]), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN)
+    level = F.floor(F.log2("n") * 16).cast("int")  # at most 1024 levels
+    table = written(counted.withColumn("level", level), "words")
+    least, room = 1 << 10, DICTIONARY
+    for r in sorted(table.groupBy("level").agg(F.count("*").alias("n")).collect(), reverse=True):  # levels go in whole as long as they fit
+        if r["n"] > room:
+            break
+        least, room = r["level"], room - r["n"]
+    common = sorted(table.where(F.col("level") >= least).select("word", "n").collect(), key=lambda r: (-r["n"], r["word"]))
+    return {r["word"]: k + 1 for k, r in enumerate(common)} | {w: k + 1 for k, w in enumerate(WORDS)}
+
+
 @lru_cache(1)
 def _neighbours() -> dict[str, str]:
     near = {}
@@ -73,11 +106,10 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() else 33
 
 
-def segments(value: str) -> Iterator[tuple[int, int, float, str]]:
+def segments(value: str, ranks: dict[str, int] | None = None) -> Iterator[tuple[int, int, float, str]]:
     """(start, end, log10 of guesses, kind) of all segments of a value that are cheaper than brute force might be."""
-    low, n, ranks, near = value.lower(), len(value), _ranks(), _neighbours()
+    low, n, ranks, near = value.lower(), len(value), ranks or _ranks(), _neighbours()
     plain = low.translate(LOOKALIKE)
-    longest = max(map(len, ranks))
     #: Ends of the runs that begin at each character, from the last one back, so that time is linear: equal characters,
     #: neighbouring keys with their turns, equal steps (by the second character); and how far a shift by `width` agrees.
     same, walk, turns, step = [n] * (n + 1), [n] * (n + 1), [1] * (n + 1), [n] * (n + 1)
@@ -98,7 +130,7 @@ def segments(value: str) -> Iterator[tuple[int, int, float, str]]:
                 found[s] = found[s + 1] + 1
         alike.append(found)
     for s in range(n):
-        for e in range(s + 3, min(n, s + longest) + 1):
+        for e in range(s + 3, min(n, s + LONGEST) + 1):
             rank = ranks.get(low[s:e])
             swapped = 0
             if rank is None and plain[s:e] != low[s:e]:
@@ -120,14 +152,14 @@ def segments(value: str) -> Iterator[tuple[int, int, float, str]]:
             yield s, step[s + 1], math.log10(_alphabet(value[s]) * (step[s + 1] - s)), "sequence"
 
 
-def cheapest(value: str) -> list[tuple[float, int, str]]:
+def cheapest(value: str, ranks: dict[str, int] | None = None) -> list[tuple[float, int, str]]:
     """For each k, the least log10 of guesses for the first k characters, and start and kind of the last segment there.
 
     A run of brute force is kept as one segment, and each segment costs a factor of 2 for the attacker's choice of kinds."""
     n = len(value)
     choice = math.log10(2)
     ends: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for s, e, cost, kind in segments(value):
+    for s, e, cost, kind in segments(value, ranks):
         ends[e].append((s, cost, kind))
     best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
     for k in range(1, n + 1):
@@ -139,9 +171,9 @@ def cheapest(value: str) -> list[tuple[float, int, str]]:
     return best
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
+def guess_cost(value: str, ranks: dict[str, int] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the guesses for the cheapest segmentation of a value, and its segments."""
-    best, cut, k = cheapest(value), [], len(value)
+    best, cut, k = cheapest(value, ranks), [], len(value)
     while k:
         _, s, kind = best[k]
         cut.append((s, k, kind))
@@ -154,18 +186,29 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
 PREFIX, REACH = 256, 32
 
 
-def costly(value: str, least_cost: float) -> bool:
+def costly(value: str, least_cost: float, ranks: dict[str, int] | None = None) -> bool:
     """Whether guess_cost(value) is `least_cost` or more, decided on a prefix where that proves it."""
     size = PREFIX
     while size < len(value):
-        if min(best[0] for best in cheapest(value[:size])[-REACH - 1 :]) >= least_cost:
+        if min(best[0] for best in cheapest(value[:size], ranks)[-REACH - 1 :]) >= least_cost:
             return True
         size *= 4
-    return guess_cost(value)[0] >= least_cost
+    return guess_cost(value, ranks)[0] >= least_cost
 
 
-def scan(text: str, raw: bytes, least_cost: float) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of all spans of a text, by start, then kind as listed."""
+def values(text: str, raw: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values of 6 characters and more in a credential context."""
+    low = raw.lower()
+    if any(h in low for h in CONTEXT_HINTS) and (b":" in raw or b"=" in raw or b" is " in low):
+        for m in CONTEXT.finditer(text):
+            if LONG_NAME.search(m[1]) or SHORT_NAME.search(m[1]):
+                value = m[m.lastindex].rstrip(TRAILING)
+                if len(value) >= 6:
+                    yield m.start(m.lastindex), m.start(m.lastindex) + len(value)
+
+
+def scan(text: str, raw: bytes, least_cost: float, ranks: dict[str, int] | None = None) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of all spans of a text, by start, then kind as listed; ranks: of words, by default of WORDS alone."""
     low = raw.lower()
     found: list[tuple[int, int, int]] = []
     if any(h in low for h in ASSIGN_HINTS):
@@ -174,15 +217,10 @@ def scan(text: str, raw: bytes, least_cost: float) -> list[tuple[int, str, int]]
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     if LONG_HEX.search(raw):
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if any(h in low for h in CONTEXT_HINTS) and (b":" in raw or b"=" in raw or b" is " in low):
-        base = sorted(found)
-        for m in CONTEXT.finditer(text):
-            if not LONG_NAME.search(m[1]) and not SHORT_NAME.search(m[1]):
-                continue
-            value = m[m.lastindex].rstrip(TRAILING)
-            s, e = m.start(m.lastindex), m.start(m.lastindex) + len(value)
-            if len(value) >= 6 and not any(a <= s and e <= b for a, _, b in base) and costly(value, least_cost):
-                found.append((s, 3, e))
+    base = sorted(found)
+    for s, e in values(text, raw):
+        if not any(a <= s and e <= b for a, _, b in base) and costly(text[s:e], least_cost, ranks):
+            found.append((s, 3, e))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
 
@@ -191,12 +229,13 @@ LONG_HEX = re.compile(rb"[0-9a-f]{32}")
 
 def find_secrets(docs: DataFrame, least_cost: float = 8.0) -> DataFrame:
     """(row, spans, redacted) for each row; row is a struct of all its columns, redacted has <kind> for each span."""
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row = b.column(0)
             texts = row.field(row.type.get_field_index("text")).to_pylist()
-            spans = [scan(t, t.encode(), least_cost) if t else [] for t in texts]
+            spans = [scan(t, t.encode(), least_cost, ranks.value) if t else [] for t in texts]
             listed = [[{"kind": k, "start": s, "end": e} for s, k, e in x] for x in spans]
             yield pa.RecordBatch.from_arrays([row, pa.array(listed, SPANS), pa.array([redacted(t, x) if x else t for t, x in zip(texts, spans)], pa.string())], names=["row", "spans", "redacted"])
 
@@ -220,12 +259,13 @@ def redacted(text: str, spans: list[tuple[int, str, int]]) -> str:
 
 def scan_digests(docs: DataFrame, least_cost: float = 8.0) -> DataFrame:
     """Counts of the base kinds, digest of the base spans and all spans, for each row."""
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
-                spans = scan(t, t.encode(), least_cost) if t else []
+                spans = scan(t, t.encode(), least_cost, ranks.value) if t else []
                 kinds = [k for _, k, _ in spans]
                 base = ",".join(f"{k}:{s}:{e}" for s, k, e in spans if k != "guess")
                 out.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for s, k, e in spans)))

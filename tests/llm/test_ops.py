@@ -136,6 +136,16 @@ def test_names_around_a_keyword_are_credential_contexts():
     assert not spans_of("token" * 50_000) and not spans_of("pwd" + " " * 200_000)
 
 
+def test_plain_words_in_credential_contexts_stay(spark):
+    rows = [(0, "A simple door is required, the optional one is simple."), (1, "Bring the required and optional keys."), (2, "the secret is simple, login: required; auth: optional."), (3, "the secret is qzkmwpvx and pwd: x9$Kq!v2Lm"), (4, "the secret is qzkmwpvx"), (5, "password: simplerequired optional")]
+    docs = spark.createDataFrame(rows, DOCS)
+    ranks = secrets.word_ranks(docs)
+    assert {"simple", "required", "optional"} <= ranks.keys() and "qzkmwpvx" not in ranks and ranks["password"] == 1
+    out = {r["row"]["doc_id"]: r["redacted"] for r in secrets.find_secrets(docs).collect()}
+    assert out[2] == rows[2][1] and out[3] == "the secret is <guess> and pwd: <guess>" and out[4] == "the secret is <guess>"
+    assert {r["doc_id"]: r["spans"] for r in secrets.scan_digests(docs).collect()}[2] == ""
+
+
 def test_secret_queries(spark):
     rows = [(0, None), (1, ""), (2, 'é pwd: x9$Kq!v2Lm, password = "abcdefgh1"'), (2, "token=short pin: 123456"), (3, "x" * 200_000 + " AKIAABCDEFGHIJKL")]
     out = {(r["doc_id"], r["n_assign"], r["n_access"], r["spans"]): r["base_sha256"] for r in secrets.scan_digests(odd(spark, rows)).collect()}
