@@ -6,27 +6,34 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from tallyweave.functions.scalar import is_business_day
 
+#: Groups that rows without a key are dealt to.
+NULL_GROUPS = 1 << 16
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: dict[str, str], tie_break: list[str] | None = None) -> DataFrame:
     """left with, for each row, the values of the last right row of its key that is not later. Keeps all left rows.
 
     Both sides go into one window by key, right rows before left rows of the same time, and the last non-null
     struct is carried forward: one shuffle, no product of the sides. Among right rows of one time the last by
-    `tie_break` wins. values: {right column: output name}. Null keys and null times match nothing."""
-    picked = F.struct(F.lit(True).alias("hit"), *[F.col(c).alias(n) for c, n in values.items()])
-    ties = F.struct(*[F.col(c) for c in tie_break or []]) if tie_break else F.lit(None).cast("string")
-    ends = right.where(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), ties.alias("_tie"), picked.alias("_pick"))
-    begins = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"))
-    both = begins.unionByName(ends, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    known = F.lit(True)
+    `tie_break` wins. values: {right column: output name}. Null keys and null times match nothing; such left rows
+    are dealt by a hash, so that they do not meet in one task, and such right rows are left out."""
+    known = F.col("_t").isNotNull()
     for c in by:
         known = known & F.col(c).isNotNull()
+    picked = F.struct(F.lit(True).alias("hit"), *[F.col(c).alias(n) for c, n in values.items()])
+    ties = F.struct(*[F.col(c) for c in tie_break or []]) if tie_break else F.lit(None).cast("string")
+    ends = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), ties.alias("_tie"), picked.alias("_pick")).where(known)
+    plain = [F.col(f.name) for f in left.schema if not isinstance(f.dataType, (MapType, ArrayType, StructType))]
+    begins = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"), F.xxhash64(*plain).alias("_hash"))
+    begins = begins.withColumn("_salt", F.when(known, F.lit(0)).otherwise(F.pmod(F.col("_hash"), F.lit(NULL_GROUPS)))).drop("_hash")
+    both = begins.unionByName(ends.withColumn("_salt", F.lit(0).cast("long")), allowMissingColumns=True)
+    order = Window.partitionBy(*by, "_salt").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_pick", F.last("_pick", ignorenulls=True).over(order)).where("_side = 1")
-    found = [F.when(known & F.col("_t").isNotNull(), F.col("_pick")[n]).alias(n) for n in values.values()]
+    found = [F.when(known, F.col("_pick")[n]).alias(n) for n in values.values()]
     return out.select(*[F.col("_row")[c].alias(c) for c in left.columns], *found)
 
 
@@ -62,5 +69,6 @@ def daily_forward_fill(df: DataFrame, key: str, day: str, value: str) -> DataFra
 
 
 def holdings_on(days: DataFrame, securities: DataFrame, quantity: Column) -> DataFrame:
-    """Every security on every day with a quantity. Days are a calendar, so that side is broadcast."""
-    return securities.crossJoin(F.broadcast(days)).withColumn("held_shares", quantity)
+    """Every security on every day with a quantity. Days are a calendar, a row each, so each security makes its own."""
+    listed = [r[0] for r in days.select("as_of_date").distinct().orderBy("as_of_date").collect()]
+    return securities.withColumn("as_of_date", F.explode(F.lit(listed).cast("array<date>"))).withColumn("held_shares", quantity)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.scalar import mapped
 from tallyweave.schemas import require
+from tallyweave.staging import written
 
 #: Broker codes and what they stand for in the security master.
 SECURITY_TYPES = {"STK": "Common Stock", "OPT": "Option", "FUT": "Future", "BOND": "Bond", "CASH": "Cash", "CFD": "CFD"}
@@ -17,9 +18,18 @@ EXCHANGES = {"NASDAQ": "XNAS", "NYSE": "XNYS", "AMEX": "XASE", "SMART": "XNAS",
 MISSING_KEYS = ["symbol", "ib_security_type", "ib_exchange", "ib_currency"]
 
 
+def without_keys(existing: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
+    """Existing rows whose key is not among those of another table; a null is a key like any other."""
+    gone = keys_of.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    equal = F.lit(True)
+    for k in keys:
+        equal = equal & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return existing.join(gone, equal, "left_anti")
+
+
 def replaced_by(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Existing rows whose key is not in the batch, and the batch."""
-    return existing.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch, allowMissingColumns=True)
+    return without_keys(existing, batch, keys).unionByName(batch, allowMissingColumns=True)
 
 
 def upsert_market_data(existing: DataFrame, batch: DataFrame, strict: bool = False) -> DataFrame:
@@ -33,32 +43,44 @@ def upsert_index_constituents(existing: DataFrame, batch: DataFrame) -> DataFram
 
 
 def upsert_holdings(existing: DataFrame, batch: DataFrame, now: dt.datetime, by: str, strict: bool = False) -> DataFrame:
-    """Replaces by date and portfolio. strict: only the first date of the batch is cleared, for all its portfolios."""
-    stamped = batch.withColumns({"upsert_date": F.lit(now).cast("timestamp"), "upsert_by": F.lit(by)})
+    """Replaces by date and portfolio. strict: only the earliest date of the batch is cleared, for all its portfolios."""
+    batch_ = stamped(batch, now, by)
     if not strict:
-        return replaced_by(existing, stamped, ["as_of_date", "port_id"])
-    first = batch.limit(1).select("as_of_date").first()
-    if first is None:
-        return existing
-    cleared = batch.select(F.lit(first[0]).alias("as_of_date"), "port_id").distinct()
-    return existing.join(cleared, ["as_of_date", "port_id"], "left_anti").unionByName(stamped, allowMissingColumns=True)
+        return replaced_by(existing, batch_, ["as_of_date", "port_id"])
+    first = batch.agg(F.min("as_of_date")).first()[0]
+    cleared = batch.select(F.lit(first).cast("date").alias("as_of_date"), "port_id")
+    return without_keys(existing, cleared, ["as_of_date", "port_id"]).unionByName(batch_, allowMissingColumns=True)
+
+
+def stamped(rows: DataFrame, now: dt.datetime | None = None, by: str | None = None) -> DataFrame:
+    """rows with the stamps of a load: by default the time of the query and the session's user."""
+    return rows.withColumns({"upsert_date": F.lit(now).cast("timestamp") if now else F.current_timestamp(), "upsert_by": F.lit(by) if by else F.session_user()})
+
+
+def inserted_from(existing: DataFrame, selected: DataFrame, id_column: str, order: list[str], now: dt.datetime | None = None, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A table after an insert of selected rows, stamped and with new ids; and the inserted rows themselves, as an
+    insert that returns its identities does. Columns that the rows lack are null."""
+    new = written(with_new_ids(existing, stamped(selected, now, by), id_column, order), "inserted")
+    return existing.unionByName(new, allowMissingColumns=True), new
 
 
 def upsert_fundamentals(existing: DataFrame, batch: DataFrame, today: dt.date) -> DataFrame:
     """Versions of fundamentals. Active rows are open ones with a security and a metric of the batch (each by itself)
-    and the vendor and effective date of the batch's first row. None active: insert open. As many as the batch has:
-    replace them by the batch as it is. Else: close them today and insert the batch open. No batch: no change."""
-    first = batch.select("source_vendor", "effective_date").first()
-    if first is None:
+    and the vendor and effective date of the batch's first row by date and vendor (a load has one of each). None
+    active: insert open. As many as the batch has: replace them by the batch as it is. Else: close them today and
+    insert the batch open. No batch: no change."""
+    size, first = batch.agg(F.count("*"), F.min(F.struct("effective_date", "source_vendor"))).first()
+    if not size:
         return existing
+    first = (first["source_vendor"], first["effective_date"])
     securities, metrics = batch.select("security_id").distinct(), batch.select("metric_type").distinct()
     flagged = (
         existing.join(securities.withColumn("_s", F.lit(True)), "security_id", "left")
-        .join(F.broadcast(metrics.withColumn("_m", F.lit(True))), "metric_type", "left")
-        .withColumn("_active", F.coalesce(F.col("_s") & F.col("_m") & F.col("end_date").isNull() & (F.col("source_vendor") == F.lit(first[0])) & (F.col("effective_date") == F.lit(first[1])), F.lit(False)))
+        .join(metrics.withColumn("_m", F.lit(True)), "metric_type", "left")
+        .withColumn("_active", F.coalesce(F.col("_s") & F.col("_m") & F.col("end_date").isNull() & F.col("source_vendor").eqNullSafe(F.lit(first[0])) & F.col("effective_date").eqNullSafe(F.lit(first[1]).cast("date")), F.lit(False)))
         .select(*existing.columns, "_active")
     )
-    active, size = flagged.where("_active").count(), batch.count()
+    active = flagged.where("_active").count()
     opened = batch.withColumn("end_date", F.lit(None).cast("date"))
     if active == 0:
         return existing.unionByName(opened.select(*existing.columns))
@@ -69,22 +91,17 @@ def upsert_fundamentals(existing: DataFrame, batch: DataFrame, today: dt.date) -
 
 
 def with_new_ids(existing: DataFrame, batch: DataFrame, id_column: str, order: list[str]) -> DataFrame:
-    """batch with ids after the largest one of existing, in the given order.
+    """batch with ids after the largest one of existing, in the given order, without a gap.
 
-    Ids are dealt by range: the rows are sorted over all partitions, counted in each, and numbered from the sum of
-    the counts before, so no task sees more than its own rows."""
+    The rows are dealt by range and written with the number of the range that holds them, so that counting and
+    numbering see the same ranges whatever adaptive execution does. A row's id is the number of rows in the ranges
+    before its own, and its place there; no task sees more than one range, and one row a range is summed up."""
     top = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("long")).first()[0]
-    ranked = batch.drop(id_column).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = {r["_part"]: r["n"] for r in ranked.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row for each partition
-    base, at = {}, top
-    for part in sorted(counts):
-        base[part] = at
-        at += counts[part]
-    if not base:
-        return batch.withColumn(id_column, F.lit(None).cast("long"))
-    start = F.create_map(*[x for part, n in base.items() for x in (F.lit(part), F.lit(n).cast('long'))])
-    return ranked.withColumn(id_column, start[F.col("_part")] + F.col("_n").cast("long")).drop("_part", "_n")
+    ranked = written(batch.drop(id_column).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranked.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", (F.coalesce(F.sum("_size").over(before), F.lit(0)) + F.lit(top)).alias("_base"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranked.withColumn("_nth", nth).join(bases, "_part").withColumn(id_column, F.col("_base") + F.col("_nth")).drop("_part", "_nth", "_base")
 
 
 def missing_securities(positions: DataFrame, security_master: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators.returns import KEYS
 from tallyweave.schemas import require
+from tallyweave.staging import written
 
 METHODS = ("equal_weighted", "market_weighted", "price_weighted")
 
@@ -46,14 +47,16 @@ def portfolio_weights(df: DataFrame, price: str = "close", method: str = "equal_
 
     The market weight takes the price of the row before in the list of all dates, 0 if the security has no quote on
     that date. That is a lag with a check of the date's ordinal, so the dense grid of prices is never built; only
-    the output is made dense, if asked for."""
+    the output is made dense, if asked for, by each quote filling the dates up to the next one. The cells are
+    written once, so that the list of dates and the weights are read from there."""
     require(df, "as_of_date", "portfolio_short_name", "security_id", "portfolio_type", price)
     shared = held_shares(df, price).where(" and ".join(f"{k} is not null" for k in KEYS))
-    cells = shared.groupBy(*KEYS).agg(F.avg(F.col(price).cast("double")).alias("px"), F.avg("held_shares").alias("held"))
-    dates = cells.select("as_of_date").distinct().withColumn("nth", F.row_number().over(Window.orderBy("as_of_date")))  # one row for each calendar day
+    cells = written(shared.groupBy(*KEYS).agg(F.avg(F.col(price).cast("double")).alias("px"), F.avg("held_shares").alias("held")), "cells")
+    # One row for each calendar day, so its window may be one task; Catalyst broadcasts it by its size.
+    dates = written(cells.select("as_of_date").distinct().withColumn("nth", F.row_number().over(Window.orderBy("as_of_date"))), "dates")
     day = Window.partitionBy("as_of_date", "portfolio_short_name")
     line = Window.partitionBy("portfolio_short_name", "security_id").orderBy("nth")
-    rows = cells.join(F.broadcast(dates), "as_of_date")
+    rows = cells.join(dates, "as_of_date")
     rows = rows.withColumns({"held": F.coalesce("held", F.lit(0.0)), "px": F.coalesce("px", F.lit(0.0))})
     rows = rows.withColumn("px_before", F.when(F.lag("nth").over(line) == F.col("nth") - 1, F.lag("px").over(line)).otherwise(0.0))
     value = F.col("held") * F.col("px_before")
@@ -66,8 +69,11 @@ def portfolio_weights(df: DataFrame, price: str = "close", method: str = "equal_
     chosen = F.lit(None).cast("double")
     for name, column in weight.items():
         chosen = F.when(method_of(method, overrides) == name, column).otherwise(chosen)
-    out = rows.select(*KEYS, F.coalesce(chosen, F.lit(0.0)).alias("weight"))
+    weighted = rows.select("as_of_date", "nth", "portfolio_short_name", "security_id", F.coalesce(chosen, F.lit(0.0)).alias("weight"))
     if not dense:
-        return out
-    grid = cells.select("portfolio_short_name", "security_id").distinct().crossJoin(F.broadcast(dates.select("as_of_date")))
-    return grid.join(out, KEYS, "left").select(*KEYS, F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        return weighted.drop("nth").select(*KEYS, "weight")
+    n_dates = dates.agg(F.coalesce(F.max("nth"), F.lit(0))).first()[0]
+    low = F.when(F.lag("nth").over(line).isNull(), 1).otherwise(F.col("nth"))
+    high = F.coalesce(F.lead("nth").over(line) - 1, F.lit(n_dates))
+    filled = weighted.withColumns({"low": low, "high": high}).select("portfolio_short_name", "security_id", F.col("nth").alias("own"), "weight", F.explode(F.sequence("low", "high")).alias("nth"))
+    return filled.join(dates, "nth").select(*KEYS, F.when(F.col("nth") == F.col("own"), F.col("weight")).otherwise(0.0).alias("weight"))
