@@ -77,10 +77,9 @@ def truncated(text: Column, most: int, marker: str = "...") -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit(marker))).otherwise(text)
 
 
-def content_hash(*parts: Column) -> Column:
-    """SHA-256 of the parts in their order; equal contents have equal hashes at any time."""
-    return F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256)
-
-
-def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
+def content_hash(*parts: Column, kind: str = "sha256") -> Column:
+    """sha256 or md5 of the parts in their order, null as empty; equal contents have equal hashes at any time."""
+    content = F.concat_ws("\x1f", *[F.coalesce(p, F.lit("")) for p in parts]).cast("binary")
+    if kind not in ("sha256", "md5"):
+        raise ValueError(f"unknown hash {kind!r}")
+    return F.sha2(content, 256) if kind == "sha256" else F.md5(content)

@@ -9,17 +9,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIZE, OVERLAP, LEAST = 1000, 200, 100
-QUOTES = ('"""', "'''")
-
+from tallyweave.staging import mapped
 
-def is_boundary(line: str) -> bool:
-    """A line at which a chunk may rather end: a definition, a banner, a docstring's border, a longer comment."""
-    s = line.strip()
-    return s.startswith(("def ", "class ", "# ===", *QUOTES)) or s.endswith(QUOTES) or (s.startswith("#") and len(s) > 10)
+SIZE, OVERLAP, LEAST = 1000, 200, 100
+#: What makes a stripped line a border, at which a chunk may rather end: how it begins, or how it ends.
+BORDER = re.compile(r"^(?:def |class |# ===|\"{3}|'{3}|#.{10})|(?:\"{3}|'{3})$")
 
 
 def chunk(text: str, size: int = SIZE, overlap: int = OVERLAP, boundary_aware: bool = False, near: int = 3) -> list[str]:
@@ -34,7 +31,7 @@ def chunk(text: str, size: int = SIZE, overlap: int = OVERLAP, boundary_aware: b
     if boundary_aware:
         marks = [0] * (len(lines) + 1)
         for k, line in enumerate(lines):
-            if is_boundary(line):
+            if BORDER.search(line.strip()):
                 marks[max(0, k - near)] += 1
                 marks[min(len(lines), k + near + 1)] -= 1
         depth = 0
@@ -64,26 +61,6 @@ DECORATED = {
     "function": re.compile(r"((?:@\w+(?:\([^)]*\))?\s*\n)*)\s*def\s+(\w+)\s*\([^)]*\)(?:\s*->\s*[^:]+)?:[^{]*?(?=\n(?:def|class|\Z|@\w+\s*\ndef|@\w+\s*\nclass))", re.S | re.M),
     "class": re.compile(r"((?:@\w+(?:\([^)]*\))?\s*\n)*)\s*class\s+(\w+)(?:\([^)]*\))?:[^{]*?(?=\n(?:def|class|\Z|@\w+\s*\ndef|@\w+\s*\nclass))", re.S | re.M),
 }
-METHOD = re.compile(r"\n\s+def\s+\w+")
-
-
-def entities(code: str, with_imports: bool = True) -> Iterator[dict]:
-    """Functions, then classes, of a source text of over LEAST characters each; with_imports puts the imports of the
-    first 20 lines before each and tells decorators, methods and lines."""
-    imports = "\n".join(s for s in (line.strip() for line in code.split("\n")[:20]) if s.startswith(("import ", "from ")))
-    for kind, pattern in (DECORATED if with_imports else SIMPLE).items():
-        for m in pattern.finditer(code):
-            body = m[0].strip()
-            if len(body) <= LEAST:
-                continue
-            out = {"entity_type": kind, "entity_name": m[2] if with_imports else m[1], "content": body, "has_decorators": None, "method_count": None, "line_count": None}
-            if with_imports:
-                out |= {"content": f"{imports}\n\n{body}" if imports else body, "has_decorators": bool((m[1] or "").strip()), "line_count": body.count("\n") + 1}
-                if kind == "class":
-                    out["method_count"] = len(METHOD.findall(body))
-            yield out
-
-
 def chunk_texts(df: DataFrame, id_column: str, text_column: str = "text", size: int = SIZE, overlap: int = OVERLAP, boundary_aware: bool = False) -> DataFrame:
     """(id, chunk_no, content): chunks of each text from 0; null text has none."""
     kind = df.schema[id_column].dataType.simpleString()
@@ -94,23 +71,51 @@ def chunk_texts(df: DataFrame, id_column: str, text_column: str = "text", size:
             ids, numbers, texts = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[id_column, "chunk_no", "content"])
 
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, chunk_no int, content string")
+    return mapped(df.select(id_column, text_column), run, f"`{id_column}` {kind}, chunk_no int, content string")
 
 
-ENTITY = "entity_no int, entity_type string, entity_name string, content string, has_decorators boolean, method_count int, line_count int"
+def import_lines(code: Column) -> Column:
+    """The import statements among the first 20 lines, one a line."""
+    plain = F.transform(F.slice(F.split(code, "\n"), 1, 20), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.array_join(F.filter(plain, lambda x: x.rlike("^(?:import|from) ")), "\n")
 
 
 def code_entities(df: DataFrame, id_column: str, text_column: str = "text", with_imports: bool = True) -> DataFrame:
-    """(id, entity_no, entity_type, entity_name, content, has_decorators, method_count, line_count)."""
+    """(id, entity_no, entity_type, entity_name, content, has_decorators, method_count, line_count): functions, then
+    classes, of over LEAST characters each. with_imports puts the text's imports before each, and tells decorators,
+    lines and a class's methods; without, those three are null.
+
+    Only the patterns run in Python, which yield place, name, decorators and body; the rest is column expressions."""
     kind = df.schema[id_column].dataType.simpleString()
-    types = [("entity_no", pa.int32()), ("entity_type", pa.string()), ("entity_name", pa.string()), ("content", pa.string()), ("has_decorators", pa.bool_()), ("method_count", pa.int32()), ("line_count", pa.int32())]
+    forms = DECORATED if with_imports else SIMPLE
+    columns = [("entity_no", pa.int32()), ("entity_type", pa.string()), ("entity_name", pa.string()), ("above", pa.string()), ("body", pa.string()), ("imports", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(k, {"entity_no": n} | e) for k, t in enumerate(b.column(1).to_pylist()) if t for n, e in enumerate(entities(t, with_imports))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in found], pa.int64())), *(pa.array([e[n] for _, e in found], t) for n, t in types)], names=[id_column, *(n for n, _ in types)])
-
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, {ENTITY}")
+            owner, cells = [], []
+            for k, (code, imports) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                hits = [(form, m[m.lastindex], m[1], m[0].strip()) for form, pattern in forms.items() for m in pattern.finditer(code or "")]
+                hits = [x for x in hits if len(x[3]) > LEAST]
+                owner += [k] * len(hits)
+                cells += [(n, *x, imports) for n, x in enumerate(hits)]
+            made = [pa.array(x, t) for x, (_, t) in zip(zip(*cells) if cells else [[]] * len(columns), columns)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *made], names=[id_column, *(n for n, _ in columns)])
+
+    found = mapped(df.select(id_column, text_column, import_lines(F.col(text_column)).alias("imports")), run, f"`{id_column}` {kind}, entity_no int, entity_type string, entity_name string, above string, body string, imports string")
+    if not with_imports:
+        none = F.lit(None)
+        return found.select(id_column, "entity_no", "entity_type", "entity_name", F.col("body").alias("content"), none.cast("boolean").alias("has_decorators"), none.cast("int").alias("method_count"), none.cast("int").alias("line_count"))
+    methods = F.regexp_count("body", F.lit(r"(?U)\n\s+def\s+\w+"))
+    return found.select(
+        id_column,
+        "entity_no",
+        "entity_type",
+        "entity_name",
+        F.when(F.col("imports") != "", F.concat("imports", F.lit("\n\n"), "body")).otherwise(F.col("body")).alias("content"),
+        F.col("above").rlike(r"(?U)\S").alias("has_decorators"),
+        F.when(F.col("entity_type") == "class", methods).alias("method_count"),
+        (F.regexp_count("body", F.lit("\n")) + 1).alias("line_count"),
+    )
 
 
 def file_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

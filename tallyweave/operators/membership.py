@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.scalar import clipped, half_even
 from tallyweave.operators.temporal import daily_forward_fill
+from tallyweave.sources.vendor import constituent_changes, constituents_as_of
 
 INTERVAL = "struct<ticker:string,start_date:timestamp,end_date:timestamp>"
 
@@ -54,6 +55,14 @@ def enriched(intervals: DataFrame, security_master: DataFrame, now: dt.datetime,
     return named.select(F.lit(index_id).cast("long").alias("index_id"), F.col("security_id").cast("long").alias("security_id"), "exchange_ticker", "start_date", "end_date", F.lit("refinitive").alias("source_vendor"), F.lit(now).cast("timestamp").alias("upsert_date"), F.lit("tallyweave.membership").alias("upsert_by"), "ric")
 
 
+def index_constituents(members: DataFrame, changes: DataFrame, tickers: DataFrame, security_master: DataFrame, start: dt.date, now: dt.datetime, index_id: int = 1) -> DataFrame:
+    """Constituent rows of an index from its members (ric, exchange_ticker) at the start, the changes since (ric, date,
+    seq, change), tickers (ric, exchange_ticker) and the security master: snapshot, events, fold, security ids."""
+    seeds, events = constituents_as_of(members, start), constituent_changes(changes, tickers)
+    intervals = membership_intervals(seeds.select("ric", "exchange_ticker"), events, dt.datetime.combine(start, dt.time()))
+    return enriched(intervals, security_master, now, index_id)
+
+
 def float_adjusted_shares(constituents: DataFrame, shares: DataFrame, free_float: DataFrame, seq: str | None = None) -> DataFrame:
     """(security_id, metric_type, metric_value, source_vendor, effective_date, end_date).
 

@@ -34,6 +34,17 @@ def position_issues(positions: DataFrame) -> tuple[bool, list[str]]:
     return not issues, issues
 
 
+def issue_rows(positions: DataFrame) -> DataFrame:
+    """(issue) rows for positions; none if they are valid."""
+    return positions.sparkSession.createDataFrame([(x,) for x in position_issues(positions)[1]], "issue string")
+
+
+def without_null_columns(df: DataFrame) -> DataFrame:
+    """df without the columns that are null in every row, found in one pass; an empty table keeps all of them."""
+    counts = df.agg(F.count("*").alias("_rows"), *[F.count(F.col(c)).alias(c) for c in df.columns]).first()
+    return df.select(*[c for c in df.columns if counts[c] or not counts["_rows"]])
+
+
 def clean_positions(positions: DataFrame) -> DataFrame:
     """Symbols trimmed in upper case, numbers as doubles (null if they are none); zero rows stay."""
     rules = {"symbol": clean_symbol(F.col("symbol")), "held_shares": number(F.col("held_shares")), "avg_cost": number(F.col("avg_cost"))}

@@ -1,4 +1,4 @@
-"""Vector search, reranking, context packing and conversation memory."""
+"""Reranking of search results, context packing and conversation memory."""
 
 from __future__ import annotations
 
@@ -7,23 +7,24 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.scalar import squared_l2
-
+#: Words by which a question is taken to ask for functions, classes or tables.
 FUNCTION_WORDS, CLASS_WORDS, DB_WORDS = ("function", "def", "method", "call"), ("class", "object", "inherit"), ("table", "column", "database", "sql", "select")
 SIMPLE_WORDS = ("function", "class", "method", "def")
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int = 15, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """The k rows of least squared L2 distance, ties by id; exact. Each task keeps k rows, so nothing is shuffled but those."""
-    literal = F.lit([float(x) for x in query]).cast("array<double>")
-    return vectors.withColumn("distance", squared_l2(F.col(column), literal)).orderBy("distance", id_column).limit(k)
+def best(found: DataFrame, k: int, by: list[str] | None) -> DataFrame:
+    """The k rows of the highest score, ties by rank; of each group if `by` names columns."""
+    if not by:
+        return found.orderBy(F.desc("score"), "rank").limit(k)
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "rank")
+    return found.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k).drop("_nth")
 
 
-def rerank_simple(found: DataFrame, query: str, k: int = 5) -> DataFrame:
+def rerank_simple(found: DataFrame, query: str, k: int = 5, by: list[str] | None = None) -> DataFrame:
     """score 1 / (1 + distance), and 0.1 more for semantic chunks if the query speaks of code; ties by rank."""
     bonus = 0.1 if any(w in query.lower() for w in SIMPLE_WORDS) else 0.0
     score = F.lit(1.0) / (1.0 + F.col("distance")) + F.when(F.col("type") == "code_semantic", bonus).otherwise(0.0)
-    return found.withColumn("score", score).orderBy(F.desc("score"), "rank").limit(k)
+    return best(found.withColumn("score", score), k, by)
 
 
 def rerank_score(query: str, now: dt.datetime) -> Column:
@@ -47,8 +48,8 @@ def rerank_score(query: str, now: dt.datetime) -> Column:
     return F.lit(1.0) / (1.0 + F.col("distance")) + 0.15 * bonus + 0.05 * recency + 0.1 * liked + 0.05 * length
 
 
-def rerank(found: DataFrame, query: str, now: dt.datetime, k: int = 8) -> DataFrame:
-    return found.withColumn("score", rerank_score(query, now)).orderBy(F.desc("score"), "rank").limit(k)
+def rerank(found: DataFrame, query: str, now: dt.datetime, k: int = 8, by: list[str] | None = None) -> DataFrame:
+    return best(found.withColumn("score", rerank_score(query, now)), k, by)
 
 
 def packed_context(chunks: DataFrame, group: list[str], order: str, most: int = 8000) -> DataFrame:
@@ -56,20 +57,27 @@ def packed_context(chunks: DataFrame, group: list[str], order: str, most: int =
 
     A chunk is a header line and its content. The first chunk that would pass the budget is cut if over 100
     characters of room are left, and taken; packing goes on as long as room is left. Columns: source, type,
-    content, metadata map(entity_type, file_type, line_count). A group is one context of at most a few dozen
-    chunks, so it is one row."""
+    content, metadata map(entity_type, file_type, line_count).
+
+    A running sum within the group first drops chunks that cannot be reached, so a context gathers no more chunks
+    than fill the budget, however large its group is: what is taken whole adds its length, a chunk that is cut
+    leaves under 100 characters, and no chunk with its header is under 17, so the third after that finds no room."""
     meta = F.col("metadata")
     extra = F.concat(*[F.coalesce(F.concat(F.lit(f" | {label}: "), F.nullif(meta[key], F.lit(""))), F.lit("")) for label, key in (("Entity", "entity_type"), ("Type", "file_type"), ("Lines", "line_count"))])
     line = Window.partitionBy(*group).orderBy(order)
-    rows = chunks.withColumn("_n", F.row_number().over(line)).withColumn("_head", F.concat(F.lit("[Source "), F.col("_n").cast("string"), F.lit(": "), F.col("source"), F.lit(" ("), F.col("type"), F.lit(")"), extra, F.lit("]")))
-    listed = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_n", "_head", F.coalesce("content", F.lit("")).alias("body")))).alias("_rows"))
+    rows = chunks.select(*group, order, F.coalesce("content", F.lit("")).alias("body"), "source", "type", extra.alias("_extra")).withColumn("_n", F.row_number().over(line))
+    rows = rows.withColumn("_head", F.concat(F.lit("[Source "), F.col("_n").cast("string"), F.lit(": "), F.coalesce("source", F.lit("")), F.lit(" ("), F.coalesce("type", F.lit("")), F.lit(")"), "_extra", F.lit("]")))
+    room = F.sum((F.char_length("_head") + F.char_length("body")).cast("long")).over(line.rowsBetween(Window.unboundedPreceding, -3))
+    near = rows.withColumn("_used", room).where(F.coalesce("_used", F.lit(0)) < most)
+    body = F.substring("body", 1, most + 1)  # its length still tells whether it fits, and a cut takes less
+    listed = near.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_n", "_head", body.alias("body")))).alias("_rows"))
 
     def step(state: Column, r: Column) -> Column:
-        head, body = F.char_length(r["_head"]), F.char_length(r["body"])
-        room = most - state["used"] - head - 100
-        over = state["used"] + head + body + 50 > most
-        text = F.concat(r["_head"], F.lit("\n"), F.when(over, F.concat(F.substring(r["body"], F.lit(1), F.greatest(room, F.lit(0))), F.lit("\n... [truncated]"))).otherwise(r["body"]), F.lit("\n"))
-        fits = ~state["done"] & (~over | (room > 100))
+        head, size = F.char_length(r["_head"]), F.char_length(r["body"])
+        left = most - state["used"] - head - 100
+        over = state["used"] + head + size + 50 > most
+        text = F.concat(r["_head"], F.lit("\n"), F.when(over, F.concat(F.substring(r["body"], F.lit(1), F.greatest(left, F.lit(0))), F.lit("\n... [truncated]"))).otherwise(r["body"]), F.lit("\n"))
+        fits = ~state["done"] & (~over | (left > 100))
         return F.struct(F.when(fits, F.concat(state["parts"], F.array(text))).otherwise(state["parts"]).alias("parts"), F.when(fits, state["used"] + F.char_length(text)).otherwise(state["used"]).alias("used"), (~fits).alias("done"))
 
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("used"), F.lit(False).alias("done"))
@@ -84,13 +92,3 @@ def conversation_context(exchanges: DataFrame, group: str, order: str, keep: int
     rows = exchanges.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= min(keep, shown))
     text = F.concat(F.lit("Previous Q: "), F.coalesce("query", F.lit("")), F.lit("\nPrevious A: "), F.substring(F.coalesce("response", F.lit("")), 1, most), F.lit("..."))
     return rows.groupBy(group).agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("_n", text.alias("text"))))), lambda r: r["text"]), "\n").alias("context"))
-
-
-def index_kind(n: int) -> dict[str, int | str]:
-    """What an external vector index would use for n vectors; search here is exact at every size."""
-    if n > 10_000:
-        nlist = min(int(n**0.5), 1000)
-        return {"kind": "ivf", "nlist": nlist, "nprobe": min(nlist // 4, 50)}
-    if n > 1000:
-        return {"kind": "hnsw", "m": 32, "ef_construction": 200, "ef_search": 64}
-    return {"kind": "flat"}

@@ -108,9 +108,14 @@ def var_report(returns: DataFrame, weights: DataFrame, var: Var, column: str = "
     return out
 
 
-def aligned(returns: DataFrame, weights: DataFrame) -> None:
-    """A ValueError if a portfolio's weights and returns do not name the same securities."""
+def unaligned(returns: DataFrame, weights: DataFrame) -> DataFrame:
+    """(portfolio_short_name, security_id, missing_in) of securities that only returns or only weights name."""
     keys = ["portfolio_short_name", "security_id"]
     a, b = returns.select(*keys).distinct(), weights.select(*keys).distinct()
-    if not a.join(b, keys, "left_anti").unionByName(b.join(a, keys, "left_anti")).isEmpty():
+    return a.join(b, keys, "left_anti").withColumn("missing_in", F.lit("weights")).unionByName(b.join(a, keys, "left_anti").withColumn("missing_in", F.lit("returns")))
+
+
+def aligned(returns: DataFrame, weights: DataFrame) -> None:
+    """A ValueError if a portfolio's weights and returns do not name the same securities."""
+    if not unaligned(returns, weights).isEmpty():
         raise ValueError("weights and returns have different securities")

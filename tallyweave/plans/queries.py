@@ -3,41 +3,25 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.scalar import date_range, half_even, last_weekday, snake_case_column
-from tallyweave.operators import chunking, membership, quality, retrieval, returns, risk, temporal, upsert, weights
+from tallyweave.operators import chunking, membership, quality, retrieval, returns, risk, search, temporal, upsert, weights
 from tallyweave.operators.portfolio import portfolio_market_data
 from tallyweave.plans import views
+from tallyweave.plans.registry import query, rounded
 from tallyweave.plans.views import ctes, table
 from tallyweave.sources import vendor
+from tallyweave.staging import written
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 NOW, DAY = dt.datetime(2024, 2, 1, 12), dt.date(2024, 2, 1)
 VAR = risk.Var(lookback_days=24, horizon_days=1, confidence=0.95)
 Z = VAR.z
 FIRST, LAST = dt.date(2024, 1, 1), dt.date(2024, 1, 30)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
 RETURNS = "select as_of_date, portfolio_short_name, security_id, round(simple_return, 6) as simple_return, round(log_return, 6) as log_return from returns"
 
 
@@ -84,8 +68,8 @@ def weights_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(weights.portfolio_weights(views.market(spark, sf), method="equal_weighted", overrides={"view": ["market_weighted", "price_weighted"], "click": "price_weighted"}), "weight")
 
 
-def _portfolio_returns(spark: SparkSession, sf: str) -> DataFrame:
-    m = views.market(spark, sf)
+def _portfolio_returns(spark: SparkSession, sf: str, base: float = 0.0) -> DataFrame:
+    m = written(views.market(spark, sf).withColumn("close", F.col("close") + base), "market")  # read by weights and by returns
     return returns.portfolio_returns(weights.portfolio_weights(m), returns.constituent_returns(m))
 
 
@@ -98,14 +82,39 @@ def portfolio_return(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_portfolio_returns(spark, sf), "portfolio_return")
 
 
+#: Averages of event values jump by their own size from day to day; on this base their returns are those of prices.
+BASE = 1000.0
+
+
 @query(
-    ctes("portfolio", "market", "returns", "grid")
+    ctes("portfolio", "market", "returns", "grid").replace("avg(value) as close", f"avg(value) + {BASE} as close")
     + PORTFOLIO_RETURN
     + """, grown as (select *, exp(sum(portfolio_return) over (partition by portfolio_short_name order by as_of_date)) - 1 as g from portfolio_return)
 select as_of_date, portfolio_short_name, round((g - first_value(g) over (partition by portfolio_short_name order by as_of_date)) * 100, 6) as cumulative_pct from grown"""
 )
 def cumulative_return(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(returns.cumulative_returns(_portfolio_returns(spark, sf)), "cumulative_pct")
+    return rounded(returns.cumulative_returns(_portfolio_returns(spark, sf, BASE)), "cumulative_pct")
+
+
+@query(ctes("portfolio", "market", "returns", "grid") + PORTFOLIO_RETURN + "select as_of_date, portfolio_short_name, round(portfolio_return, 6) as portfolio_return, round(portfolio_return * 100, 6) as percent from portfolio_return")
+def percent_returns(spark: SparkSession, sf: str) -> DataFrame:
+    """The series that a chart of returns takes."""
+    return rounded(returns.percent_returns(_portfolio_returns(spark, sf)), "portfolio_return", "percent")
+
+
+CELLS = [(p, s) for p in ("click", "error", "purchase", "signup", "view") for s in range(10)]
+
+
+@query(
+    ctes("portfolio", "market", "returns")
+    + "select as_of_date, "
+    + ", ".join(f"""round(avg(simple_return) filter (where portfolio_short_name = '{p}' and security_id = {s}), 6) as "{p}|{s}\"""" for p, s in CELLS)
+    + " from returns group by as_of_date"
+)
+def wide_returns(spark: SparkSession, sf: str) -> DataFrame:
+    """Returns as a table with a column for each portfolio and security, in their order."""
+    found = returns.wide(returns.constituent_returns(views.market(spark, sf)), "simple_return")
+    return rounded(found, *found.columns[1:])
 
 
 RISK = """, dates as (select distinct as_of_date from returns order by 1 desc limit 24),
@@ -122,7 +131,7 @@ RISK_CTES = ctes("portfolio", "market", "returns", "grid") + RISK
 
 
 def _risk_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    m = views.market(spark, sf)
+    m = written(views.market(spark, sf), "market")  # read by returns and by weights
     return returns.constituent_returns(m), risk.latest_weights(weights.portfolio_weights(m, method="price_weighted"))
 
 
@@ -142,7 +151,14 @@ def var_parametric(spark: SparkSession, sf: str) -> DataFrame:
 from (select *, '1-Day 95% Historical VaR' as name from historical union all select *, '1-Day 95% Parametric VaR' from parametric)"""
 )
 def var_report(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(risk.var_report(*_risk_inputs(spark, sf), VAR), "MetricValue")
+    return rounded(risk.var_report(*_risk_inputs(spark, sf), VAR, check=True), "MetricValue")
+
+
+@query(ctes("portfolio", "market", "returns") + "select portfolio_short_name, security_id, case when w is null then 'weights' else 'returns' end as missing_in from (select distinct portfolio_short_name, security_id, 1 as r from returns) full join (select portfolio_short_name, security_id, 1 as w from market where portfolio_type = 'Portfolio' group by all) using (portfolio_short_name, security_id) where r is null or w is null")
+def weights_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Securities that only one side of a value at risk names; here the weights lack the benchmark."""
+    m = views.market(spark, sf)
+    return risk.unaligned(returns.constituent_returns(m), m.where("portfolio_type = 'Portfolio'"))
 
 
 @query(
@@ -167,10 +183,6 @@ def portfolio_market_data_(spark: SparkSession, sf: str) -> DataFrame:
     joined = portfolio_market_data(views.portfolio(spark, sf), views.holdings(spark, sf), views.security_master(spark, sf), views.market_data(spark, sf), views.fundamentals(spark, sf))
     return rounded(joined, "close")
 
-
-for _kept in (QUERIES, ORACLES):
-    _kept["portfolio_market_data"] = _kept.pop("portfolio_market_data_")
-
 SPINE = "with recursive days(dt) as (select date '2024-01-01' union all select cast(dt + 1 as date) from days where dt {} date '2024-01-30')"
 
 
@@ -182,12 +194,12 @@ def business_days(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     SPINE.format("<")
-    + """, picked as (select p_partkey as security_id, 'S' || p_partkey as symbol from part where p_partkey < 10)
+    + """, picked as (select p_partkey as security_id, 'S' || p_partkey as symbol from part)
 select dt as as_of_date, security_id, case symbol when 'S1' then 100.0::double when 'S2' then 250.0::double else 10.0::double end as held_shares, 1 as port_id from days cross join picked where dayofweek(dt) between 1 and 5"""
 )
 def holdings_generator(spark: SparkSession, sf: str) -> DataFrame:
     days = temporal.business_days(spark, FIRST, LAST).withColumnRenamed("dt", "as_of_date")
-    picked = views.security_master(spark, sf).where("security_id < 10").select("security_id", "symbol")
+    picked = views.security_master(spark, sf).select("security_id", "symbol")
     quantity = F.when(F.col("symbol") == "S1", 100.0).when(F.col("symbol") == "S2", 250.0).otherwise(10.0)
     return temporal.holdings_on(days, picked, quantity).select("as_of_date", "security_id", "held_shares", F.lit(1).alias("port_id"))
 
@@ -238,14 +250,15 @@ def float_adjusted_shares(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(membership.float_adjusted_shares(members, shares, free), "metric_value")
 
 
-HALVES = """, existing as (select as_of_date, security_id, round(close, 6) as close, volume from market_data where security_id < 7), batch as (select as_of_date, security_id, round(close + 1, 6) as close, volume from market_data where security_id >= 5 and as_of_date >= date '2024-01-15')
+HALVES = """, existing as (select as_of_date, security_id, round(close, 6) as close, volume from market_data where as_of_date <= date '2024-01-20'), batch as (select as_of_date, security_id, round(close + 1, 6) as close, volume from market_data where as_of_date >= date '2024-01-15')
 """
 
 
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    data = views.market_data(spark, sf)
-    batch = data.where("security_id >= 5 and as_of_date >= date'2024-01-15'").withColumn("close", F.col("close") + 1)
-    return rounded(data.where("security_id < 7"), "close"), rounded(batch, "close")
+    """What is stored, and a load that begins before its end; every row is in one or both."""
+    data = written(views.market_data(spark, sf), "market_data")
+    batch = data.where("as_of_date >= date'2024-01-15'").withColumn("close", F.col("close") + 1)
+    return rounded(data.where("as_of_date <= date'2024-01-20'"), "close"), rounded(batch, "close")
 
 
 @query(ctes("portfolio", "market", "market_data") + HALVES + "select * from existing anti join batch using (as_of_date, security_id) union all select * from batch")
@@ -260,29 +273,57 @@ def upsert_market_data_by_date(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     ctes("portfolio", "market", "holdings")
-    + """, existing as (select *, timestamp '2024-01-01 00:00:00' as upsert_date, 'seed' as upsert_by from holdings),
-batch as (select as_of_date, port_id, security_id, held_shares * 2 as held_shares, timestamp '2024-02-01 12:00:00' as upsert_date, 'load' as upsert_by from holdings where port_id <= 2 and as_of_date = date '2024-01-10' and security_id < 8)
+    + """, existing as (select *, timestamp '2024-01-01 00:00:00' as upsert_date, 'seed' as upsert_by from holdings where as_of_date <= date '2024-01-20'),
+batch as (select as_of_date, port_id, security_id, held_shares * 2 as held_shares, timestamp '2024-02-01 12:00:00' as upsert_date, 'load' as upsert_by from holdings where as_of_date >= date '2024-01-10')
 select as_of_date, port_id, security_id, held_shares, strftime(upsert_date, '%Y-%m-%d %H:%M:%S') as upsert_date, upsert_by from (select * from existing anti join batch using (as_of_date, port_id) union all select * from batch)"""
 )
 def upsert_holdings(spark: SparkSession, sf: str) -> DataFrame:
-    data = views.holdings(spark, sf)
-    existing = data.withColumns({"upsert_date": F.lit(dt.datetime(2024, 1, 1)), "upsert_by": F.lit("seed")})
-    batch = data.where("port_id <= 2 and as_of_date = date'2024-01-10' and security_id < 8").withColumn("held_shares", F.col("held_shares") * 2)
+    existing, batch = _holdings(spark, sf)
     return upsert.upsert_holdings(existing, batch, NOW, "load").withColumn("upsert_date", F.date_format("upsert_date", "yyyy-MM-dd HH:mm:ss"))
 
 
+def _holdings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    data = written(views.holdings(spark, sf), "holdings")
+    existing = data.where("as_of_date <= date'2024-01-20'").withColumns({"upsert_date": F.lit(dt.datetime(2024, 1, 1)), "upsert_by": F.lit("seed")})
+    return existing, data.where("as_of_date >= date'2024-01-10'").withColumn("held_shares", F.col("held_shares") * 2)
+
+
 @query(
-    ctes("fundamentals")
-    + """, existing as (select security_id, 'sharesOutstanding' as metric_type, shares_outstanding as metric_value, source_vendor, effective_date, cast(null as date) as end_date from fundamentals),
-batch as (select security_id, metric_type, metric_value + 1 as metric_value, source_vendor, effective_date, end_date from existing where effective_date = date '2024-01-11' and security_id < 4)
-select security_id, metric_type, metric_value, source_vendor, effective_date, case when (select count(*) from existing e semi join batch b using (security_id, effective_date)) <> (select count(*) from batch) and effective_date = date '2024-01-11' and security_id < 4 then date '2024-02-01' end as end_date
-from existing where not ((select count(*) from existing e semi join batch b using (security_id, effective_date)) = (select count(*) from batch) and effective_date = date '2024-01-11' and security_id < 4)
-union all select * from batch"""
+    ctes("portfolio", "market", "holdings")
+    + """select as_of_date, port_id, security_id, held_shares, 'seed' as upsert_by from holdings where as_of_date <= date '2024-01-20' and as_of_date <> date '2024-01-10'
+union all select as_of_date, port_id, security_id, held_shares * 2, 'load' from holdings where as_of_date >= date '2024-01-10'"""
 )
+def upsert_holdings_first_date(spark: SparkSession, sf: str) -> DataFrame:
+    """The strict form: only the load's earliest date is cleared, so later dates are there twice."""
+    return upsert.upsert_holdings(*_holdings(spark, sf), NOW, "load", strict=True).drop("upsert_date")
+
+
+FACTS = """, existing as (select security_id, 'sharesOutstanding' as metric_type, shares_outstanding as metric_value, source_vendor, effective_date, cast(null as date) as end_date from fundamentals)
+"""
+
+
+def _facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All fundamentals, open; and a load of one day with new values."""
+    rows = written(views.fundamentals(spark, sf), "fundamentals").select("security_id", F.lit("sharesOutstanding").alias("metric_type"), F.col("shares_outstanding").alias("metric_value"), "source_vendor", "effective_date", F.lit(None).cast("date").alias("end_date"))
+    return rows, rows.where("effective_date = date'2024-01-11'").withColumn("metric_value", F.col("metric_value") + 1)
+
+
+@query(ctes("fundamentals") + FACTS + "select security_id, metric_type, metric_value + (effective_date = date '2024-01-11')::int as metric_value, source_vendor, effective_date, end_date from existing")
 def upsert_fundamentals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.fundamentals(spark, sf).select("security_id", F.lit("sharesOutstanding").alias("metric_type"), F.col("shares_outstanding").alias("metric_value"), "source_vendor", "effective_date", F.lit(None).cast("date").alias("end_date"))
-    batch = rows.where("effective_date = date'2024-01-11' and security_id < 4").withColumn("metric_value", F.col("metric_value") + 1)
-    return upsert.upsert_fundamentals(rows, batch, DAY)
+    """A load as large as what is active replaces it."""
+    return upsert.upsert_fundamentals(*_facts(spark, sf), DAY)
+
+
+@query(
+    ctes("fundamentals")
+    + FACTS
+    + """select security_id, metric_type, metric_value, source_vendor, effective_date, case when effective_date = date '2024-01-11' then date '2024-02-01' end as end_date from existing
+union all select security_id, metric, metric_value + 1, source_vendor, effective_date, null from existing, (values ('sharesOutstanding'), ('freeFloat')) m(metric) where effective_date = date '2024-01-11'"""
+)
+def upsert_fundamentals_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A load of another size closes what is active and opens its own rows."""
+    rows, batch = _facts(spark, sf)
+    return upsert.upsert_fundamentals(rows, batch.unionByName(batch.withColumn("metric_type", F.lit("freeFloat"))), DAY)
 
 
 @query("select distinct 'S' || l_partkey as symbol from lineitem where l_partkey not in (select p_partkey from part where p_size > 25)")
@@ -361,15 +402,18 @@ def unpivot_fundamentals(spark: SparkSession, sf: str) -> DataFrame:
     return vendor.fundamentals_from_wide(wide, ["marketCap", "sharesOutstanding"], DAY)
 
 
-KNN = """with q as (select embedding as e from embeddings where vec_id = 0),
-near as (select vec_id, label, round(list_sum(list_transform(list_zip(embedding, e), lambda p: (p[1]::double - p[2]::double) ** 2)), 6) as distance from embeddings, q order by 3, 1 limit 15)
+KNN = """with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 50 = 0),
+away as (select query_id, vec_id, label, list_sum(list_transform(list_zip(embedding, e), lambda p: (p[1]::double - p[2]::double) ** 2)) as exact from embeddings, q),
+near as (select query_id, vec_id, label, round(exact, 6) as distance from away qualify row_number() over (partition by query_id order by exact, vec_id) <= 15)
 """
 
 
 def _knn(spark: SparkSession, sf: str) -> DataFrame:
+    """For each vector whose id is divisible by 50, the 15 nearest of all vectors."""
     vectors = table(spark, sf, "embeddings")
-    found = vectors.where("vec_id = 0").select("embedding").first()
-    return rounded(retrieval.nearest(vectors, list(found[0]), 15).select("vec_id", "label", "distance"), "distance")
+    found = search.exact_neighbours(vectors, vectors.where("vec_id % 50 = 0"), 15)
+    named = found.withColumnRenamed("id", "vec_id").join(vectors.select("vec_id", "label"), "vec_id")
+    return rounded(named.select("query_id", "vec_id", "label", "distance"), "distance")
 
 
 @query(KNN + "select * from near")
@@ -377,21 +421,32 @@ def knn_l2(spark: SparkSession, sf: str) -> DataFrame:
     return _knn(spark, sf)
 
 
-@query(KNN + "select vec_id, round(1 / (1 + distance) + case when label % 2 = 0 then 0.1 else 0 end, 6) as score from near order by score desc, vec_id limit 5")
+@query("select count(*) filter (where vec_id % 50 = 0) as queries, least(15, count(*)) * count(*) filter (where vec_id % 50 = 0) as answers, true as enough from embeddings")
+def knn_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The inverted file against the exact search: queries, answers, and whether 0.9 of the exact ones are found."""
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0")
+    index = search.Index.fit(vectors, nlist=max(2, int(vectors.count() ** 0.5)), nprobe=2)
+    found, true = written(index.neighbours(vectors, asked), "found"), search.exact_neighbours(vectors, asked)
+    hits = true.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").agg(F.coalesce(F.sum("hit") >= 0.9 * F.count("*"), F.lit(True)).alias("enough"))
+    return found.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("answers")).join(hits)
+
+
+@query(KNN + "select query_id, vec_id, round(1 / (1 + distance) + case when label % 2 = 0 then 0.1 else 0 end, 6) as score from near qualify row_number() over (partition by query_id order by 1 / (1 + distance) + case when label % 2 = 0 then 0.1 else 0 end desc, vec_id) <= 5")
 def rerank(spark: SparkSession, sf: str) -> DataFrame:
-    found = _knn(spark, sf).select("vec_id", "distance", F.col("vec_id").alias("rank"), F.when(F.col("label") % 2 == 0, "code_semantic").otherwise("code_text").alias("type"))
-    return rounded(retrieval.rerank_simple(found, "which function does it", 5).select("vec_id", "score"), "score")
+    found = _knn(spark, sf).select("query_id", "vec_id", "distance", F.col("vec_id").alias("rank"), F.when(F.col("label") % 2 == 0, "code_semantic").otherwise("code_text").alias("type"))
+    return rounded(retrieval.rerank_simple(found, "which function does it", 5, ["query_id"]).select("query_id", "vec_id", "score"), "score")
 
 
 @query(
     KNN
-    + """select vec_id, round(1 / (1 + distance) + 0.15 * case when label % 2 = 0 then case when label % 4 = 0 then 0.2 else 0 end else 0 end + 0.05 * case when vec_id % 3 = 0 then 0.1 else 0 end + 0.1 * case when label % 2 = 0 then 0.1 else 0 end + 0.05 * case when vec_id % 5 = 0 then -0.05 else 0 end, 6) as score
-from near order by score desc, vec_id limit 8"""
+    + """, scored as (select query_id, vec_id, 1 / (1 + distance) + 0.15 * case when label % 2 = 0 then case when label % 4 = 0 then 0.2 else 0 end else 0 end + 0.05 * case when vec_id % 3 = 0 then 0.1 else 0 end + 0.1 * case when label % 2 = 0 then 0.1 else 0 end + 0.05 * case when vec_id % 5 = 0 then -0.05 else 0 end as s from near)
+select query_id, vec_id, round(s, 6) as score from scored qualify row_number() over (partition by query_id order by s desc, vec_id) <= 8"""
 )
 def rerank_advanced(spark: SparkSession, sf: str) -> DataFrame:
     entity, when = F.when(F.col("label") % 4 == 0, "function").otherwise("class"), F.when(F.col("vec_id") % 3 == 0, "2024-01-30T00:00:00").otherwise("2023-01-01T00:00:00")
-    found = _knn(spark, sf).select("vec_id", "distance", F.col("vec_id").alias("rank"), F.when(F.col("label") % 2 == 0, "code_semantic").otherwise("code_text").alias("type"), F.repeat(F.lit("x"), F.when(F.col("vec_id") % 5 == 0, 100).otherwise(1000)).alias("content"), F.create_map(F.lit("entity_type"), entity, F.lit("last_modified"), when).alias("metadata"))
-    return rounded(retrieval.rerank(found, "which function does it", NOW, 8).select("vec_id", "score"), "score")
+    found = _knn(spark, sf).select("query_id", "vec_id", "distance", F.col("vec_id").alias("rank"), F.when(F.col("label") % 2 == 0, "code_semantic").otherwise("code_text").alias("type"), F.repeat(F.lit("x"), F.when(F.col("vec_id") % 5 == 0, 100).otherwise(1000)).alias("content"), F.create_map(F.lit("entity_type"), entity, F.lit("last_modified"), when).alias("metadata"))
+    return rounded(retrieval.rerank(found, "which function does it", NOW, 8, ["query_id"]).select("query_id", "vec_id", "score"), "score")
 
 
 @query(
@@ -479,14 +534,20 @@ def join_with_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     return vendor.prefixed_join(side, side, ["nation", "region"])
 
 
-@query("select o_custkey, count(*) as n, cast(max(o_orderdate) as date) as last_day from orders group by 1 order by n desc, o_custkey limit 10")
+@query("select o_custkey, c_name, count(*) as n, cast(max(o_orderdate) as date) as last_day from orders join customer on c_custkey = o_custkey group by all order by n desc, o_custkey limit 10")
 def top_customers(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").cast("date").alias("last_day")).orderBy(F.desc("n"), "o_custkey").limit(10)
+    """Names are joined to the counts, not to every order; the order and the limit are one top-k over both."""
+    counts = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").cast("date").alias("last_day"))
+    named = counts.join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    return named.orderBy(F.desc("n"), "o_custkey").limit(10)
+
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-@query("select cast(ts as date) as as_of_date, count(*) filter (where event_type = 'view') as \"view\", count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'purchase') as purchase from events group by 1")
+@query("select cast(ts as date) as as_of_date, " + ", ".join(f"""count(*) filter (where event_type = '{e}') as "{e}\"""" for e in EVENT_TYPES) + " from events group by 1")
 def pivot_events(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("as_of_date")).pivot("event_type", ["view", "click", "purchase"]).agg(F.count("ts"))
+    events = table(spark, sf, "events").groupBy(F.col("ts").cast("date").alias("as_of_date")).pivot("event_type", EVENT_TYPES).agg(F.count("ts"))
     return events.fillna(0)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,21 +55,38 @@ def sample_chunk(df: DataFrame, name: str, rows: int = 5, most: int = 50) -> Dat
 
 
 def embedded(chunks: DataFrame, encode, dimensions_type: str = "array<float>", most: int = 8000, batch: int = 32) -> DataFrame:
-    """chunks with `embedding` from encode(list of texts) -> list of vectors; longer texts are cut with a marker.
+    """chunks with `embedding` from encode(list of texts) -> list of vectors, and `embedding_error`; longer texts are cut
+    with a marker.
+
+    A batch that fails leaves nulls and its error in its own rows, so vectors and chunks never shift against each other."""
 
-    A batch that fails leaves nulls in its own rows, so vectors and chunks never shift against each other."""
-    @F.pandas_udf(dimensions_type)
-    def vectors(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf(f"embedding {dimensions_type}, error string")
+    def vectors(texts: pd.Series) -> pd.DataFrame:
         out: list = []
         for k in range(0, len(texts), batch):
             part = list(texts.iloc[k : k + batch])
             try:
-                out += list(encode(part))
-            except (OSError, ValueError, RuntimeError):
-                out += [None] * len(part)
-        return pd.Series(out)
+                out += [(v, None) for v in encode(part)]
+            except (OSError, ValueError, RuntimeError) as e:
+                out += [(None, repr(e))] * len(part)
+        return pd.DataFrame(out, columns=["embedding", "error"])
+
+    made = chunks.withColumn("_made", vectors(truncated(F.coalesce("content", F.lit("")), most, "\n... [truncated]")))
+    return made.select(*chunks.columns, F.col("_made.embedding").alias("embedding"), F.col("_made.error").alias("embedding_error"))
+
 
-    return chunks.withColumn("embedding", vectors(truncated(F.coalesce("content", F.lit("")), most, "\n... [truncated]")))
+def save(df: DataFrame, path: str) -> None:
+    """A Parquet artefact that is there whole or as before: written beside its place, then renamed to it."""
+    spark = df.sparkSession
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    moved = fs.exists(place) and fs.rename(place, spark._jvm.org.apache.hadoop.fs.Path(old))
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(new), place):
+        raise OSError(f"cannot rename {new} to {path}")
+    if moved:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
 
 
 def load_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -79,3 +99,15 @@ def load_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> D
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def read_entries(text: str) -> list[dict]:
+    """Entries of a cache or metadata text in either layout, a list of entries or an object with a list under `chunks`
+    or `metadata`; a text that is no JSON has none."""
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return []
+    if isinstance(found, dict):
+        found = next((found[k] for k in ("chunks", "metadata") if isinstance(found.get(k), list)), [])
+    return [x for x in found if isinstance(x, dict)] if isinstance(found, list) else []

@@ -5,20 +5,20 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tallyweave.functions.scalar import half_even, mapped, number
+from tallyweave.functions.scalar import half_even, last_weekday_of, number
 from tallyweave.schemas import EOD, POSITIONS, require
+from tallyweave.staging import written
 
 #: Intervals of requests and what the second price vendor calls them.
 FREQUENCIES = {"1d": "D", "1wk": "W", "1mo": "M", "5d": "D"}
 #: Price columns of the two vendors.
 RAW_COLUMNS = {"Open Price": "open", "High Price": "high", "Low Price": "low", "Accumulated Volume": "volume"}
 YAHOO_COLUMNS = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Adj Close": "adj_close", "Volume": "volume", "Dividends": "dividends", "Stock Splits": "stock_splits"}
-PRICES = ["open", "high", "low", "close", "adj_close", "dividends", "stock_splits"]
 
 
 def frequency(interval: str) -> str:
@@ -76,12 +76,18 @@ def fundamentals_from_wide(wide: DataFrame, metrics: list[str], effective: dt.da
 
 
 def fundamentals_from_json(answers: DataFrame, vendor: str = "SimFin") -> DataFrame:
-    """answers (security_id, body): body is a JSON list of {metric, value, endDate}. Bodies that are no JSON give no rows."""
+    """answers (security_id, body): body is a JSON list of {metric, value, endDate}. Bodies that are no JSON give no rows;
+    `unreadable` lists them."""
     parsed = F.from_json("body", "array<struct<metric:string,value:double,endDate:string>>")
     rows = answers.select("security_id", F.inline(parsed))
     return rows.select("security_id", F.col("metric").alias("metric_type"), F.col("value").alias("metric_value"), F.lit(vendor).alias("source_vendor"), F.col("endDate").try_cast("date").alias("effective_date"), F.lit(None).cast("date").alias("end_date"))
 
 
+def unreadable(answers: DataFrame) -> DataFrame:
+    """Answers whose body is no JSON list."""
+    return answers.where(F.coalesce(F.json_array_length("body"), F.lit(-1)) < 0)
+
+
 def positions(frames: list[DataFrame], as_of: dt.date) -> DataFrame:
     """Broker positions of several accounts under one schema and date."""
     if not frames:
@@ -110,9 +116,24 @@ def prefixed_join(left: DataFrame, right: DataFrame, keys: list[str], suffixes:
     return a.join(b, keys)
 
 
+def positions_by_account(fetch: Callable[[str], DataFrame], accounts: str | list[str], today: dt.date) -> tuple[DataFrame | None, dict[str, str]]:
+    """Positions of one account or several, dated by the last weekday; and what went wrong, by account, for those left out."""
+    frames, failed = [], {}
+    for account in [accounts] if isinstance(accounts, str) else accounts:
+        try:
+            frames.append(fetch(account))
+        except (OSError, ValueError) as e:
+            failed[account] = repr(e)
+    return positions(frames, last_weekday_of(today)) if frames else None, failed
+
+
+#: Rows of end-of-day prices, and why a symbol has none.
+FETCHED = StructType([*EOD, StructField("error", StringType())])
+
+
 class EodPartition(InputPartition):
-    def __init__(self, symbol: str, security_id: int):
-        self.symbol, self.security_id = symbol, security_id
+    def __init__(self, symbols: list[tuple[str, int]]):
+        self.symbols = symbols
 
 
 class EodReader(DataSourceReader):
@@ -120,22 +141,27 @@ class EodReader(DataSourceReader):
         self.options, self.fetch = options, fetch
 
     def partitions(self) -> list[EodPartition]:
-        pairs = (x.split(":") for x in self.options["symbols"].split(","))
-        return [EodPartition(symbol, int(number_)) for symbol, number_ in pairs]
+        pairs = [(symbol, int(number_)) for symbol, _, number_ in (x.rpartition(":") for x in self.options["symbols"].split(",") if x)]
+        batch = int(self.options.get("batch", "50"))
+        return [EodPartition(pairs[k : k + batch]) for k in range(0, len(pairs), batch)]
 
     def read(self, partition: EodPartition) -> Iterator[tuple]:
-        """Rows of EOD after security_id and as_of_date; a symbol that fails gives none."""
-        try:
-            found = list(self.fetch(partition.symbol, self.options["start"], self.options["end"]))
-        except (OSError, ValueError):
-            return
-        now = dt.datetime.now()
-        for day, *values in found:
-            yield (day, partition.security_id, *values, now, self.options.get("interval", "1d"))
+        """Rows of FETCHED; a symbol that fails or has no rows is one row with its security_id and an error."""
+        now, interval = dt.datetime.now(), self.options.get("interval", "1d")
+        for symbol, security_id in partition.symbols:
+            error = "no rows"
+            try:
+                for day, *values in list(self.fetch(symbol, self.options["start"], self.options["end"])):
+                    yield (day, security_id, *values, now, interval, None)
+                    error = None
+            except (OSError, ValueError) as e:
+                error = repr(e)
+            if error:
+                yield (None, security_id, *[None] * 8, now, interval, error)
 
 
 def eod_source(name_: str, fetch: Callable[[str, str, str], Iterator[tuple]]) -> type[DataSource]:
-    """A data source class to register: one partition for each symbol of the option `symbols` (symbol:security_id,…).
+    """A data source class to register, over the option `symbols` (symbol:security_id,…), `batch` of them a partition.
 
     fetch(symbol, start, end) yields (as_of_date, open, high, low, close, adj_close, volume, dividends, stock_splits)."""
 
@@ -145,7 +171,7 @@ def eod_source(name_: str, fetch: Callable[[str, str, str], Iterator[tuple]]) ->
             return name_
 
         def schema(self) -> StructType:
-            return EOD
+            return FETCHED
 
         def reader(self, schema: StructType) -> EodReader:
             return EodReader(dict(self.options), fetch)
@@ -153,5 +179,23 @@ def eod_source(name_: str, fetch: Callable[[str, str, str], Iterator[tuple]]) ->
     return Eod
 
 
-def with_mapping(df: DataFrame, column: str, mapping: dict[str, str], default: str, name: str) -> DataFrame:
-    return df.withColumn(name, mapped(F.col(column), mapping, default))
+def load_prices(source: str, symbols: DataFrame, start: dt.date, end: dt.date, interval: str = "1d", batch: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Prices of a registered source for symbols (symbol, security_id), rounded to 4 places; and (symbol, error) of those
+    it has none for. The request is checked first; the list of symbols is one request, so it is on the driver."""
+    check_request(symbols, start, end)
+    spark = symbols.sparkSession
+    asked = symbols.select("symbol", "security_id").where("symbol is not null and security_id is not null").distinct()
+    listed = ",".join(f"{r['symbol']}:{r['security_id']}" for r in asked.orderBy("security_id", "symbol").collect())
+    found = spark.read.format(source).options(symbols=listed, start=str(start), end=str(end), interval=interval, batch=str(batch)).load()
+    found = written(found, "prices")
+    return rounded(found.where("error is null").drop("error")), found.where("error is not null").join(asked, "security_id").select("symbol", "error")
+
+
+def bulk_statements(spark: SparkSession, paths: list[str], schemas: list[str], keys: list[str]) -> DataFrame:
+    """Bulk statement files (separated by semicolons, with a header) joined on their keys; other columns of equal
+    names in the first two get _x and _y."""
+    frames = [spark.read.csv(path, header=True, sep=";", schema=schema) for path, schema in zip(paths, schemas, strict=True)]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = prefixed_join(out, frame, keys)
+    return out

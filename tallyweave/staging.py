@@ -1,12 +1,16 @@
-"""Tables written between steps into the folder that driver and executors share."""
+"""Tables written between steps into the folder that driver and executors share, and Arrow steps of bounded memory."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 @lru_cache(1)
@@ -38,3 +42,30 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of rows in one Arrow batch; a larger row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def _give_back() -> None:
+    """Freed memory of this worker goes back to the machine, as idle workers of earlier steps stay alive for a while."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU C library has it
+        trim(0)
+
+
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_BYTES. The bound is a setting of the session, which has none by rows and bytes for one step."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                _give_back()
+
+        yield from function(each())
+        _give_back()
+
+    return df.mapInArrow(run, schema)

@@ -101,6 +101,23 @@ def test_pairwise_covariance(spark):
     assert c[(1, 1)] == pytest.approx(7 / 3) and c[(1, 2)] == c[(2, 1)] == pytest.approx(-0.5) and c[(2, 2)] == pytest.approx(13 / 3)
 
 
+def test_sigmas_equal_the_whole_matrix(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(p, D[k], s, rng.gauss(0, 1), rng.random()) for p in ("A", "B", "C") for s in range(9) for k in range(8) if p == "A" or rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "portfolio_short_name string, as_of_date date, security_id long, log_return double, ignored double")
+    weight = {(p, s): rng.random() for p in ("A", "B", "C") for s in range(8)}
+    weights_ = spark.createDataFrame([(*k, w) for k, w in weight.items()], "portfolio_short_name string, security_id long, weight double")
+    want = {}
+    for r in risk.covariances(df).collect():
+        pair = [weight.get((r["portfolio_short_name"], r[c])) for c in "ij"]
+        if None not in pair and r["cov"] is not None:
+            want[r["portfolio_short_name"]] = want.get(r["portfolio_short_name"], 0) + pair[0] * pair[1] * r["cov"]
+    x = df.join(weights_, ["portfolio_short_name", "security_id"]).withColumn("x", F.col("weight") * F.col("log_return"))
+    assert {r["portfolio_short_name"]: r["sigma"] ** 2 for r in risk.sigmas(x).collect()} == pytest.approx(want)
+
+
 def test_var(spark):
     df = spark.createDataFrame([("P", D[k], 1, float(x)) for k, x in enumerate([1, 2, 3, 4])], "portfolio_short_name string, as_of_date date, security_id long, log_return double")
     one = spark.createDataFrame([("P", 1, 1.0)], "portfolio_short_name string, security_id long, weight double")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import scalar
-from tallyweave.operators import chunking, membership, quality, retrieval, temporal, upsert
+from tallyweave.operators import chunking, membership, quality, retrieval, search, temporal, upsert
 from tallyweave.sources import files, vendor
 from tallyweave.sources.tables import Store, with_retries
 from tallyweave.streaming import upserts
@@ -113,6 +113,32 @@ def test_missing_securities_get_ids_and_defaults(spark):
     assert upsert.with_new_ids(master, master.limit(0), "security_id", ["symbol"]).count() == 0
 
 
+def test_new_ids_have_no_gap_over_many_ranges(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        master = spark.createDataFrame([(41, "A")], "security_id long, symbol string")
+        batch = spark.range(0, 200_000, 1, 24).select(F.format_string("S%07d", (F.col("id") * 7919) % 200_000).alias("symbol"))
+        out = upsert.with_new_ids(master, batch, "security_id", ["symbol"])
+        n, low, high, different, nulls = out.agg(F.count("*"), F.min("security_id"), F.max("security_id"), F.count_distinct("security_id"), F.count_if(F.col("security_id").isNull())).first()
+        assert (n, low, high, different, nulls) == (200_000, 42, 200_041, 200_000, 0)
+        assert out.where(F.col("security_id") != F.substring("symbol", 2, 7).cast("long") + 42).isEmpty()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    both, new = upsert.inserted_from(master, spark.createDataFrame([("B",)], "symbol string"), "security_id", ["symbol"], T[0], "x")
+    assert new.first()["security_id"] == 42 and both.count() == 2 and {"upsert_by", "upsert_date"} <= set(both.columns)
+    assert upsert.stamped(master).first()["upsert_by"]
+
+
+def test_null_keys_are_replaced(spark):
+    old = spark.createDataFrame([(D[0], 1, None, 1.0), (D[0], 1, "1d", 2.0)], "as_of_date date, security_id long, interval string, close double")
+    new = spark.createDataFrame([(D[0], 1, None, 9.0)], old.schema)
+    assert sorted(r["close"] for r in upsert.upsert_market_data(old, new).collect()) == [2.0, 9.0]
+
+
 def test_position_quality(spark):
     good = spark.createDataFrame([(D[0], "P", " ab ", "STK", "NYSE", "USD", "1.5", "x")], "as_of_date date, portfolio_short_name string, symbol string, ib_security_type string, ib_exchange string, ib_currency string, held_shares string, avg_cost string")
     ok, issues = quality.position_issues(good)
@@ -139,9 +165,9 @@ def test_reports(spark):
 def test_scalars(spark):
     row = spark.range(1).select(
         scalar.half_even(F.lit(0.5)).alias("a"), scalar.half_even(F.lit(1.5)).alias("b"), scalar.half_even(F.lit(2.5)).alias("c"), scalar.last_weekday(F.lit(dt.date(2024, 1, 7))).alias("d"), scalar.last_weekday(F.lit(dt.date(2024, 1, 8))).alias("e"),
-        scalar.truncated(F.lit("abcdef"), 3).alias("f"), scalar.snake_case_column(F.lit("marketCap")).alias("g"), scalar.squared_l2(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(5.0))).alias("h"), scalar.clipped(F.lit(None).cast("double"), 0, 1).alias("i"),
+        scalar.truncated(F.lit("abcdef"), 3).alias("f"), scalar.snake_case_column(F.lit("marketCap")).alias("g"), scalar.clipped(F.lit(None).cast("double"), 0, 1).alias("i"),
     ).first()
-    assert tuple(row) == (0, 2, 2, dt.date(2024, 1, 5), dt.date(2024, 1, 8), "abc...", "market_cap", 13.0, None)
+    assert tuple(row) == (0, 2, 2, dt.date(2024, 1, 5), dt.date(2024, 1, 8), "abc...", "market_cap", None)
     assert [scalar.snake_case(x) for x in ("sharesOutstanding", "marketCap", "Shares Outstanding")] == ["shares_outstanding", "market_cap", "shares _outstanding"]
     assert scalar.date_range("latest_eod", dt.date(2024, 1, 7)) == (dt.date(2024, 1, 5), dt.date(2024, 1, 6))
     assert scalar.date_range("ytd", dt.date(2024, 1, 7))[0] == dt.date(2024, 1, 1)
@@ -203,7 +229,10 @@ def test_price_source(spark):
 
     spark.dataSource.register(vendor.eod_source("test_eod", fetch))
     rows = spark.read.format("test_eod").options(symbols="A:1,BAD:2,C:3", start="2024-01-01", end="2024-01-02").load().collect()
-    assert sorted((r["security_id"], r["close"]) for r in rows) == [(1, 1.5), (3, 1.5)]
+    assert sorted((r["security_id"], r["close"], r["error"]) for r in rows) == [(1, 1.5, None), (2, None, "OSError()"), (3, 1.5, None)]
+    symbols = spark.createDataFrame([("A", 1), ("BAD", 2), ("C", 3), (None, 4)], "symbol string, security_id long")
+    prices, failed = vendor.load_prices("test_eod", symbols, D[0], D[1], batch=2)
+    assert prices.columns == vendor.EOD.names and prices.count() == 2 and [tuple(r) for r in failed.collect()] == [("BAD", "OSError()")]
 
 
 def test_files(spark, tmp_path):
@@ -249,11 +278,31 @@ def test_chunks():
     assert chunking.chunk("y" * 2000) == ["y" * 2000]
 
 
+def test_context_takes_what_is_reachable(spark):
+    import random
+
+    rng = random.Random(4)
+
+    def plain(rows):
+        parts, used = [], 0
+        for n, size in enumerate(rows, 1):
+            head, body = f"[Source {n}: s (t)]", "x" * size
+            room = 8000 - used - len(head) - 100
+            if used + len(head) + size + 50 > 8000:
+                if room <= 100:
+                    break
+                body = body[:room] + "\n... [truncated]"
+            parts.append(f"{head}\n{body}\n")
+            used += len(parts[-1])
+        return "\n" + "=" * 60 + "\n" + "\n".join(parts)
+
+    groups = {g: [rng.choice([0, 1, 3, 40, 200, 7800, 7900, 20_000]) if g % 2 else rng.randint(0, 30) for _ in range(rng.choice([1, 3, 30, 600]))] for g in range(60)}
+    rows = [(g, k, "s", "t", "x" * size, {}) for g, sizes in groups.items() for k, size in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "g int, k int, source string, type string, content string, metadata map<string,string>")
+    assert {r["g"]: r["context"] for r in retrieval.packed_context(df, ["g"], "k").collect()} == {g: plain(sizes) for g, sizes in groups.items()}
+
+
 def test_retrieval(spark):
-    rows = [(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0]), (4, [0.0, 1.0])]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert [(r["vec_id"], r["distance"]) for r in retrieval.nearest(v, [0.0, 0.0], 3).collect()] == [(1, 0.0), (3, 1.0), (4, 1.0)]
-    assert retrieval.index_kind(500)["kind"] == "flat" and retrieval.index_kind(5000)["kind"] == "hnsw" and retrieval.index_kind(40_000)["nprobe"] == 50
     chunks = [("g", k, "s", "t", "x" * n, {"entity_type": "function"} if k == 1 else {}) for k, n in ((1, 3000), (2, 4000), (3, 3000), (4, 5))]
     df = spark.createDataFrame(chunks, "g string, k int, source string, type string, content string, metadata map<string,string>")
     context = retrieval.packed_context(df, ["g"], "k").first()["context"]
@@ -263,6 +312,79 @@ def test_retrieval(spark):
     assert lines[0] == "Previous Q: q2" and lines[1] == "Previous A: " + "a" * 200 + "..." and len(lines) == 6
 
 
+def test_search(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(size=(40, 8))[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 8)) / 4, np.ones((300, 8))])
+    v = spark.createDataFrame([(k, [float(x) for x in p]) for k, p in enumerate(points)] + [(9000, None), (9001, [1.0])], "vec_id long, embedding array<double>").repartition(5)
+    asked = v.where("vec_id % 50 = 0")
+
+    def plain(k):
+        out = {}
+        for q in range(0, len(points), 50):
+            d = ((points - points[q]) ** 2).sum(1)
+            out[q] = np.lexsort((np.arange(len(d)), d))[:k].tolist()
+        return out
+
+    def answers(df):
+        out = {}
+        for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["nth"])):
+            out.setdefault(r["query_id"], []).append(r["id"])
+        return out
+
+    for group in (10_000, 100):
+        assert answers(search.exact_neighbours(v, asked, 7, group=group)) == plain(7)
+    index = search.Index.fit(v.where("vec_id < 9000"), 40, 2)
+    for group in (10_000, 64):
+        found, true = answers(index.neighbours(v, asked, 7, group=group)), plain(7)
+        assert found.keys() == true.keys() and np.mean([len(set(found[q]) & set(true[q])) / 7 for q in true]) >= 0.9
+    assert search.exact_neighbours(v.limit(0), asked.limit(0)).count() == 0 and search.exact_neighbours(v, asked.limit(0)).count() == 0
+    assert search.neighbours(v, asked, 3).count() == 3 * len(true)
+    assert search.index_kind(500)["kind"] == "flat" and search.index_kind(5000)["nlist"] == 70 and search.index_kind(40_000)["nprobe"] == 50
+
+
+def test_artefacts(spark, tmp_path):
+    path = str(tmp_path / "artefact")
+    for n in (3, 5):
+        files.save(spark.range(n), path)
+        assert files.load_or_empty(spark, path, "id long").count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["artefact"]
+    assert files.read_entries('[{"a": 1}, 2]') == [{"a": 1}] == files.read_entries('{"chunks": [{"a": 1}], "at": 3}') and files.read_entries("{") == [] == files.read_entries("{}")
+
+    def failing(texts):
+        raise RuntimeError("down")
+
+    bad = files.embedded(spark.createDataFrame([("abc",), (None,)], "content string"), failing).collect()
+    assert [(r["embedding"], r["embedding_error"]) for r in bad] == [(None, "RuntimeError('down')")] * 2
+
+
+def test_tables_over_jdbc(spark):
+    """An embedded database stands in for the server; retries are for errors of the connection only."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = "jdbc:derby:memory:tallyweave;create=true"
+    rows = spark.createDataFrame([(1, "P", "Port", "Portfolio")], "port_id long, portfolio_short_name string, portfolio_name string, portfolio_type string")
+    options = {"url": url, "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows.write.format("jdbc").options(**options).option("dbtable", "dbo.portfolio").option("createTableColumnTypes", "portfolio_short_name varchar(40), portfolio_name varchar(40), portfolio_type varchar(40)").save()
+    store = Store(spark, jdbc=options)
+    assert store.portfolio(["P", "Q"]).first()["portfolio_name"] == "Port"
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from tallyweave import staging
+
+    class Conf(dict):
+        pass
+
+    fake = lambda master: SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(getConf=Conf, master=master))
+    assert staging.shared_folder(fake("local[4]")).startswith("file:///")
+    for master in ("yarn", "local-cluster[3,2,1000]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            staging.shared_folder(fake(master))
+
+
 def test_stream_upserts(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "security_id long, close double, as_of_date date"
@@ -275,3 +397,13 @@ def test_stream_upserts(spark, tmp_path):
     spark.createDataFrame([(1, 9.0, D[0]), (3, 3.0, D[1])], schema).write.mode("append").parquet(source)
     run()
     assert sorted((r["security_id"], r["close"]) for r in spark.read.schema(schema).parquet(out).collect()) == [(1, 9.0), (2, 2.0), (3, 3.0)]
+
+
+def test_a_repeated_batch_writes_the_same(spark, tmp_path):
+    schema, out = "security_id long, close double, as_of_date date", str(tmp_path / "out")
+    batch = spark.createDataFrame([(1, 5.0, D[0]), (1, 7.0, D[0]), (4, 1.0, None), (1, 6.0, D[0])], schema).repartition(3)
+    for _ in range(2):
+        upserts.upsert_partitions(batch, out, ["as_of_date", "security_id"], "as_of_date")
+        assert sorted((r["security_id"], r["close"], r["as_of_date"]) for r in spark.read.schema(schema).parquet(out).collect()) == [(1, 7.0, D[0]), (4, 1.0, None)]
+    upserts.upsert_partitions(spark.createDataFrame([(5, 2.0, None)], schema), out, ["as_of_date", "security_id"], "as_of_date")
+    assert spark.read.schema(schema).parquet(out).count() == 3

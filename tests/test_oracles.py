@@ -1,6 +1,6 @@
 import pytest
 
-from tallyweave.plans import queries as catalogue
+from tallyweave.plans import catalogue
 from tests.compare import same
 
 
