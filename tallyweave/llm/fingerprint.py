@@ -1,17 +1,22 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every shingle hash below 2**64 / SCALE, and the smallest hash always, so that a text with words
-never has an empty sketch. Sketches merge by union, and the share of one sketch that is found in another
-estimates containment also between documents of very unequal length.
+A sketch is {hashes, exact}. Of a text of over EXACT different shingles it holds every shingle hash in the lowest
+1/SCALE of the 64-bit range, whatever their number; of a shorter text all hashes, marked as exact, of which that
+fraction can still be taken. So sketches merge: the union of two, exact while both are and it has up to EXACT
+hashes, else cut to the fraction, is the sketch of the texts' united shingles (`merged`). As the fraction is the
+same for all texts, the share of one sketch that is in another estimates containment between documents of very
+unequal length. Likeness is exact between two exact sketches, else estimated within the fraction.
 
 All of it is DataFrame expressions. The next document in doc_id order is found without sorting into one
 partition: exact values of doc_id cut the range into buckets, and the first row of a bucket is also sent to the
 bucket before it, so that a window inside each bucket sees its successor. Only the cut values (at most CUTS
 numbers) go through the driver.
 
-Defined results: null or empty text has no words, the empty fingerprint and likeness 1 to another empty one, 0
-to any other; texts of under WORDS words have one shingle, the whole; a null doc_id sorts first; rows of one
-doc_id are ordered by a hash of their text; extra columns are ignored; an empty table gives an empty result.
+Defined results: null or empty text has no words, an exact sketch without hashes, and likeness 1 to another of
+those, 0 to any other; a long text without a hash in the fraction (one in 100 million at EXACT shingles) has
+likeness 0 to any but exact sketches; texts of under WORDS words have one shingle, the whole; a null doc_id sorts
+first; rows of one doc_id are ordered by a hash of their text, and have to fit one task; repeated shingles count
+once; any length is read whole; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,34 +26,63 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.columns import let, run_hashes, words_of
 
-WORDS, SCALE, CUTS = 5, 8, 65_535
+WORDS, SCALE, EXACT, CUTS = 5, 4, 64, 65_535
+
+
+def kept(hashes: Column) -> Column:
+    """Those in the fraction; hashes are signed, so the range begins at -2**63."""
+    return F.filter(hashes, lambda x: x < F.lit(-(1 << 63) + (1 << 64) // SCALE).cast("long"))
+
+
+def _of_set(hashes: Column) -> Column:
+    """The sketch of a set of all shingle hashes."""
+    exact = F.size(hashes) <= EXACT
+    return F.struct(F.sort_array(F.when(exact, hashes).otherwise(kept(hashes))).alias("hashes"), exact.alias("exact"))
 
 
 def sketch(text: Column) -> Column:
-    """Ascending array<long> of the kept hashes, as signed longs."""
+    """struct(hashes array<long> ascending, exact boolean)."""
 
     def of(words: Column) -> Column:
-        hashes = F.when(F.size(words) >= WORDS, run_hashes(words, WORDS)).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
-        floor = -(1 << 63)
-        kept = lambda h: F.filter(h, lambda x: x < F.lit(floor + (1 << 64) // SCALE).cast("long"))
-        return let(hashes, lambda h: F.sort_array(F.array_distinct(F.when(F.size(h) > 0, F.concat(kept(h), F.array(F.array_min(h)))).otherwise(h))))
+        n = F.size(words)
+        hashes = F.when(n >= WORDS, run_hashes(words, WORDS)).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
+        return let(F.array_distinct(hashes), _of_set)
 
     return let(words_of(text), of)
 
 
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of the shingles of both."""
+    both = let(F.array_union(a["hashes"], b["hashes"]), lambda u: F.struct(u.alias("u"), (a["exact"] & b["exact"] & (F.size(u) <= EXACT)).alias("exact")))
+    return let(both, lambda x: F.struct(F.sort_array(F.when(x["exact"], x["u"]).otherwise(kept(x["u"]))).alias("hashes"), x["exact"].alias("exact")))
+
+
 def printed(sketch_: Column) -> Column:
-    return F.array_join(F.transform(sketch_, lambda h: F.hex(h)), ",")
+    """`=` and all hashes of an exact sketch, `~` and the hashes of the fraction of any other; hex, by commas."""
+    return F.concat(F.when(sketch_["exact"], F.lit("=")).otherwise(F.lit("~")), F.array_join(F.transform(sketch_["hashes"], lambda h: F.hex(h)), ","))
+
+
+def _compared(a: Column, b: Column, rule) -> Column:
+    """rule over both lists of hashes: whole if both are exact, else of the fraction."""
+    exact = a["exact"] & b["exact"]
+    part = lambda x: F.when(exact | ~x["exact"], x["hashes"]).otherwise(kept(x["hashes"]))
+    return let(F.struct(part(a).alias("a"), part(b).alias("b"), exact.alias("exact")), lambda p: rule(p["a"], p["b"], p["exact"]))
 
 
 def similarity(a: Column, b: Column) -> Column:
     """Estimate of the Jaccard similarity of two shingle sets, from their sketches."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.coalesce(F.try_divide(both.cast("double"), (F.size(a) + F.size(b) - both).cast("double")), F.lit(0.0)))
+
+    def rule(x: Column, y: Column, exact: Column) -> Column:
+        total = F.size(x) + F.size(y)
+        both = F.size(F.array_intersect(x, y))
+        return F.when(total == 0, exact.cast("double")).otherwise(both / (total - both))
+
+    return _compared(a, b, rule)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimate of the share of a's shingles that are in b; null where a has none."""
-    return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(a).cast("double"))
+    """Estimate of the share of a's shingles that are in b; null where the sketch of a has none."""
+    return _compared(a, b, lambda x, y, exact: F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(x).cast("double")))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -124,6 +124,3 @@ def inside(first: np.ndarray, k: int) -> np.ndarray:
     ends = np.repeat(first[1:], np.diff(first))[: len(ok)]
     return ok & (np.arange(len(ok)) + k <= ends)
 
-
-def strings(values: list[str]) -> pa.Array:
-    return pa.array(values, pa.string())

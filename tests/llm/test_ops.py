@@ -8,10 +8,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyweave.llm import bpe, chat, fingerprint, langid, minhash, packing, quality, secrets, substring, warc
+from tallyweave.llm.columns import run_hashes, words_of
 from tallyweave.llm.components import components
 from tallyweave.llm.queries import BPE_50K
 
@@ -504,31 +506,77 @@ def test_bpe_forgets_and_keeps_encoding_right(monkeypatch):
 # 9
 
 
+def plain_sketch(words, fraction=4, exact=64, width=5):
+    """The rule of the sketch again, over xxHash64 as Spark chains it."""
+    long = lambda x, seed: xxhash.xxh64(x.to_bytes(8, "little"), seed=seed).intdigest()
+    pair = lambda x, y: long(y, long(x, 42))
+    h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
+    if len(words) >= width:
+        two = [pair(x, y) for x, y in zip(h, h[1:])]
+        four = [pair(x, y) for x, y in zip(two, two[2:])]
+        hashes = {pair(x, y) for x, y in zip(h, four[1:])}
+    elif words:
+        seed = 42
+        for w in words:
+            seed = xxhash.xxh64(w.encode(), seed=seed).intdigest()
+        hashes = {seed}
+    else:
+        hashes = set()
+    signed = sorted(x - (x >> 63 << 64) for x in hashes)
+    return (signed, True) if len(signed) <= exact else ([x for x in signed if x < -(1 << 63) + (1 << 64) // fraction], False)
+
+
+def plain_likeness(a, b):
+    low = lambda x: {h for h in x if h < -(1 << 63) + (1 << 64) // 4}
+    x, y = (set(a[0]), set(b[0])) if a[1] and b[1] else (low(a[0]), low(b[0]))
+    return len(x & y) / len(x | y) if x | y else float(a[1] and b[1])
+
+
 def test_fingerprints(spark):
-    rows = corpus(3, 50) + [(70, "z" * 100_000 + " a b c")]
+    rows = corpus(3, 80) + [(90, "z" * 100_000 + " a b c"), (91, "again " * 30_000), (92, "É e\u0301 x")]
     out = {r["doc_id"]: r for r in fingerprint.edited_pairs(odd(spark, random.Random(1).sample(rows, len(rows)))).collect()}
+    shown = lambda s: ("=" if s[1] else "~") + ",".join(f"{h & (2**64 - 1):X}" for h in s[0])
+    lengths = set()
     for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
         t, after, half = t or "", after or "", len(t or "") // 2
         edited = t[: len(t) - half] + after[:half]
+        a, b, c = (plain_sketch(WORD.findall(x)) for x in (t, edited, after))
+        lengths.add(a[1])
         r = out[i]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(t), sha(edited))
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        if WORD.findall(t) == WORD.findall(edited):
-            assert r["fingerprint"] == r["edited_fingerprint"] and r["near_edited"] == 1
-    by_text = {}
-    for i, t in rows:
-        by_text.setdefault(t or "", set()).add(out[i]["fingerprint"])
-    assert all(len(x) == 1 for x in by_text.values())
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), sha(edited), shown(a), shown(b)), i
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(plain_likeness(a, b)), pytest.approx(plain_likeness(a, c)))
+    assert lengths == {True, False}
     assert fingerprint.edited_pairs(spark.createDataFrame([], DOCS)).count() == 0
     one = fingerprint.edited_pairs(spark.createDataFrame([(None, "a b c d e f"), (None, None)], DOCS)).collect()
     assert len(one) == 2
 
 
+def test_sketches_merge(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    texts = ["", "a", "a b c"] + [" ".join(rng.choice(words) for _ in range(rng.choice([6, 20, 40, 66, 70, 200, 900]))) for _ in range(60)]
+    rows = [(x, y) for x in texts for y in rng.sample(texts, 8)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    both = F.array_distinct(F.concat(*[F.when(F.size(w) >= 5, run_hashes(w, 5)).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>")) for w in (words_of(F.col("a")), words_of(F.col("b")))]))
+    sketched = df.select(fingerprint.sketch(F.col("a")).alias("x"), fingerprint.sketch(F.col("b")).alias("y"), both.alias("both"))
+    out = sketched.select(fingerprint.merged(F.col("x"), F.col("y")).alias("got"), fingerprint._of_set(F.col("both")).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in out) and {r["want"]["exact"] for r in out} == {True, False}
+
+
+def test_run_hashes_tell_runs_apart(spark):
+    words = [random.Random(5).choice("abc") for _ in range(400)]
+    for width in (1, 2, 3, 5, 7, 8):
+        hashes = spark.createDataFrame([(words,), (words[: width - 1],), ([],)], "w array<string>").select(run_hashes(F.col("w"), width)).collect()
+        runs = [tuple(words[k : k + width]) for k in range(len(words) - width + 1)]
+        assert len(hashes[0][0]) == len(runs) and len(set(zip(runs, hashes[0][0]))) == len(set(runs)) == len(set(hashes[0][0]))
+        assert hashes[1][0] == hashes[2][0] == []
+
+
 def test_fingerprints_estimate_similarity(spark):
     words = [f"w{k}" for k in range(6000)]
-    pairs = spark.createDataFrame([(" ".join(words[:4000]), " ".join(words[2000:])), (" ".join(words[:300]), " ".join(words))], "a string, b string")
+    pairs = spark.createDataFrame([(" ".join(words[:4000]), " ".join(words[2000:])), (" ".join(words[:300]), " ".join(words)), (" ".join(words[:40]), " ".join(words))], "a string, b string")
     s = pairs.select(fingerprint.sketch(F.col("a")).alias("a"), fingerprint.sketch(F.col("b")).alias("b")).select(fingerprint.similarity(F.col("a"), F.col("b")), fingerprint.containment(F.col("a"), F.col("b"))).collect()
-    assert s[0][0] == pytest.approx(1 / 3, abs=0.06) and s[1][1] == 1.0
+    assert s[0][0] == pytest.approx(1 / 3, abs=0.05) and s[1][1] == s[2][1] == 1.0
 
 
 # 10
