@@ -9,12 +9,16 @@ Of records with equal payloads of REVISIT_BYTES or more, the one of the largest
 others are revisits that refer to it. Which one that is comes from a combinable maximum by payload digest and
 length, so a payload that a third of all pages share stays spread over all tasks.
 
-Packages are rows of a table in the shared folder (an executor can lose its own disk); `PackageReader` takes any
-function that reads a range, so it works alike over a file or an object store.
+Packages are files in the shared folder (an executor can lose its own disk), written under a name of the task's
+attempt and listed by a table, so that only those of finished tasks are read. `FileRanges` reads them by offset
+through Arrow's file systems, block by block. If the shared folder is in a store that Arrow cannot open, the listing
+holds the packages themselves, and their ranges are slices. `PackageReader` takes any function that reads a range.
 
 Defined results: null html is an empty payload; a null url leaves the header out; a null page_id is a response;
-equal rows are all responses if they carry the largest page_id; extra columns are ignored; an empty table gives
-an empty result.
+rows are packed each for itself, so equal ones are all responses if they carry the largest page_id; payloads of any
+length are whole, also over several blocks; a record that cannot be read, or whose payload has another digest than
+its header tells, is a row of type `damaged` with the page of the index and nulls; a package without a directory is
+one such row without a page; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +29,17 @@ import io
 import json
 import struct
 import urllib.parse
-import zipfile
-from collections.abc import Callable, Iterator
+import uuid
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.staging import mapped, written
+from tallyweave.staging import fresh_path, mapped, written
 
 REVISIT_BYTES = 1000
 #: A package is closed once its records reach this size, so a task holds one package in memory.
@@ -41,6 +48,39 @@ DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Signatures of the ZIP format.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
+#: An end record with the longest comment, and the ZIP64 locator before it.
+LARGEST_END = 22 + 65_535 + 20
+#: Bytes that a file is read in.
+BLOCK = 1 << 20
+FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
+
+
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """Arrow's file system of a path, and the path there."""
+    scheme, _, rest = path.partition(":")
+    if not rest or scheme == "file":
+        return pa.fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
+    try:
+        return pa.fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as e:
+        raise ValueError(f"no file system for {path}") from e
+
+
+class FileRanges:
+    """read(offset, length) over a file, through one block at a time, so that records in a row are few requests."""
+
+    def __init__(self, path: str, block: int = BLOCK):
+        fs, place = file_system(path)
+        self.file, self.block, self.held, self.at = fs.open_input_file(place), block, b"", 0
+        self.size = self.file.size()
+
+    def __call__(self, offset: int, length: int) -> bytes:
+        if offset < self.at or offset + length > self.at + len(self.held):
+            self.at, self.held = offset, bytes(self.file.read_at(min(max(length, self.block), max(0, self.size - offset)), offset))
+        return self.held[offset - self.at : offset - self.at + length]
+
+    def close(self) -> None:
+        self.file.close()
 
 
 class PackageReader:
@@ -49,7 +89,7 @@ class PackageReader:
     def __init__(self, read: Callable[[int, int], bytes], size: int):
         self.read = read
         self.members: dict[str, tuple[int, int]] = {}  # name: offset of the local header, stored bytes
-        tail_at = max(0, size - 65_557)
+        tail_at = max(0, size - LARGEST_END)
         tail = read(tail_at, size - tail_at)
         at = tail.rfind(END)
         while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
@@ -123,19 +163,57 @@ def parsed(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, headers(http), payload
 
 
-def packed(records: list[tuple[int | None, bytes]]) -> bytes:
-    """A package of records; ZIP64 fields are written for the data member, as it may pass 4 GB."""
+class PackageWriter:
+    """A ZIP file of stored members, written in one pass; sizes, offsets and the directory's end are in ZIP64 fields."""
+
+    def __init__(self, write: Callable[[bytes], object]):
+        self._write, self.at, self.entries, self.n = write, 0, b"", 0
+
+    def _out(self, data: bytes) -> None:
+        self._write(data)
+        self.at += len(data)
+
+    def member(self, name: str, parts: Iterable[bytes]) -> None:
+        """The parts are gone through once for length and checksum and once to be written."""
+        parts = list(parts)
+        size, crc, title, local = sum(map(len, parts)), 0, name.encode(), self.at
+        for part in parts:
+            crc = zlib.crc32(part, crc)
+        common = struct.pack("<HHHHHIIIH", 45, 0x800, 0, 0, 0x21, crc, FULL32, FULL32, len(title))  # version, UTF-8 name, stored, 1980-01-01
+        self._out(LOCAL + common + struct.pack("<H", 20) + title + struct.pack("<HHQQ", 1, 16, size, size))
+        for part in parts:
+            self._out(part)
+        self.entries += ENTRY + struct.pack("<H", 45) + common + struct.pack("<HHHHII", 28, 0, 0, 0, 0, FULL32) + title + struct.pack("<HHQQQ", 1, 24, size, size, local)
+        self.n += 1
+
+    def close(self) -> int:
+        """The directory; returns the file's size."""
+        start, length = self.at, len(self.entries)
+        self._out(self.entries)
+        self._out(END64 + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, self.n, self.n, length, start))
+        self._out(LOCATOR64 + struct.pack("<IQI", 0, start + length, 1))
+        self._out(END + struct.pack("<HHHHIIH", 0, 0, FULL16, FULL16, FULL32, FULL32, 0))
+        return self.at
+
+
+def pack_records(write: Callable[[bytes], object], records: list[tuple[int | None, bytes]]) -> int:
+    """A package of records and their index; returns its size."""
     lines, at = [], 0
     for page_id, raw in records:
-        lines.append(f"{at:012d} {json.dumps({'page': page_id, 'offset': at, 'length': len(raw)})}\n")
+        lines.append(f"{at:012d} {json.dumps({'page': page_id, 'offset': at, 'length': len(raw)})}\n".encode())
         at += len(raw)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        with z.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as f:
-            for _, raw in records:
-                f.write(raw)
-        z.writestr(zipfile.ZipInfo(INDEX), "".join(lines))
-    return out.getvalue()
+    package = PackageWriter(write)
+    package.member(DATA, (raw for _, raw in records))
+    package.member(INDEX, lines)
+    return package.close()
+
+
+def write_package(path: str, records: list[tuple[int | None, bytes]]) -> int:
+    """A package of records at a path; returns its size."""
+    fs, place = file_system(path)
+    fs.create_dir(place.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(place) as out:
+        return pack_records(out.write, records)
 
 
 def planned(pages: DataFrame) -> DataFrame:
@@ -146,49 +224,94 @@ def planned(pages: DataFrame) -> DataFrame:
     return rows.join(last, ["digest", "size"], "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
 
 
-def packages(pages: DataFrame) -> DataFrame:
-    """(package binary): ZIP-packaged archives of all pages."""
+def packages(pages: DataFrame, folder: str | None) -> DataFrame:
+    """(path, size, package): ZIP-packaged archives of all pages, written to a folder that all executors share; without
+    a folder, in the column package."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        task = TaskContext.get()
+        name = f"{folder}/pages-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+        n, held, size = 0, [], 0
+
+        def closed() -> pa.RecordBatch:
+            if folder is None:
+                out = io.BytesIO()
+                row = (None, pack_records(out.write, held), out.getvalue())
+            else:
+                path = f"{name}-{n:05d}.wacz"
+                row = (path, write_package(path, held), None)
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.string(), pa.int64(), pa.binary()))], names=["path", "size", "package"])
+
         for b in batches:
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in b.columns)):
-                raw = record("response" if refers_to is None else "revisit", page_id, url, html.encode(), refers_to)
-                held.append((page_id, raw))
-                size += len(raw)
+                held.append((page_id, record("response" if refers_to is None else "revisit", page_id, url, html.encode(), refers_to)))
+                size += len(held[-1][1])
                 if size >= PACKAGE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([packed(held)], pa.binary())], names=["package"])
-                    held, size = [], 0
+                    yield closed()
+                    n, held, size = n + 1, [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([packed(held)], pa.binary())], names=["package"])
+            yield closed()
+
+    return mapped(planned(pages), run, "path string, size long, package binary")
+
+
+ROW = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string())]
+
 
-    return mapped(planned(pages), run, "package binary")
+def read_record(raw: bytes, page_id: int | None) -> tuple:
+    """The row of a record. The payload digest of a response is computed anew."""
+    try:
+        warc, http, payload = parsed(raw)
+        told = base64.b32decode(warc["warc-payload-digest"].partition(":")[2]).hex()
+        kind, refers = warc["warc-type"], warc.get("warc-refers-to", "<urn:page:>")[10:-1]
+        digest = hashlib.sha1(payload).hexdigest() if kind == "response" else told
+        if digest == told:
+            return page_id, int(http["content-length"]) if kind == "revisit" else len(payload), digest, kind, int(refers) if refers else None, warc.get("warc-target-uri")
+    except (KeyError, ValueError):
+        pass
+    return page_id, None, None, "damaged", None, None
 
 
-def records(package_rows: DataFrame) -> DataFrame:
-    """Every record of the packages, found through their indexes. The payload digest of a response is computed anew."""
+def read_package(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple]:
+    """A row for each record that a package's index names, read by its range alone."""
+    try:
+        reader = PackageReader(read, size)
+        entries = list(reader.index())
+    except (KeyError, ValueError, struct.error):
+        yield None, None, None, "damaged", None, None
+        return
+    for entry in entries:
+        yield read_record(reader.range(DATA, entry["offset"], entry["length"]), entry["page"])
+
+
+def records(listed: DataFrame) -> DataFrame:
+    """Every record of the listed packages, found through their directories and indexes."""
+
+    def rows(path: str | None, package: pa.Scalar) -> list[tuple]:
+        if path is None:
+            view = memoryview(package.as_buffer())
+            return list(read_package(lambda at, n: bytes(view[at : at + n]), len(view)))
+        ranges = FileRanges(path)
+        try:
+            return list(read_package(ranges, ranges.size))
+        finally:
+            ranges.close()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for value in b.column(0):
-                view = memoryview(value.as_buffer())
-                reader = PackageReader(lambda at, n, view=view: bytes(view[at : at + n]), len(view))
-                out = []
-                for entry in reader.index():
-                    warc, http, payload = parsed(reader.range(DATA, entry["offset"], entry["length"]))
-                    told = base64.b32decode(warc["warc-payload-digest"].partition(":")[2]).hex()
-                    kind = warc["warc-type"]
-                    digest = hashlib.sha1(payload).hexdigest() if kind == "response" else told
-                    if digest != told:
-                        raise ValueError(f"damaged record of page {entry['page']}")
-                    refers = warc.get("warc-refers-to", "<urn:page:>")[10:-1]
-                    out.append((entry["page"], int(http["content-length"]) if kind == "revisit" else len(payload), digest, kind, int(refers) if refers else None, warc.get("warc-target-uri")))
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"])
-
-    return mapped(package_rows, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")
+            for path, package in zip(b.column(0).to_pylist(), b.column(1)):
+                out = rows(path, package)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out) if out else [[]] * len(ROW), ROW)], names=[n for n, _ in ROW])
+
+    return mapped(listed.select("path", "package"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """All records of all pages, written to packages and read back from them."""
-    return records(written(packages(pages), "packages"))
+    folder: str | None = fresh_path(pages.sparkSession, "packages")
+    try:
+        file_system(folder)
+    except ValueError:
+        folder = None
+    listed = written(packages(pages, folder), "listed")
+    return records(listed.repartition(max(1, listed.count())) if folder else listed)  # a package is a task's work

@@ -16,6 +16,7 @@ from tallyweave.llm import bpe, chat, fingerprint, langid, minhash, packing, qua
 from tallyweave.llm.columns import run_hashes, words_of
 from tallyweave.llm.components import components
 from tallyweave.llm.queries import BPE_50K
+from tallyweave.staging import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string"
@@ -340,15 +341,18 @@ PAGES = "page_id long, url string, html string, digest string, size int, last lo
 
 def test_warc_round_trip(spark):
     big, small = "é" * 600, "x" * 999
-    html = {1: big, 2: big, 3: small, 4: small, 5: None, 6: "", 7: big + "!", 8: "\r\n\r\nWARC/1.1\r\n" * 200, 9: big}
+    html = {1: big, 2: big, 3: small, 4: small, 5: None, 6: "", 10: "long " * 600_000, 7: big + "!", 8: "\r\n\r\nWARC/1.1\r\n" * 200, 9: big}
     rows = [(k, None if k == 3 else f"http://h/{k} ü\n", v, "d", 1, 1) for k, v in html.items()] + [(None, "u", "abc", "d", 1, 1)]
     out = {r["page_id"]: r for r in warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()}
     for k, v in html.items():
         raw = (v or "").encode()
         assert (out[k]["payload_bytes"], out[k]["payload_digest"]) == (len(raw), hashlib.sha1(raw).hexdigest())
         assert (out[k]["record_type"], out[k]["refers_to"]) == (("revisit", 9) if k in (1, 2) else ("response", None))
-    assert out[None]["record_type"] == "response" and out[3]["target_uri"] is None and len(out) == 10
+    assert out[None]["record_type"] == "response" and out[3]["target_uri"] is None and len(out) == 11
+    assert out[10]["payload_bytes"] == 3_000_000
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+    pages = spark.createDataFrame(rows, PAGES)
+    assert sorted(map(str, warc.records(written(warc.packages(pages, None), "rows")).collect())) == sorted(map(str, warc.round_trip(pages).collect()))
 
 
 def test_package_reader_reads_ranges_and_zip64(tmp_path):
@@ -369,12 +373,37 @@ def test_package_reader_reads_ranges_and_zip64(tmp_path):
     with zipfile.ZipFile(many, "w") as z:
         for k in range(66_000):
             z.writestr(zipfile.ZipInfo(f"{k}"), b"")
+        z.comment = b"c" * 65_535
     raw = many.read_bytes()
     assert len(warc.PackageReader(lambda at, n: raw[at : at + n], len(raw)).members) == 66_000
     with pytest.raises(ValueError):
         warc.PackageReader(lambda at, n: b"x" * n, 100)
 
 
+def test_packages_are_zip_files_read_by_block(tmp_path):
+    import zipfile
+
+    rows = [(k, warc.record("response", k, "u", b"x" * (k * 37 % 5000), None)) for k in range(400)]
+    path = str(tmp_path / "p" / "a.wacz")
+    size = warc.write_package(path, rows)
+    with zipfile.ZipFile(path) as z:  # another reader agrees
+        assert z.testzip() is None and z.namelist() == [warc.DATA, warc.INDEX] and z.read(warc.DATA) == b"".join(r for _, r in rows)
+        assert z.getinfo(warc.DATA).compress_type == zipfile.ZIP_STORED
+    raw = open(path, "rb").read()
+    assert len(raw) == size and warc.END64 in raw[-200:] and warc.LOCATOR64 in raw[-200:]
+    ranges = warc.FileRanges("file://" + path, block=10_000)
+    found = list(warc.read_package(ranges, ranges.size))
+    assert [(r[0], r[1], r[3]) for r in found] == [(k, k * 37 % 5000, "response") for k in range(400)]
+    at = raw.index(b"x" * 4000)
+    broken = bytearray(raw)
+    broken[at] = 0x79
+    kinds = [r[3] for r in warc.read_package(lambda a, n: bytes(broken[a : a + n]), size)]
+    assert kinds.count("damaged") == 1 and kinds.count("response") == 399
+    assert list(warc.read_package(lambda a, n: b"x" * n, 500)) == [(None, None, None, "damaged", None, None)]
+    with pytest.raises(ValueError):
+        warc.file_system("viewfs://a/b")
+
+
 # 6
 
 
