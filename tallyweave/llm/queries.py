@@ -32,6 +32,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 50))
 
 
+def remove_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The broadcast form of operator 3: passages of 13 words and more that the benchmark has leave the documents."""
+    documents, benchmark = (table(spark, sf_dir, name).select(*columns) for name, columns in (("documents", ["doc_id", "text"]), ("benchmark", ["text"])))
+    return substring.digests(substring.remove_reference(documents, benchmark, 13))
+
+
+def ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of operator 7's policy drops, and what it alone drops."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BPE_50K, 1024, 2)
 
@@ -62,11 +73,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    return {k: f for k, f in globals().items() if k.startswith("op")} | {f.__name__: f for f in (remove_benchmark_passages, ledger_ablation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL, "op3_substring_dedup": REPEATS_SQL, "op5_warc_packages": WARC_SQL, "op6_minhash_near_dedup": NEAR_SQL, "op7_quality_ledger": QUALITY_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op3_substring_dedup": REPEATS_SQL, "op5_warc_packages": WARC_SQL, "op6_minhash_near_dedup": NEAR_SQL, "op7_quality_ledger": QUALITY_SQL, "remove_benchmark_passages": BENCHMARK_SQL, "ledger_ablation": ABLATION_SQL}
 
 
 #: The formatted length: 4 for the opening, 2 for ": ", 8 for the closing, and one more for each escaped character.
@@ -120,6 +131,13 @@ select c.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coales
 from cut c left join texts using (doc_id)
 """
 
+BENCHMARK_SQL = REPEATS_SQL.replace("pos + 49", "pos + 12").replace("len(words) - 49", "len(words) - 12").replace("later as (select doc_id, pos from (select doc_id, pos, min(doc_id) over (partition by w) as first from windows) where first < doc_id)", """items as (select list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') as words from benchmark),
+passages as (select distinct array_to_string(list_slice(words, pos, pos + 12), ' ') as w from (select words, unnest(generate_series(1, len(words) - 12)) as pos from items)),
+later as (select doc_id, pos from windows semi join passages using (w))""")
+
+ABLATION_SQL = "with judged as (" + QUALITY_SQL + """), rules as (select unnest(['few_words', 'repeated_windows', 'symbols', 'repeated_lines', 'word_length', 'insults']) as rule, unnest([1, 2, 4, 8, 16, 32]) as bit)
+select rule, count(*) filter (where failed_bits & bit <> 0) as n_failed, count(*) filter (where failed_bits = bit) as n_only from judged, rules group by rule"""
+
 WARC_SQL = """
 with p as (select page_id, sha1(coalesce(html, '')) as digest, cast(strlen(coalesce(html, '')) as bigint) as n from pages),
 q as (select *, max(page_id) over (partition by digest, n) as last from p)

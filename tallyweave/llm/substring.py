@@ -11,17 +11,22 @@ into shards by content, and the documents' passages are dealt to the shards that
 3. A shard's automaton is built over its passages in ascending doc_id, each state keeping the first document
    that holds its strings; the passages then stream through it. The matching statistic at a word, cut to
    `window`, names the state and so the first document of that window; windows with a smaller one are removable.
-4. An anchor of over SHARD passages (a passage that a third of all documents share has that many contexts) makes
-   no shard. Its passages are cut into parts by the anchor's place in the window, and step 2 folds these again:
-   parts inside the shared passage fold, the others have few rivals and make shards. Parts that still have over
-   SHARD rivals go window by window through a combinable minimum over hashes, which no key can skew.
+4. An anchor of over SHARD passages (a passage that a third of all documents share has that many contexts) or over
+   SHARD_WORDS words makes no shard. Its passages are cut into parts by the anchor's place in the window, and step
+   2 folds these again: parts inside the shared passage fold, the others have few rivals and make shards. Parts
+   that are still too many or too long go window by window through a combinable minimum, which no key can skew. So
+   a task holds the automaton of SHARD_WORDS words at most, about 1 kB each.
 
-`remove_reference` is the plain form for a reference of bounded size, such as a benchmark: its automaton is
-built once, broadcast, and all documents stream through it.
+Equality of passages, parts and windows is that of two 64-bit hashes each, 128 bits together: among 10**13 of them
+the chance that any two different ones are taken for equal is below 10**-12.
+
+`remove_reference` is the plain form for another table as the reference, such as a benchmark: it is cut into shards
+of about REFERENCE_WORDS words, the automaton of one after the other is broadcast, and all documents stream through.
 
 Defined results: null text and text of under `window` words lose nothing; rows with a null doc_id lose nothing
-and are no reference; rows of one doc_id are one document and do not remove each other's words; an empty table
-gives an empty result; only doc_id and text are read.
+and are no reference; rows of one doc_id are one document and do not remove each other's words; texts of any
+length are read whole; of equal texts the one of the smallest doc_id keeps its words; an empty table gives an
+empty result; only doc_id and text are read, other columns are carried in `row`.
 """
 
 from __future__ import annotations
@@ -39,9 +44,11 @@ from tallyweave.llm.minhash import grouped_rows
 from tallyweave.llm.textnp import _power, chunks, inside, mix, ngram_hashes, span_hashes, words
 from tallyweave.staging import mapped, written
 
-ANCHOR, SHARD, PART = 20, 256, 8
-#: Words of a reference that may be broadcast (about 1 kB each as an automaton).
-REFERENCE_WORDS = 200_000
+ANCHOR, SHARD, PART, SHARD_WORDS = 20, 256, 8, 1 << 17
+#: Words of a reference whose automaton is broadcast at once (about 1 kB each).
+REFERENCE_WORDS = 100_000
+#: Turns a word's hash into its second one.
+_SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
 class SuffixAutomaton:
@@ -119,7 +126,8 @@ def _runs(marks: list[int]) -> list[tuple[int, int]]:
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, doc_id, tag, pos, n): runs of n windows from word `pos` with one anchor; content hashes its words."""
+    """(anchor, content, proof, doc_id, tag, pos, n): runs of n windows from word `pos` with one anchor; content and proof
+    are hashes of its words."""
     reach = window - ANCHOR + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +151,18 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 size = np.diff(np.append(head, len(ok)))
                 at, owner = ok[head], owner[head]
                 up, down = _power(len(hashes) + 1)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
                 end = at + size + window - 1
-                content = mix((sums[end] - sums[at]) * down[at] + size.astype(np.uint64))
+                both = []
+                for items in (hashes, mix(hashes ^ _SECOND)):
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(items * up[: len(items)])])
+                    both.append(pa.array(mix((sums[end] - sums[at]) * down[at] + size.astype(np.uint64)).view(np.int64)))
                 rows = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(low[head].view(np.int64)), pa.array(content.view(np.int64)), ids.slice(i, j - i).take(rows), tags.slice(i, j - i).take(rows), pa.array((at - first[:-1][owner]).astype(np.int32)), pa.array(size.astype(np.int32))],
-                    names=["anchor", "content", "doc_id", "tag", "pos", "n"],
+                    [pa.array(low[head].view(np.int64)), *both, ids.slice(i, j - i).take(rows), tags.slice(i, j - i).take(rows), pa.array((at - first[:-1][owner]).astype(np.int32)), pa.array(size.astype(np.int32))],
+                    names=["anchor", "content", "proof", "doc_id", "tag", "pos", "n"],
                 )
 
-    return mapped(docs.where("doc_id is not null"), run, "anchor long, content long, doc_id long, tag long, pos int, n int")
+    return mapped(docs.where("doc_id is not null"), run, "anchor long, content long, proof long, doc_id long, tag long, pos int, n int")
 
 
 def _parts(grams: np.ndarray, anchor: int, n: int) -> Iterator[tuple[int, int, int]]:
@@ -167,16 +177,17 @@ def _parts(grams: np.ndarray, anchor: int, n: int) -> Iterator[tuple[int, int, i
         yield s, e, int(group[s])
 
 
-def _signed(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def _signed(data: bytes) -> tuple[int, int]:
+    digest = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-PASSAGE = "key long, content long, doc_id long, tag long, places array<int>, n int, passage binary, windows array<long>"
+PASSAGE = "key long, content long, proof long, doc_id long, tag long, places array<int>, n int, passage binary, windows array<long>, proofs array<long>"
 
 
 def passages(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of the wanted runs. Runs whose anchor is in over SHARD passages are cut into parts, which carry a key
-    of their own, a hash of their content and the hashes of their windows; of other runs content and windows are null.
+    of their own, hashes of their content and of their windows, which are null of other runs.
     Equal parts of one document are one row with all their places, as a line can repeat many times in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +196,7 @@ def passages(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             lists = b.column(3).to_pylist()
             for i, j, data, offsets in chunks(b.column(2)):
                 starts, ends, first = words(data, offsets)
-                grams = whole = None
+                grams = whole = proofs = None
                 raw = data.tobytes()
                 for r in range(i, j):
                     base = int(first[r - i])
@@ -194,24 +205,25 @@ def passages(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     for x in lists[r]:
                         s, n = base + x["pos"], x["n"]
                         if x["members"] <= SHARD:
-                            out.append((x["anchor"], None, *key, [x["pos"]], n, raw[starts[s] : ends[s + n + window - 2]], None))
+                            out.append((x["anchor"], None, None, *key, [x["pos"]], n, raw[starts[s] : ends[s + n + window - 2]], None, None))
                             continue
                         if grams is None:
                             hashes = span_hashes(data, starts, ends)
                             grams, whole = (ngram_hashes(hashes, k).view(np.int64) for k in (ANCHOR, window))
+                            proofs = ngram_hashes(mix(hashes ^ _SECOND), window).view(np.int64)
                         for low, high, group in _parts(grams[s : s + n + window - ANCHOR], x["anchor"], n):
                             text = b" ".join(raw[starts[s + low] : ends[s + high + window - 2]].split())
-                            part = (_signed(b"%d %d" % (x["anchor"], group)), _signed(text))
+                            part = (_signed(b"%d %d" % (x["anchor"], group))[0], *_signed(text))
                             if part not in parts:
-                                parts[part] = (*part, *key, [], high - low, text, whole[s + low : s + high].tolist())
-                            parts[part][4].append(x["pos"] + low)
+                                parts[part] = (*part, *key, [], high - low, text, *(h[s + low : s + high].tolist() for h in (whole, proofs)))
+                            parts[part][5].append(x["pos"] + low)
                     out += parts.values()
                     if len(out) > 20_000 or r == b.num_rows - 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
                         out = []
 
-    names = ["key", "content", "doc_id", "tag", "places", "n", "passage", "windows"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    names = ["key", "content", "proof", "doc_id", "tag", "places", "n", "passage", "windows", "proofs"]
+    kinds = [*[pa.int64()] * 5, pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     by_doc = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "members", "pos", "n")).alias("runs"))
     # Documents are no skewed key, so the sides are dealt by them outright; each task then makes about as many rows.
     key = ["doc_id", "tag"]
@@ -219,6 +231,7 @@ def passages(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
 
 SPAN = "doc_id long, tag long, places array<int>, low int, high int"
+SPAN_TYPES = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32())
 
 
 def matched(found: DataFrame, window: int) -> DataFrame:
@@ -234,7 +247,7 @@ def matched(found: DataFrame, window: int) -> DataFrame:
             for doc, tag, places, items in held:
                 out += [(doc, tag, places, a, b + window - 1) for a, b in _runs([k for k, first in automaton.windows(items, window) if first < doc])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32()))], names=["doc_id", "tag", "places", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), SPAN_TYPES)], names=["doc_id", "tag", "places", "low", "high"])
 
     return mapped(found.repartition("key").sortWithinPartitions("key", "doc_id", "tag"), run, SPAN)
 
@@ -276,59 +289,87 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     found = written(anchors(docs, window), "anchors")
     shared = written(found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared")
     marks = written(found.join(shared, "anchor"), "marks")
-    later, firsts = folded(marks, "anchor")
+    later, firsts = folded(marks, "anchor", window)
     texts = written(passages(docs, firsts.select("anchor", "members", "doc_id", "tag", "pos", "n"), window), "passages")
-    rest, parts = folded(texts.where("content is not null"), "key")
+    rest, parts = folded(texts.where("content is not null"), "key", window)
     shards = [x.select("key", "doc_id", "tag", "places", "passage") for x in (texts.where("content is null"), parts.where(F.col("members") <= SHARD))]
-    single = written(parts.where(F.col("members") > SHARD).select("doc_id", "tag", "places", F.posexplode("windows").alias("low", "window")), "windows")
-    owners = written(single.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first"), "owners")
-    hot = single.join(owners, "window").where("first < doc_id").select("doc_id", "tag", "places", "low", (F.col("low") + window).alias("high"))
+    single = parts.where(F.col("members") > SHARD).select("doc_id", "tag", "places", F.posexplode(F.arrays_zip("windows", "proofs")).alias("low", "window"))
+    single = written(single.select("doc_id", "tag", "places", "low", "window.windows", "window.proofs"), "windows")
+    equal = ["windows", "proofs"]
+    owners = written(single.groupBy(*equal).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(*equal, "first"), "owners")
+    hot = single.join(owners, equal).where("first < doc_id").select("doc_id", "tag", "places", "low", (F.col("low") + window).alias("high"))
     whole = [x.select("doc_id", "tag", places.alias("places"), F.lit(0).alias("low"), (F.col("n") + (window - 1)).alias("high")) for x, places in ((later, F.array("pos")), (rest, F.col("places")))]
     return whole[0].union(whole[1]).union(matched(shards[0].union(shards[1]), window)).union(hot)
 
 
-def folded(runs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Runs (key, content, doc_id, …) that an earlier document has word for word; and of the others those whose key
-    has several contents, with their number as `members`."""
-    firsts = written(runs.groupBy(key, "content").agg(F.min("doc_id").alias("first")), "firsts")
-    contested = written(firsts.groupBy(key).agg(F.count("*").alias("members")).where("members > 1"), "contested")
-    judged = written(runs.join(firsts, [key, "content"]), "judged")
+def folded(runs: DataFrame, key: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """Runs (key, content, proof, doc_id, n, …) that an earlier document has word for word; and of the others those
+    whose key has several contents, with their number as `members`, which is over SHARD where they are too many words."""
+    content = [key, "content", "proof"]
+    firsts = written(runs.groupBy(*content).agg(F.min("doc_id").alias("first"), F.max("n").alias("size")), "firsts")
+    size = F.sum((F.col("size") + (window - 1)).cast("long"))
+    members = F.greatest(F.count("*"), F.when(size > SHARD_WORDS, F.lit(SHARD + 1)).otherwise(F.lit(0)))
+    contested = written(firsts.groupBy(key).agg(members.alias("members"), F.count("*").alias("different")).where("different > 1").select(key, "members"), "contested")
+    judged = written(runs.join(firsts.drop("size"), content), "judged")
     return judged.where("doc_id > first"), judged.where("doc_id = first").join(contested, key)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(row, n_words, n_removed, kept) for each row of docs; row is a struct of all its columns."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs as (doc_id, tag, text) and as (doc_id, tag, row); tag tells texts of one doc_id apart."""
     key = [docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("tag")]
-    spans = repeated_spans(docs.select(*key, docs["text"]), window)
-    return without(docs.select(*key, F.struct(*[docs[c] for c in docs.columns]).alias("row")), spans)
+    return docs.select(*key, docs["text"]), docs.select(*key, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
 
-def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 50) -> DataFrame:
-    """Like `remove_repeats`, against a reference (column text) of at most REFERENCE_WORDS words, which is checked."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    texts = reference.select(F.coalesce(reference["text"], F.lit("")).alias("text"))
-    size = texts.agg(F.sum(F.size(F.split("text", r"[ \t-\r]+")))).first()[0] or 0
-    if size > REFERENCE_WORDS:
-        raise ValueError(f"the reference has {size} words; up to {REFERENCE_WORDS} can be broadcast")
+def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+    """(row, n_words, n_removed, kept) for each row of docs; row is a struct of all its columns."""
+    texts, rows = _keyed(docs)
+    return without(rows, repeated_spans(texts, window))
+
+
+def reference_shards(reference: DataFrame, window: int, most: int) -> list[DataFrame]:
+    """(text) rows of about `most` words each. Texts of over half that are cut into parts that overlap by window - 1 words."""
+    words_ = F.filter(F.split(F.coalesce(reference["text"], F.lit("")), "[ \\x09-\\x0D]+"), lambda w: w != "")
+    part = max(window, most // 2)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(1)), F.lit(part - window + 1))
+    cut = reference.select(words_.alias("words")).where(F.size("words") >= window).withColumn("at", F.explode(starts))
+    texts = written(cut.select(F.slice("words", F.col("at"), F.lit(part)).alias("words")).distinct().select(F.array_join("words", " ").alias("text"), F.size("words").alias("size")), "reference")
+    n = -(-(texts.agg(F.sum("size")).first()[0] or 0) // most)
+    if n < 2:
+        return [texts.select("text")]
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(n)))
+    return [dealt.where(F.col("shard") == k).select("text") for k in range(n)]
+
+
+def reference_spans(docs: DataFrame, shard: DataFrame, window: int) -> DataFrame:
+    """Spans of the rows (doc_id, tag, text) that windows of a shard cover; its automaton is broadcast."""
     automaton = SuffixAutomaton()
-    for r in texts.toLocalIterator():
+    for r in shard.toLocalIterator():
         automaton.add(r["text"].encode().split(), 0)
     sent = docs.sparkSession.sparkContext.broadcast((automaton.next, automaton.link, automaton.len, automaton.label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton_ = SuffixAutomaton()
-        automaton_.next, automaton_.link, automaton_.len, automaton_.label = sent.value
+        held = SuffixAutomaton()
+        held.next, held.link, held.len, held.label = sent.value
         for b in batches:
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                items = (text or "").encode().split()
-                keep = np.ones(len(items), bool)
-                for a, e in _runs([k for k, _ in automaton_.windows(items, window)]):
-                    keep[a : e + window - 1] = False
-                out.append((doc, len(items), int((~keep).sum()), b" ".join(x for x, k in zip(items, keep) if k).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return mapped(rows, run, "doc_id long, n_words long, n_removed long, kept string")
+            for doc, tag, text in zip(*(c.to_pylist() for c in b.columns)):
+                found = _runs([k for k, _ in held.windows((text or "").encode().split(), window)])
+                out += [(doc, tag, [0], a, e + window - 1) for a, e in found]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), SPAN_TYPES)], names=["doc_id", "tag", "places", "low", "high"])
+
+    return mapped(docs, run, SPAN)
+
+
+def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 50, most: int = REFERENCE_WORDS) -> DataFrame:
+    """Like `remove_repeats`, of the words that windows of a reference (column text) cover. A pass over docs for each shard."""
+    texts, rows = _keyed(docs.where("doc_id is not null"))
+    spans = None
+    for shard in reference_shards(reference, window, most):
+        found = written(reference_spans(texts, shard, window), "spans")
+        spans = found if spans is None else spans.union(found)
+    nulls = _keyed(docs.where("doc_id is null"))[1]
+    return without(rows.union(nulls), spans)
 
 
 def digests(removed: DataFrame) -> DataFrame:

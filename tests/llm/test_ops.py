@@ -214,9 +214,10 @@ def plain_repeats(rows, window):
     return out
 
 
-@pytest.mark.parametrize("shard", [256, 3])
-def test_substring_dedup(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "n_words"), [(256, 1 << 17), (3, 1 << 17), (256, 300), (256, 0)])
+def test_substring_dedup(spark, monkeypatch, shard, n_words):
     monkeypatch.setattr(substring, "SHARD", shard)
+    monkeypatch.setattr(substring, "SHARD_WORDS", n_words)
     for seed in (1, 2):
         rows = corpus(seed, 90)
         out = substring.digests(substring.remove_repeats(odd(spark, rows))).collect()
@@ -230,9 +231,31 @@ def test_substring_dedup_edges(spark):
     out = sorted((-1 if r["row"]["doc_id"] is None else r["row"]["doc_id"], r["n_words"], r["n_removed"]) for r in substring.remove_repeats(odd(spark, rows)).collect())
     assert out == [(-1, 4000, 0), (3, 0, 0), (7, 4000, 0), (7, 4000, 0), (9, 4001, 4000)]
     assert substring.remove_repeats(odd(spark, rows).limit(0)).count() == 0
-    reference = spark.createDataFrame([(" ".join(f"w{k}" for k in range(55)),), (None,)], "text string")
-    cut = substring.remove_reference(spark.createDataFrame([(1, "a " + " ".join(f"w{k}" for k in range(2, 54)) + " b"), (2, None), (3, "a b")], DOCS), reference).collect()
-    assert [(r["doc_id"], r["n_removed"], r["kept"]) for r in sorted(cut)] == [(1, 52, "a b"), (2, 0, ""), (3, 0, "a b")]
+    same = "x " * 3000  # one anchor everywhere
+    out = sorted((r["row"]["doc_id"], r["n_words"], r["n_removed"]) for r in substring.remove_repeats(odd(spark, [(1, same), (2, same + "y"), (3, "y " + same)])).collect())
+    assert out == [(1, 3000, 0), (2, 3001, 3000), (3, 3001, 3000)]
+
+
+@pytest.mark.parametrize("most", [100_000, 60])
+def test_reference_is_removed(spark, most):
+    rng = random.Random(9)
+    reference = [None, "", "a b", *(" ".join(f"r{rng.randint(0, 40)}" for _ in range(n)) for n in (5, 20, 30, 150))]
+    source = " ".join(x for x in reference if x).split()
+    rows = [(0, None), (1, "")]
+    for i in range(2, 40):
+        at, n = rng.randrange(len(source)), rng.randint(0, 30)
+        rows.append((i, " ".join([f"d{rng.randint(0, 9)}" for _ in range(rng.randint(0, 20))] + source[at : at + n] + [f"r{rng.randint(0, 40)}" for _ in range(rng.randint(0, 20))])))
+    windows = {tuple(w[k : k + 8]) for w in (x.split() for x in reference if x) for k in range(len(w) - 7)}
+    want = {}
+    for i, text in rows:
+        w = (text or "").split()
+        gone = {j for k in range(len(w) - 7) if tuple(w[k : k + 8]) in windows for j in range(k, k + 8)}
+        want[i] = (len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone)))
+    found = substring.remove_reference(odd(spark, rows), spark.createDataFrame([(x,) for x in reference], "text string"), 8, most)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digests(found).collect()} == want
+    assert any(n for _, n, _ in want.values())
+    empty = spark.createDataFrame([], "text string")
+    assert substring.remove_reference(odd(spark, [*rows, (None, "x")]), empty, 8).where("n_removed > 0").count() == 0
 
 
 def test_suffix_automaton():
