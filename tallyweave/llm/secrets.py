@@ -2,12 +2,15 @@
 
 Base spans come from three patterns. Beyond them, a value after a word such as password, pin or login is cut by
 dynamic programming into the cheapest sequence of segments (Wheeler's guess numbers): words (those of the documents,
-ranked by a count over all of them outside such values, and common ones of passwords) with capital and look-alike letters, dates, repeats, keyboard walks, character sequences and brute force. The cost of
+ranked by a count over all of them outside such values, and common ones of passwords) with capital and look-alike
+letters, dates, repeats of a character or of a unit, keyboard walks, character sequences and brute force. The cost of
 a value is the decimal logarithm of the guesses an informed attacker needs; a value of `least_cost` or more
 becomes a span of kind `guess`, unless one base span covers it whole; redaction covers the union of all spans.
 
-Defined results: null text is empty and has no spans; any text length is scanned whole, and a value
-is as long as its run of visible characters; repeated rows are scanned each for itself; extra columns are ignored.
+Defined results: null text is empty and has no spans; any text length is scanned whole, and a value is as long as its
+run of visible characters; of segmentations that cost the same any may be told, spans that start together go by kind;
+repeated rows are scanned each for itself; extra columns, whatever their names, are carried by `find_secrets` and
+ignored by `scan_digests`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,42 +98,63 @@ def word_ranks(docs: DataFrame) -> dict[str, int]:
     return {r["word"]: k + 1 for k, r in enumerate(common)} | {w: k + 1 for k, w in enumerate(WORDS)}
 
 
-@lru_cache(1)
-def _neighbours() -> dict[str, str]:
-    near = {}
-    for r, row in enumerate(ROWS):
-        for k, c in enumerate(row):
-            near[c] = row[max(0, k - 1) : k + 2] + "".join(ROWS[q][max(0, k - 1) : k + 2] for q in (r - 1, r + 1) if 0 <= q < len(ROWS))
-    return near
+#: Place of each key: row and column.
+PLACE = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
+
+
+def _beside(a: str, b: str) -> bool:
+    """Whether two keys are the same or next to each other, also across rows."""
+    p, q = PLACE.get(a), PLACE.get(b)
+    return p is not None and q is not None and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
 def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() else 33
 
 
-def segments(value: str, ranks: dict[str, int] | None = None) -> Iterator[tuple[int, int, float, str]]:
-    """(start, end, log10 of guesses, kind) of all segments of a value that are cheaper than brute force might be."""
-    low, n, ranks, near = value.lower(), len(value), ranks or _ranks(), _neighbours()
+#: How far from a run's ends its parts begin and end: as far as a word can reach into the run. Units of up to SHORT
+#: characters are tried from all of these places on, longer ones from the run's first character.
+REACH, SHORT = LONGEST, 64
+
+
+def _runs(flags: list[bool], more: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of each run of true flags, `more` characters longer than its flags."""
+    at = 0
+    for value, group in groupby(flags):
+        n = len(list(group))
+        if value:
+            yield at, at + n + more
+        at += n
+
+
+def _parts(start: int, end: int, least: int) -> Iterator[tuple[int, int]]:
+    """Parts of a run of `least` characters and more that begin near its start and end near its end: a part with both
+    ends far inside is never better than the run, as what borders it there would be of the same run."""
+    for s in range(start, min(start + REACH, end - least) + 1):
+        for e in range(max(s + least, end - REACH), end + 1):
+            yield s, e
+
+
+def _periodic(value: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, width) of each maximal run with a period of `width` >= 2 and two whole units, shortest period first."""
+    points = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+    known: list[tuple[int, int, int]] = [(s, e, 1) for s, e in _runs((points[1:] == points[:-1]).tolist(), 1)]
+    for width in range(2, len(value) // 2 + 1):
+        equal = points[width:] == points[:-width]
+        if np.count_nonzero(equal) < width:
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], equal.view(np.int8), [0]])))
+        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if e - s >= width and not any(width % p == 0 and a <= s and e + width <= b for a, b, p in known):
+                known.append((s, e + width, width))
+                yield known[-1]
+
+
+def segments(value: str, ranks: dict[str, int] | None = None, memo: dict[str, float] | None = None) -> Iterator[tuple[int, int, float, str]]:
+    """(start, end, log10 of guesses, kind) of the segments of a value that are cheaper than brute force might be:
+    words, dates, and runs (equal characters, repeated units, keyboard walks, character sequences) with their parts."""
+    low, n, ranks, memo = value.lower(), len(value), ranks or _ranks(), {} if memo is None else memo
     plain = low.translate(LOOKALIKE)
-    #: Ends of the runs that begin at each character, from the last one back, so that time is linear: equal characters,
-    #: neighbouring keys with their turns, equal steps (by the second character); and how far a shift by `width` agrees.
-    same, walk, turns, step = [n] * (n + 1), [n] * (n + 1), [1] * (n + 1), [n] * (n + 1)
-    moves = [ord(b) - ord(a) for a, b in zip(low, low[1:])]
-    for s in range(n - 2, -1, -1):
-        same[s] = same[s + 1] if value[s] == value[s + 1] else s + 1
-        beside = low[s + 1] in near.get(low[s], "")
-        walk[s] = walk[s + 1] if beside else s + 1
-        if beside:
-            turns[s] = 2 if walk[s + 1] == s + 2 else turns[s + 1] + (moves[s] != moves[s + 1])
-        if s + 2 < n:
-            step[s + 1] = step[s + 2] if moves[s] == moves[s + 1] else s + 2
-    alike: list[list[int]] = [[], []]
-    for width in range(2, min(16, n // 2) + 1):
-        found = [0] * (n + 1)
-        for s in range(n - width - 1, -1, -1):
-            if value[s] == value[s + width]:
-                found[s] = found[s + 1] + 1
-        alike.append(found)
     for s in range(n):
         for e in range(s + 3, min(n, s + LONGEST) + 1):
             rank = ranks.get(low[s:e])
@@ -139,35 +165,50 @@ def segments(value: str, ranks: dict[str, int] | None = None) -> Iterator[tuple[
                 capitals = sum(c.isupper() for c in value[s:e])
                 shapes = 1 if not capitals else 2 if capitals in (1, e - s) and value[s].isupper() else math.comb(e - s, min(capitals, (e - s) // 2)) + 1
                 yield s, e, math.log10(max(rank, 2) * shapes * (1 << swapped)), "word"
-        if m := DATE.match(value, s):
-            yield s, m.end(), math.log10(365 * 120 if m.end() - s > 4 else 120), "date"
-        if same[s] - s >= 3:
-            yield s, same[s], math.log10(_alphabet(value[s]) * (same[s] - s)), "repeat"
-        for width in range(2, min(16, (n - s) // 2) + 1):
-            if (times := alike[width][s] // width + 1) > 1:
-                yield s, s + times * width, width * math.log10(_alphabet(value[s])) + math.log10(times), "repeat"
-        if walk[s] - s >= 4:
-            yield s, walk[s], math.log10(47 * (walk[s] - s)) + 0.5 * min(turns[s], walk[s] - s), "walk"
-        if step[s + 1] - s >= 3 and s + 1 < n and abs(ord(low[s + 1]) - ord(low[s])) == 1:
-            yield s, step[s + 1], math.log10(_alphabet(value[s]) * (step[s + 1] - s)), "sequence"
-
-
-def cheapest(value: str, ranks: dict[str, int] | None = None) -> list[tuple[float, int, str]]:
+        if value[s].isdecimal():
+            for size in (4, 8, 9, 10):
+                if s + size <= n and DATE.fullmatch(value, s, s + size):
+                    yield s, s + size, math.log10(365 * 120 if size > 4 else 120), "date"
+    for a, b in _runs([x == y for x, y in zip(value, value[1:])], 1):
+        for s, e in _parts(a, b, 3):
+            yield s, e, math.log10(_alphabet(value[s]) * (e - s)), "repeat"
+    for step in (1, -1):
+        for a, b in _runs([ord(y) - ord(x) == step for x, y in zip(low, low[1:])], 1):
+            for s, e in _parts(a, b, 3):
+                yield s, e, math.log10(_alphabet(value[s]) * (e - s)), "sequence"
+    for a, b in _runs([_beside(x, y) for x, y in zip(low, low[1:])], 1):
+        keys = [PLACE[c] for c in low[a:b]]
+        moves = [(q[0] - p[0], q[1] - p[1]) for p, q in zip(keys, keys[1:])]
+        turned = [0, 0, *accumulate(int(x != y) for x, y in zip(moves, moves[1:]))]  # turns before the step to each key
+        for s, e in _parts(a, b, 4):
+            yield s, e, math.log10(47 * (e - s)) + 0.5 * (1 + turned[e - 1 - a] - turned[s + 1 - a]), "walk"
+    for a, b, width in _periodic(value):
+        for s in range(a, min(a + (min(REACH, width) if width <= SHORT else 0), b - 2 * width) + 1):
+            unit = value[s : s + width]
+            if unit not in memo:
+                memo[unit] = cheapest(unit, ranks, memo)[-1][0]
+            most = (b - s) // width
+            for times in range(max(2, most - REACH // width), most + 1):
+                yield s, s + times * width, memo[unit] + math.log10(times), "repeat"
+
+
+def cheapest(value: str, ranks: dict[str, int] | None = None, memo: dict[str, float] | None = None) -> list[tuple[float, int, str]]:
     """For each k, the least log10 of guesses for the first k characters, and start and kind of the last segment there.
 
-    A run of brute force is kept as one segment, and each segment costs a factor of 2 for the attacker's choice of kinds."""
+    Each segment costs a factor of 2 for the attacker's choice of kinds, and a run of brute force is one segment, so
+    the least cost that ends in brute force is kept beside the least of all: going on with it may be cheaper later.
+    memo: costs of repeated units, which are values themselves."""
     n = len(value)
     choice = math.log10(2)
     ends: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for s, e, cost, kind in segments(value, ranks):
+    for s, e, cost, kind in segments(value, ranks, memo):
         ends[e].append((s, cost, kind))
-    best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
+    best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+    brute = (math.inf, 0, "brute")
     for k in range(1, n + 1):
-        cost, start, kind = best[k - 1]
-        new = kind != "brute"
-        options = [(cost + math.log10(_alphabet(value[k - 1])) + choice * new, k - 1 if new else start, "brute")]
-        options += [(best[s][0] + c + choice, s, kind_) for s, c, kind_ in ends[k]]
-        best[k] = min(options)
+        each = math.log10(_alphabet(value[k - 1]))
+        brute = min((brute[0] + each, brute[1], "brute"), (best[k - 1][0] + each + choice, k - 1, "brute"))
+        best.append(min([brute, *((best[s][0] + c + choice, s, kind) for s, c, kind in ends[k])]))
     return best
 
 
@@ -181,16 +222,17 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> tuple[float,
     return best[-1][0], cut[::-1]
 
 
-#: First prefix of a value that is looked at. A segment that crosses its end either begins in its last REACH characters
-#: (words and dates are shorter), or goes on as a repeat, walk or sequence whose whole units end there.
-PREFIX, REACH = 256, 32
+#: First prefix of a value that is looked at.
+PREFIX = 256
 
 
 def costly(value: str, least_cost: float, ranks: dict[str, int] | None = None) -> bool:
-    """Whether guess_cost(value) is `least_cost` or more, decided on a prefix where that proves it."""
+    """Whether guess_cost(value) is `least_cost` or more, decided on a prefix where that proves it: whatever segment
+    crosses the prefix's end, its part up to some place in the prefix's second half costs no more than all of it (a
+    word or date begins there, a run goes on from it, a repeated unit that is shorter ends there)."""
     size = PREFIX
     while size < len(value):
-        if min(best[0] for best in cheapest(value[:size], ranks)[-REACH - 1 :]) >= least_cost:
+        if min(best[0] for best in cheapest(value[:size], ranks)[size // 2 :]) >= least_cost:
             return True
         size *= 4
     return guess_cost(value, ranks)[0] >= least_cost

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -89,15 +90,56 @@ def test_guess_cost():
     assert cost("password") < cost("password1") < cost("x9$Kq!v2Lm") and cost("abcabcabc") < cost("abcqzkmwp")
     assert cost("correcthorsebatterystaple") > cost("correcthorse")
 
-    def brute(value):  # cheapest over all segmentations
-        options = {(s, e): min([c for a, b, c, _ in secrets.segments(value) if (a, b) == (s, e)] + [sum(np.log10(secrets._alphabet(x)) for x in value[s:e])]) for s in range(len(value)) for e in range(s + 1, len(value) + 1)}
-        best = {0: 0.0}
-        for e in range(1, len(value) + 1):
-            best[e] = min(best[s] + options[s, e] + np.log10(2) for s in range(e))
-        return best[len(value)]
-
-    for value in ("love2024", "aaab1234", "qwertyX9", "Dragon!!", "p4ss"):
-        assert cost(value) == pytest.approx(brute(value))
+    assert cost("ssssecret") == pytest.approx(cost("sss") + cost("secret")) == pytest.approx(4.15, abs=0.01)
+    unit = "k8Vq2LmZr5TyWp0Xd"
+    assert cost(unit * 3) == pytest.approx(cost(unit) + np.log10(3) + np.log10(2))
+    wide = "".join(random.Random(2).choices("abcdefghijkmXYZ0123456789", k=150))
+    assert cost(wide * 4) == pytest.approx(cost(wide) + np.log10(4) + np.log10(2))
+
+
+def plain_cost(value, ranks, choice=np.log10(2)):
+    """The cheapest segmentation, over every part of the value and every rule again."""
+    rows = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+    place = {c: (r, k) for r, row in enumerate(rows) for k, c in enumerate(row)}
+    many = lambda c: 10 if c.isdigit() else 26 if c.isalpha() else 33
+    date = re.compile(r"(19|20)\d\d([-/.]?(0[1-9]|1[0-2])[-/.]?(0[1-9]|[12]\d|3[01]))?|(0[1-9]|[12]\d|3[01])[-/.]?(0[1-9]|1[0-2])[-/.]?(19|20)\d\d")
+
+    def part(x):
+        low, n, out = x.lower(), len(x), [sum(np.log10(many(c)) for c in x)]
+        looks = low.translate(str.maketrans("4@8361!|05$7+2", "aabegiilossttz"))
+        rank, swaps = (ranks[low], 0) if low in ranks else (ranks.get(looks), sum(a != b for a, b in zip(low, looks)))
+        if rank and n >= 3:
+            upper = sum(c.isupper() for c in x)
+            shapes = 1 if not upper else 2 if upper in (1, n) and x[0].isupper() else len(list(combinations(range(n), min(upper, n // 2)))) + 1
+            out.append(np.log10(max(rank, 2) * shapes * 2**swaps))
+        if date.fullmatch(x):
+            out.append(np.log10(365 * 120 if n > 4 else 120))
+        steps = {ord(b) - ord(a) for a, b in zip(low, low[1:])}
+        if n >= 3 and (len(set(x)) == 1 or steps in ({1}, {-1})):
+            out.append(np.log10(many(x[0]) * n))
+        if n >= 4 and all(c in place for c in low):
+            moves = [(place[b][0] - place[a][0], place[b][1] - place[a][1]) for a, b in zip(low, low[1:])]
+            if all(max(map(abs, m)) <= 1 for m in moves):
+                out.append(np.log10(47 * n) + 0.5 * (1 + sum(a != b for a, b in zip(moves, moves[1:]))))
+        out += [plain_cost(x[:w], ranks) + np.log10(n // w) for w in range(2, n // 2 + 1) if x == x[:w] * (n // w)]
+        return min(out)
+
+    best = [0.0]
+    for e in range(1, len(value) + 1):
+        best.append(min(best[s] + part(value[s:e]) + choice for s in range(e)))
+    return best[-1]
+
+
+def test_guess_cost_is_least():
+    rng = random.Random(21)
+    bits = ["secret", "love", "Love", "p4ss", "ss", "s", "2024", "1", "12", "31", "a", "abc", "cba", "qwe", "rty", "asdf", "zx", "X9", "$", "20240131", "k8V", "dragon"]
+    ranks = secrets._ranks()
+    for k in range(700):
+        unit = "".join(rng.choice(bits) for _ in range(rng.randint(1, 4)))[: rng.randint(1, 14)]
+        value = unit * rng.choice([1, 1, 1, 2, 3]) + rng.choice(["", rng.choice(bits)])
+        assert secrets.guess_cost(value)[0] == pytest.approx(plain_cost(value, ranks)), value
+        cuts = secrets.guess_cost(value)[1]
+        assert [s for s, _, _ in cuts] == [0, *(e for _, e, _ in cuts[:-1])] and cuts[-1][1] == len(value)
 
 
 def spans_of(text, *words):
@@ -616,7 +658,7 @@ def test_sketches_merge(spark):
 
 
 def test_run_hashes_tell_runs_apart(spark):
-    words = [random.Random(5).choice("abc") for _ in range(400)]
+    words = random.Random(5).choices("abc", k=400)
     for width in (1, 2, 3, 5, 7, 8):
         hashes = spark.createDataFrame([(words,), (words[: width - 1],), ([],)], "w array<string>").select(run_hashes(F.col("w"), width)).collect()
         runs = [tuple(words[k : k + width]) for k in range(len(words) - width + 1)]
