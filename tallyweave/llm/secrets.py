@@ -5,7 +5,7 @@ dynamic programming into the cheapest sequence of segments (Wheeler's guess numb
 ranked by a count over all of them outside such values, and common ones of passwords) with capital and look-alike
 letters, dates, repeats of a character or of a unit, keyboard walks, character sequences and brute force. The cost of
 a value is the decimal logarithm of the guesses an informed attacker needs; a value of `least_cost` or more
-becomes a span of kind `guess`, unless one base span covers it whole; redaction covers the union of all spans.
+becomes a span of kind `guess`, also inside a base span; redaction covers the union of all spans.
 
 Defined results: null text is empty and has no spans; any text length is scanned whole, and a value is as long as its
 run of visible characters; of segmentations that cost the same any may be told, spans that start together go by kind;
@@ -259,10 +259,7 @@ def scan(text: str, raw: bytes, least_cost: float, ranks: dict[str, int] | None
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     if LONG_HEX.search(raw):
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(found)
-    for s, e in values(text, raw):
-        if not any(a <= s and e <= b for a, _, b in base) and costly(text[s:e], least_cost, ranks):
-            found.append((s, 3, e))
+    found += [(s, 3, e) for s, e in values(text, raw) if costly(text[s:e], least_cost, ranks)]
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
 
