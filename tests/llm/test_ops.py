@@ -686,21 +686,30 @@ def speech(seed, n):
 
 
 def test_language_id(spark):
-    rows = speech(1, 300)
-    out = langid.identify(spark.createDataFrame(rows, LABELLED)).select("row.doc_id", "row.lang", "held_out", "lang_pred", "score").collect()
+    rows = [*speech(1, 300), (None, "the and ing whing", "aa", 0.0, "r"), (400, "eaulle çéque " * 30_000, None, 0.0, "r"), (401, "добрый день и до свидания", None, 0.0, "r")]
+    out = langid.identify(spark.createDataFrame(rows, LABELLED)).select("row.doc_id", "row.lang", "held_out", "lang_pred", "score", "recognised").collect()
     assert len(out) == len(rows)
-    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
     held = [r for r in out if r["held_out"] and r["doc_id"] < 300]
+    assert sum(r["recognised"] for r in held) >= 0.97 * len(held) and [r["recognised"] for r in out if r["doc_id"] == 401] == [False]
+    assert [(r["lang_pred"], r["recognised"]) for r in out if r["doc_id"] == 400] == [("bb", True)]
+    other = langid.identify(spark.createDataFrame([(i, x, lang, 9.0, "other") if k % 2 else (i, x, None if i is not None and zlib.crc32(str(i).encode()) % 3 == 1 else lang, 1.0, "z") for k, (i, x, lang, *_) in enumerate(rows)], LABELLED))
+    keyed = lambda rows_: sorted((str(r["doc_id"]), r["lang_pred"], r["score"]) for r in rows_)
+    assert keyed(out) == keyed(other.select("row.doc_id", "lang_pred", "score").collect())  # source and held-out labels change nothing
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
-    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in out if r["doc_id"] >= 300) and all(0 <= r["score"] <= 1 for r in out)
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in out if r["doc_id"] and 300 <= r["doc_id"] < 400) and all(0 <= r["score"] <= 1 for r in out)
     none = langid.identify(spark.createDataFrame([(1, "abc", None, 0.0, "r")], LABELLED)).first()
     assert none["lang_pred"] == "und"
     assert langid.identify(spark.createDataFrame([], LABELLED)).count() == 0
 
 
 def test_language_model_is_sparse_and_calibrated():
-    rows = [(t, lang) for _, t, lang, *_ in speech(2, 200) if t and lang]
+    labelled = [(t, lang) for _, t, lang, *_ in speech(2, 200) if t and lang]
+    data = np.frombuffer("".join(t for t, _ in labelled).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t, _ in labelled)])
+    rows = [(*found, lang) for found, (_, lang) in zip(langid.counted(data, offsets), labelled)]
     model = langid.fit(rows)
+    assert 1 / 3 < model.least_score < 1 and 0 < model.least_known < 1
     assert (model.table != 0).mean() < 0.2 and model.temperature > 0
     assert langid.fit(rows).table.tolist() == model.table.tolist()
 
