@@ -6,7 +6,9 @@ positions in the chunk where its pair stands, takes the active ranks in ascendin
 positions of a rank in one step, and puts only the affected neighbour pairs into the lists again. That gives
 the ids of merging word by word, as a merge can only create pairs of a higher rank than its own.
 
-Null text is empty: no ids, decoded text empty. Any text length is encoded whole.
+Defined results: null text is empty: no ids, decoded text empty. Any text length is encoded whole. Pairs of one rank
+are merged from the left. Repeated rows are encoded each for itself; extra columns are ignored; an empty table gives
+an empty result; bytes that are no UTF-8 decode to U+FFFD as in the library.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@
 Every table that grows with the corpus stays distributed; blocks bound what one task holds.
 
 Defined results: null or empty text, or text without words, has no shingles and is linked with nothing; rows
-that repeat a doc_id count as one document; extra columns are ignored; an empty table gives an empty result.
+that repeat a doc_id count as one document, whatever their texts; a row without a doc_id is linked with nothing,
+has no component_id and is kept; texts of any length are read whole; of a component the smallest doc_id is kept, so
+there are no ties; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ a piece that is left could join it or stand for smaller ones in it. The search s
 STEPS, with the better plan either way.
 
 Defined results: null or empty text is one piece of one token (the end id); a document of over `capacity` tokens
-is cut so that its first piece takes the remainder; repeated rows are packed each for itself; an empty table
+is cut so that its first piece takes the remainder; pieces of one length are interchangeable, and go in the order of
+their tasks and rows; repeated rows are packed each for itself; only doc_id and text are read; an empty table
 gives an empty result. A lost task is recomputed: the pieces with their ranks stand in a table in the shared
 folder before the plan is made.
 """

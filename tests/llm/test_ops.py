@@ -227,6 +227,9 @@ def test_chat_round_trip(spark):
         r = digests[k]
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(v), sha(said), len(learnt), sha(learnt))
     assert chat.digests(df.limit(0)).count() == 0
+    long = "a\\b <c> # é" * 200_000
+    r = chat.digests(spark.createDataFrame([(1, 0, "user", long, 0, "", "", "", 0), (1, 1, "assistant", long, 0, "", "", "", 0)], TURNS)).first()
+    assert (r["turns_sha256"], r["loss_sha256"], r["loss_chars"]) == (sha(f"user\n{long}\nassistant\n{long}\n"), sha(long), len(long))
 
 
 def test_chat_parts(spark):
@@ -505,7 +508,10 @@ def test_near_duplicates(spark, monkeypatch, block):
 def test_near_duplicates_edges(spark):
     rows = [(4, "x y z"), (4, "x y z"), (9, "x y z"), (None, "x y z"), (5, None)]
     out = sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["component_id"] is None else r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd(spark, rows)).collect())
-    assert [x for x in out if x[0] != -1] == [(4, 4, True), (4, 4, True), (5, 5, True), (9, 4, False)]
+    assert out == [(-1, -1, True), (4, 4, True), (4, 4, True), (5, 5, True), (9, 4, False)]
+    long = " ".join(f"w{k % 977}" for k in range(200_000))
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(odd(spark, [(2, long), (1, long + " end"), (3, "w1 w2 w3 w4")]), 4).collect())
+    assert out == [(1, 978, 1), (2, 977, 1), (3, 1, 3)]
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
