@@ -52,18 +52,20 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return points, heads[offsets]
 
 
-def ngram_buckets(points: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: bucket of the n-gram at every place (-1 where it leaves its document), and the places."""
+def ngram_buckets(points: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order: bucket of the n-gram at every place, BUCKETS where it leaves its document."""
     lower = np.where((points >= 0x41) & (points <= 0x5A), points + 0x20, points).astype(np.uint64)
-    end = np.repeat(first[1:], np.diff(first))
     value = np.zeros(len(points), np.uint64)
     for order in range(1, ORDERS + 1):
         n = len(points) - order + 1
         if n <= 0:
             return
         value = value[:n] * np.uint64(0x110001) + lower[order - 1 : order - 1 + n] + np.uint64(1)
-        ok = np.arange(n) + order <= end[:n]
-        yield (mix(value + np.uint64(order << 60)) >> np.uint64(48)).astype(np.int32) & (BUCKETS - 1), ok
+        bucket = (mix(value + np.uint64(order << 60)) >> np.uint64(48)).astype(np.int32) & (BUCKETS - 1)
+        for back in range(1, order):  # the last places of each document
+            at = first[1:] - back
+            bucket[at[(at >= first[:-1]) & (at < n)]] = BUCKETS
+        yield bucket
 
 
 @dataclass
@@ -76,22 +78,29 @@ class Model:
     least_score: float = 0.0
     least_known: float = 0.0
 
+    def columns(self) -> list[np.ndarray]:
+        """The weights of each language, and whether a bucket is in use, each with a 0 for the place past the buckets."""
+        if "_columns" not in self.__dict__:
+            self._columns = [np.append(c, 0.0) for c in (*self.table.T, self.seen)]
+        return self._columns
+
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Logits of each document, whether it has a letter, and the share of its n-grams that are known."""
         points, first = code_points(data, offsets)
+        columns = self.columns()
         sums, count = np.zeros((len(offsets) - 1, len(self.languages))), np.zeros(len(offsets) - 1)
         full = np.flatnonzero(np.diff(first))
         letters, known = np.zeros(len(offsets) - 1, bool), np.zeros(len(offsets) - 1)
         if len(full):
             heads = first[:-1][full]
             letters[full] = np.maximum.reduceat(_classes()[points] == LETTER, heads)
-            for bucket, ok in ngram_buckets(points, first):
-                h = heads[heads < len(ok)]
+            for order, bucket in enumerate(ngram_buckets(points, first), 1):
+                h = heads[heads < len(bucket)]
                 f = full[: len(h)]
-                count[f] += np.add.reduceat(ok.astype(np.int64), h)
-                known[f] += np.add.reduceat((ok & self.seen[bucket]).astype(np.int64), h)
+                count += np.maximum(np.diff(first) - order + 1, 0)
                 for k in range(len(self.languages)):
-                    sums[f, k] += np.add.reduceat(np.where(ok, self.table[:, k][bucket], 0.0), h)
+                    sums[f, k] += np.add.reduceat(columns[k].take(bucket), h)
+                known[f] += np.add.reduceat(columns[-1].take(bucket), h)
         return sums * (SCALE / np.maximum(count, 1))[:, None] + self.bias, letters, known / np.maximum(count, 1)
 
 
@@ -108,7 +117,7 @@ def counted(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     """Buckets and counts of the n-grams of each document."""
     for s, e in zip(offsets, offsets[1:]):
         points, first = code_points(data[s:e], np.array([0, e - s]))
-        found = [bucket[ok] for bucket, ok in ngram_buckets(points, first)]
+        found = [bucket[bucket < BUCKETS] for bucket in ngram_buckets(points, first)]
         yield np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
 
 
