@@ -26,12 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     rounds: list[DataFrame] = []
     while True:
-        up = left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
+        # Both sides of each join below are scans of written tables, dealt by the key alone, so adaptive execution can
+        # split the task of a node that a third of all rows point to.
+        up = written(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "up")
         after = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
         rounds.append(written(up.join(after, "up", "left").select("node", F.coalesce("next", "up").alias("up")), "pointers"))
         to = rounds[-1]
-        ends = left.join(to.select(F.col("node").alias("a"), F.col("up").alias("to_a")), "a").join(to.select(F.col("node").alias("b"), F.col("up").alias("to_b")), "b", "left")
-        left = written(_smaller_ends(ends.select(F.col("to_a").alias("a"), F.coalesce("to_b", "b").alias("b"))), "edges")
+        ends = written(left.join(to.select(F.col("node").alias("a"), F.col("up").alias("to_a")), "a").select(F.col("to_a").alias("a"), "b").where("a <> b").distinct(), "ends")
+        both = ends.join(to.select(F.col("node").alias("b"), F.col("up").alias("to_b")), "b", "left").select("a", F.coalesce("to_b", "b").alias("b"))
+        left = written(_smaller_ends(both), "edges")
         if left.isEmpty():
             break
     labels = nodes.withColumn("label", F.col("node"))
