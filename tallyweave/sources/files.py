@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -111,3 +113,38 @@ def read_entries(text: str) -> list[dict]:
     if isinstance(found, dict):
         found = next((found[k] for k in ("chunks", "metadata") if isinstance(found.get(k), list)), [])
     return [x for x in found if isinstance(x, dict)] if isinstance(found, list) else []
+
+
+#: Rows of a sheet, without its header.
+SHEET_ROWS = 1_048_575
+
+
+def to_excel(df: DataFrame, path: str) -> int:
+    """A small result, such as the statements of one company, as a workbook of one sheet on the driver's disk; returns
+    its rows. More rows than a sheet holds are a ValueError. Numbers are numbers, nulls are empty, all else is text."""
+    rows = df.limit(SHEET_ROWS + 1).collect()
+    if len(rows) > SHEET_ROWS:
+        raise ValueError(f"a sheet holds {SHEET_ROWS} rows")
+
+    def cell(value) -> str:
+        if value is None:
+            return "<c/>"
+        if isinstance(value, (int, float)) and not isinstance(value, bool) and value - value == 0:  # finite
+            return f"<c><v>{value!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    lines = "".join(f"<row>{''.join(map(cell, line))}</row>" for line in [df.columns, *rows])
+    kind, main = "http://schemas.openxmlformats.org/package/2006/", "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = "application/vnd.openxmlformats-officedocument.spreadsheetml."
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{kind}content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{sheet}sheet.main+xml"/><Override PartName="/xl/sheet1.xml" ContentType="{sheet}worksheet+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{kind}relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{kind}relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="sheet1.xml"/></Relationships>',
+        "xl/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{lines}</sheetData></worksheet>',
+    }
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+    return len(rows)

@@ -359,6 +359,23 @@ def test_artefacts(spark, tmp_path):
     assert [(r["embedding"], r["embedding_error"]) for r in bad] == [(None, "RuntimeError('down')")] * 2
 
 
+def test_excel(spark, tmp_path, monkeypatch):
+    import xml.etree.ElementTree as xml
+    import zipfile
+
+    df = spark.createDataFrame([("a <b> & é", 1, 2.5, D[0], None), (None, -3, float("nan"), None, True)], "a string, b long, c double, d date, e boolean")
+    path = str(tmp_path / "x.xlsx")
+    assert files.to_excel(df, path) == 2
+    with zipfile.ZipFile(path) as z:
+        for name in z.namelist():
+            xml.fromstring(z.read(name))
+        rows = [["".join(c.itertext()) for c in row] for row in xml.fromstring(z.read("xl/sheet1.xml"))[0]]
+    assert rows == [["a", "b", "c", "d", "e"], ["a <b> & é", "1", "2.5", "2024-01-01", ""], ["", "-3", "nan", "", "True"]]
+    monkeypatch.setattr(files, "SHEET_ROWS", 1)
+    with pytest.raises(ValueError):
+        files.to_excel(df, path)
+
+
 def test_tables_over_jdbc(spark):
     """An embedded database stands in for the server; retries are for errors of the connection only."""
     spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
