@@ -21,6 +21,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digests(table(spark, sf_dir, "documents"))
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 1 that SQL can express."""
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = r"\### Assistant: </turn> ok"
@@ -73,13 +78,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op")} | {f.__name__: f for f in (remove_benchmark_passages, ledger_ablation)}
+    return {k: f for k, f in globals().items() if k.startswith("op")} | {f.__name__: f for f in (secret_base_counts, remove_benchmark_passages, ledger_ablation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL, "op3_substring_dedup": REPEATS_SQL, "op5_warc_packages": WARC_SQL, "op6_minhash_near_dedup": NEAR_SQL, "op7_quality_ledger": QUALITY_SQL, "remove_benchmark_passages": BENCHMARK_SQL, "ledger_ablation": ABLATION_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op3_substring_dedup": REPEATS_SQL, "op5_warc_packages": WARC_SQL, "op6_minhash_near_dedup": NEAR_SQL, "op7_quality_ledger": QUALITY_SQL, "remove_benchmark_passages": BENCHMARK_SQL, "ledger_ablation": ABLATION_SQL, "secret_base_counts": SECRET_SQL}
 
 
+SECRET_SQL = r"""
+with texts as (select doc_id, coalesce(text, '') as text from documents)
+select doc_id, len(list_filter(regexp_extract_all(text, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 8)) as n_assign,
+  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) as n_access, len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 32)) as n_hex
+from texts
+"""
+
 #: The formatted length: 4 for the opening, 2 for ": ", 8 for the closing, and one more for each escaped character.
 CHAT_SQL = r"""
 with said as (
