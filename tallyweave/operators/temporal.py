@@ -14,13 +14,17 @@ from tallyweave.functions.scalar import is_business_day
 NULL_GROUPS = 1 << 16
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: dict[str, str], tie_break: list[str] | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: dict[str, str], tie_break: list[str] | None = None, period: str | None = None) -> DataFrame:
     """left with, for each row, the values of the last right row of its key that is not later. Keeps all left rows.
 
     Both sides go into one window by key, right rows before left rows of the same time, and the last non-null
     struct is carried forward: one shuffle, no product of the sides. Among right rows of one time the last by
     `tie_break` wins. values: {right column: output name}. Null keys and null times match nothing; such left rows
-    are dealt by a hash, so that they do not meet in one task, and such right rows are left out."""
+    are dealt by a hash, so that they do not meet in one task, and such right rows are left out.
+
+    period (day, hour, …, as of date_trunc) is for keys that hold a large share of the rows: windows are then by key
+    and period, so a key is as many tasks as it has periods. Rows without a hit in their own period take the last one
+    of an earlier period, from a table of one row for each key and period."""
     known = F.col("_t").isNotNull()
     for c in by:
         known = known & F.col(c).isNotNull()
@@ -31,8 +35,16 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     begins = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"), F.xxhash64(*plain).alias("_hash"))
     begins = begins.withColumn("_salt", F.when(known, F.lit(0)).otherwise(F.pmod(F.col("_hash"), F.lit(NULL_GROUPS)))).drop("_hash")
     both = begins.unionByName(ends.withColumn("_salt", F.lit(0).cast("long")), allowMissingColumns=True)
-    order = Window.partitionBy(*by, "_salt").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    parts = [*by, "_salt"]
+    if period:
+        parts, both = [*parts, "_period"], both.withColumn("_period", F.date_trunc(period, F.col("_t").cast("timestamp")))
+    order = Window.partitionBy(*parts).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_pick", F.last("_pick", ignorenulls=True).over(order)).where("_side = 1")
+    if period:
+        lasts = both.where(known & F.col("_period").isNotNull()).groupBy(*parts).agg(F.max_by(F.when(F.col("_side") == 0, F.col("_pick")), F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_last"))
+        before = Window.partitionBy(*by).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+        carried = lasts.select(*parts, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+        out = out.join(carried, parts, "left").withColumn("_pick", F.coalesce("_pick", "_carried"))
     found = [F.when(known, F.col("_pick")[n]).alias(n) for n in values.values()]
     return out.select(*[F.col("_row")[c].alias(c) for c in left.columns], *found)
 

@@ -362,6 +362,14 @@ def save_artefact(spark: SparkSession, sf: str) -> DataFrame:
     return files.load_or_empty(spark, path, vectors.schema).agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
 
 
+@query(ORACLES["asof_fundamentals"])
+def asof_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """The as-of join for keys of very many rows: windows by key and day."""
+    events = table(spark, sf, "events")
+    clicks = events.where("event_type = 'click'").select("user_id", F.col("ts").alias("at"), "value", "event_id")
+    return temporal.asof_join(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "value"), clicks, ["user_id"], "ts", "at", {"value": "last_click", "at": "clicked_at"}, ["event_id"], "day")
+
+
 @query("select user_id, ts, (select max(c.ts) from events c where c.event_type = 'click' and c.user_id = e.user_id and c.ts <= e.ts) as clicked_at from (select case when event_id % 3 = 0 then null else user_id end as user_id, ts from events where event_type = 'purchase') e")
 def asof_null_keys(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")

@@ -145,6 +145,19 @@ def test_asof_ties_nulls_and_no_look_ahead(spark):
     assert found(out, "k", "t", "v") == {(1, D[3]): 20.0, (1, D[0]): None, (2, D[3]): None, (None, D[3]): None, (1, None): None}
 
 
+def test_asof_by_period_equals_the_plain_form(spark):
+    import random
+
+    rng = random.Random(6)
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(20_000)) if rng.random() < 0.95 else None
+    key = lambda: rng.choice([1, 1, 1, 1, 2, 3, None])
+    left = spark.createDataFrame([(key(), at(), k) for k in range(800)], "k long, t timestamp, row int")
+    right = spark.createDataFrame([(key(), at(), k, float(k)) for k in range(150)], "k long, u timestamp, seq int, v double")
+    plain, split = (temporal.asof_join(left, right, ["k"], "t", "u", {"v": "v", "u": "since"}, ["seq"], period) for period in (None, "day"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(plain) == rows(split) and plain.where("v is not null").count() > 300
+
+
 def test_spine(spark):
     start, end = dt.date(2025, 1, 2), dt.date(2025, 1, 6)
     assert [r[0].day for r in temporal.date_spine(spark, start, end, True).orderBy("dt").collect()] == [2, 3, 4, 5, 6, 7]
