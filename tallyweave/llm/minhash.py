@@ -194,11 +194,10 @@ def hub_links(docs: DataFrame, met: DataFrame, width: int, threshold: float) ->
     hubs = hubs.select("node", F.explode(F.array("first", F.when(-F.col("first.minus") != F.col("node"), F.col("second")))).alias("hub"))
     pairs = written(hubs.where(f"hub.n >= {SHARED}").select("node", (-F.col("hub.minus")).alias("hub")).where("hub <> node").distinct(), "hubs")
     groups = written(pairs.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {HUB_BLOCK}) as int)").alias("parts")), "hub_parts")
-    texts = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"])
-    label, low = F.col("hub").alias("label"), F.lit(-1).alias("low")
-    followers = texts.join(pairs.join(groups, "hub"), "node").select(label, low, F.expr("cast(pmod(xxhash64(node, 5), parts) as int)").alias("high"), F.lit(1).alias("side"), "node", "text")
-    heads = texts.join(groups.withColumn("node", F.col("hub")), "node").select(label, low, F.explode(F.expr("sequence(0, parts - 1)")).alias("high"), F.lit(0).alias("side"), "node", "text")
-    return confirmed(followers.unionByName(heads), width, threshold)
+    followers = pairs.join(groups, "hub").select(F.col("hub").alias("label"), F.expr("cast(pmod(xxhash64(node, 5), parts) as int)").alias("high"), F.lit(1).alias("side"), "node")
+    heads = groups.select(F.col("hub").alias("label"), F.explode(F.expr("sequence(0, parts - 1)")).alias("high"), F.lit(0).alias("side"), F.col("hub").alias("node"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"]).join(followers.unionByName(heads), "node")
+    return confirmed(texts.select("label", F.lit(-1).alias("low"), "high", "side", "node", "text"), width, threshold)
 
 
 def likely_edges(nodes: DataFrame, labelled: DataFrame, threshold: float) -> DataFrame:

@@ -500,11 +500,26 @@ def plain_near(rows, width, part=80):
 @pytest.mark.parametrize("block", [1024, 7])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "HUB_BLOCK", max(3, block // 4))
     rows = corpus(5, 120) + [(500, "A b C"), (501, "a B c"), (502, "a b")]
     out = minhash.near_duplicates(odd(spark, rows), 4, 0.8).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out} == plain_near(rows, 4)
 
 
+def test_copies_are_linked_by_their_hub(spark, monkeypatch):
+    """A tight group needs no pairs of its own; with texts that miss the hub, only pairs with those are looked at."""
+    rng, base = random.Random(3), [f"b{k}" for k in range(300)]
+    edited = lambda n: " ".join(rng.choice("xyz") + w if k in at else w for at in [set(rng.sample(range(300), n))] for k, w in enumerate(base))
+    tight, loose = [(k, edited(1)) for k in range(90)], [(100 + k, edited(9)) for k in range(12)]
+    monkeypatch.setattr(minhash, "HUB_BLOCK", 16)
+    looked_at, block_pairs = [], minhash.block_pairs
+    monkeypatch.setattr(minhash, "block_pairs", lambda nodes, per_block: looked_at.append(nodes.select("node").distinct().count()) or block_pairs(nodes, per_block))
+    for rows in (tight, tight + loose):
+        out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 4, 0.8).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out} == plain_near(rows, 4)
+    assert looked_at[:2] == [0, 0]
+
+
 def test_near_duplicates_edges(spark):
     rows = [(4, "x y z"), (4, "x y z"), (9, "x y z"), (None, "x y z"), (5, None)]
     out = sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["component_id"] is None else r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd(spark, rows)).collect())
