@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, chat, fingerprint, langid, minhash, packing, quality, secrets, substring, warc
+from tallyweave.llm import bpe, chat, divergence, fingerprint, langid, lexical, minhash, packing, quality, secrets, substring, toxicity, warc
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -77,12 +77,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "held_out", "lang_pred", "score")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offending sentences are listed as start:end in code points, comma-joined."""
+    found = toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    spans = F.array_join(F.transform("offending", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return found.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", "predicted", spans.alias("offending"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")} | {f.__name__: f for f in (secret_base_counts, remove_benchmark_passages, ledger_ablation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL, "op3_substring_dedup": REPEATS_SQL, "op5_warc_packages": WARC_SQL, "op6_minhash_near_dedup": NEAR_SQL, "op7_quality_ledger": QUALITY_SQL, "remove_benchmark_passages": BENCHMARK_SQL, "ledger_ablation": ABLATION_SQL, "secret_base_counts": SECRET_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op3_substring_dedup": REPEATS_SQL, "op5_warc_packages": WARC_SQL, "op6_minhash_near_dedup": NEAR_SQL, "op7_quality_ledger": QUALITY_SQL, "remove_benchmark_passages": BENCHMARK_SQL, "ledger_ablation": ABLATION_SQL, "secret_base_counts": SECRET_SQL, "op11_ranked_search": SEARCH_SQL, "op12_source_divergence": DIVERGENCE_SQL}
 
 
 SECRET_SQL = r"""
@@ -172,3 +187,41 @@ least_ as (select a as doc_id, min(b) as b from reach group by a)
 select c.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, least(c.doc_id, coalesce(b, c.doc_id)) as component_id, least(c.doc_id, coalesce(b, c.doc_id)) = c.doc_id as kept
 from cut c left join sizes using (doc_id) left join least_ using (doc_id)
 """
+
+SEARCH_SQL = r"""
+with texts as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents where text is not null),
+full_ as (select doc_id, terms, cast(len(terms) as bigint) as n from texts where len(terms) > 0),
+means as (select count(*) as docs, cast(sum(n) as bigint) as total from full_),
+asked as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+postings as (select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(terms) as term from full_) semi join asked using (term) group by all),
+weights as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from postings, means group by term),
+scores as (
+  select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total))))) as bigint) as score
+  from asked join postings using (term) join weights using (term), means group by item_id, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from ranked where rank <= 10
+"""
+
+DIVERGENCE_SQL = r"""
+with texts as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+found as (select lang, source, doc_id, term, count(*) as n from (select lang, source, doc_id, unnest(terms) as term from texts) group by all),
+kept as (select lang, term, sum(n) as lang_n from found group by lang, term having count(*) >= 3),
+counts as (select lang, source, term, sum(n) as n from found semi join kept using (lang, term) group by all),
+langs as (select lang, count(*) as v, sum(lang_n) as lang_total from kept group by lang),
+groups_ as (
+  select g.lang, g.source, coalesce(any_value(v), 0) as v, coalesce(any_value(lang_total), 0) as lang_total, coalesce(sum(n), 0) as total
+  from (select distinct lang, source from texts) g left join langs using (lang) left join counts c on c.lang = g.lang and c.source = g.source group by g.lang, g.source),
+shares as (
+  select g.lang, g.source, k.term, coalesce(n, 0) as n, cast(1 + (1000000000::hugeint * (coalesce(n, 0) + 1)) // (total + v) as hugeint) as p, cast(1 + (1000000000::hugeint * (lang_n + 1)) // (lang_total + v) as hugeint) as q
+  from groups_ g join kept k on k.lang = g.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+all_pairs as (select a.lang, a.source, b.source as item, coalesce(value, 0) as value from groups_ a join groups_ b on a.lang = b.lang and a.source <> b.source left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source),
+parts as (
+  select lang, source, 'pair' as part, item, value from all_pairs
+  union all select lang, source, 'term', term, ((p - q) * (p - q)) // q from shares where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from parts)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from ranked where part = 'pair' or rank <= 200
+"""

@@ -72,9 +72,9 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the n+1 offsets of each document in that list."""
-    word = ~SEPARATOR[data]
+    word = ~separator[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before = np.empty(len(data), bool)
@@ -124,3 +124,24 @@ def inside(first: np.ndarray, k: int) -> np.ndarray:
     ends = np.repeat(first[1:], np.diff(first))[: len(ok)]
     return ok & (np.arange(len(ok)) + k <= ends)
 
+
+
+def byte_class(*spans: tuple[int, int]) -> np.ndarray:
+    """A table of byte values that is true within the spans, both ends included."""
+    table = np.zeros(256, bool)
+    for a, b in spans:
+        table[a : b + 1] = True
+    return table
+
+
+def coded_terms(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """Terms between separators, A-Z in lower case: the distinct ones, and for each occurrence its number there and its document.
+
+    Terms are told apart by their bytes, in Arrow's dictionary of them. Separators are ASCII, so no code point is cut."""
+    starts, ends, first = words(data, offsets, separator)
+    if not len(starts):
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+    wide = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(LOWER[data[~separator[data]]]))
+    found = wide.dictionary_encode()
+    return found.dictionary.cast(pa.string()), found.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
