@@ -23,7 +23,7 @@ def test_query_equals_its_sql(spark, duck, sf, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.queries() if n.startswith("op")) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):
