@@ -37,7 +37,7 @@ from tallyweave.llm.textnp import chunks, mix
 from tallyweave.staging import mapped, written
 
 BUCKETS, ORDERS = 1 << 20, (3, 4, 5)
-ROWS, CHARS, FEATURES, LEAST = 4000, 12_000_000, 4096, 3
+ROWS, CHARS, FEATURES, LEAST = 4000, 6_000_000, 2048, 3
 RATE, BIAS = 0.1, -4.0
 #: Steps of the fit and the threshold's strength in them.
 PHASES = ((60, 1e-4), (140, 1e-4), (100, 0.0))
@@ -129,7 +129,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int =
     rate = {y: min(1.0, rows / sizes[y]["n"], chars / max(1, sizes[y]["chars"])) for y in (0, 1)}
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30))
     wanted = F.when(F.col("toxic") == 1, F.lit(int((1 << 30) * rate[1]))).otherwise(F.lit(int((1 << 30) * rate[0])))
-    chosen = texts.join(marks.where(place < wanted), "doc_id")
+    chosen = texts.join(F.broadcast(marks.where(place < wanted)), "doc_id")  # about 2 ROWS ids
     return written(chosen.select("text", "toxic", F.when(F.col("toxic") == 1, F.lit(1 / rate[1])).otherwise(F.lit(1 / rate[0])).alias("weight"), F.xxhash64("doc_id", "text").alias("place")), "toxicity-sample")
 
 
