@@ -189,7 +189,7 @@ def audit(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:
     kept = written(kept_terms(docs, least), "divergence-terms")
     groups = written(groups_of(docs, kept), "divergence-groups")
     totals = F.col("total"), F.col("terms")
-    entries = kept.join(groups, GROUP).select(*GROUP, "term", "sources", "absent", share(F.col("n"), *totals).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"))
+    entries = written(kept.join(groups, GROUP).select(*GROUP, "term", "sources", "absent", share(F.col("n"), *totals).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q")), "divergence-shares")
     terms = entries.where("p > q").select(*GROUP, F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     parts = {"pair": pairs(entries, groups), "term": highest(terms, GROUP, top)}
     found = [rows.select(*GROUP, F.lit(part).alias("part"), "item", "value", "rank") for part, rows in parts.items()]
