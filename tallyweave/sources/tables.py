@@ -2,41 +2,40 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-from typing import TypeVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.scalar import parsed_date, snake_case
 from tallyweave.schemas import TABLES
+from tallyweave.sources.relational import ROWS_A_PART, Relational, with_retries
 
-T = TypeVar("T")
-
+__all__ = ["SPLITS", "Store", "with_retries"]
 
-def with_retries(call: Callable[[], T], retry_on: type[Exception] = ConnectionError, most: int = 3, wait_minutes: float = 2) -> T:
-    """call(), again after a wait where it raises `retry_on`; the last error is raised."""
-    for attempt in range(1, most + 1):
-        try:
-            return call()
-        except retry_on:
-            if attempt == most:
-                raise
-            time.sleep(wait_minutes * 60)
-    raise ValueError("at least one attempt is needed")
+#: Of each table: the column by which a server's rows are split into tasks, and one that spreads what has one value there.
+SPLITS: dict[str, tuple[str | None, str | None]] = {
+    "security_master": ("security_id", None),
+    "security_fundamentals": ("effective_date", "security_id"),
+    "market_data": ("as_of_date", "security_id"),
+    "portfolio": (None, None),
+    "portfolio_holdings": ("as_of_date", "security_id"),
+    "index_constituents": ("start_date", "security_id"),
+}
 
 
 class Store:
-    """The six tables by name. root: a folder of Parquet tables; or jdbc: options for spark.read.format("jdbc")."""
+    """The six tables by name: root, a folder of Parquet tables; or jdbc, the options of a relational server; else the
+    session's catalog. Loads go to where the tables are read."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None, jdbc: dict[str, str] | None = None, rows_a_part: int = ROWS_A_PART):
+        self.spark, self.root, self.rows_a_part = spark, root, rows_a_part
+        self.server = Relational(spark, jdbc) if jdbc is not None else None
 
-    def __init__(self, spark: SparkSession, root: str | None = None, jdbc: dict[str, str] | None = None):
-        self.spark, self.root, self.jdbc = spark, root, jdbc
+    def _on_server(self, name: str) -> str:
+        return f"{'reference' if name == 'index_constituents' else 'dbo'}.{name}"
 
     def table(self, name: str) -> DataFrame:
-        if self.jdbc is not None:
-            schema = "reference" if name == "index_constituents" else "dbo"
-            return with_retries(lambda: self.spark.read.format("jdbc").options(**self.jdbc).option("dbtable", f"{schema}.{name}").load())
+        if self.server is not None:
+            return self.server.read(self._on_server(name), *SPLITS[name], self.rows_a_part)
         if self.root is not None:
             return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
         return self.spark.table(name)
@@ -73,8 +72,22 @@ class Store:
         return portfolio_market_data(self.portfolio(short_names), self.portfolio_holdings(start, end), self.security_master(), self.market_data(start, end), self.security_fundamentals(metric))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*[c for c in TABLES[name].names if c in rows.columns]).write.mode("append").parquet(f"{self.root}/{name}")
+        """Adds rows; columns that a table does not have are left out. On a server: all of them or none."""
+        rows = rows.select(*[c for c in TABLES[name].names if c in rows.columns])
+        if self.server is not None:
+            self.server.append(self._on_server(name), rows)
+        elif self.root is not None:
+            rows.write.mode("append").parquet(f"{self.root}/{name}")
+        else:
+            missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.spark.table(name).schema if f.name not in rows.columns]
+            rows.select("*", *missing).select(*self.spark.table(name).columns).write.insertInto(name)
 
     def replace_partitions(self, name: str, rows: DataFrame, by: str) -> None:
-        """Rewrites only the partitions that rows touches; rows must hold all of their new content."""
+        """Rewrites only the values of `by` that rows has; rows must hold all of their new content. A folder is rewritten
+        in partitions of `by`, a server's rows in one transaction, a catalog's table in its own partitions."""
+        if self.server is not None:
+            self.server.replace(self._on_server(name), rows.select(*[c for c in TABLES[name].names if c in rows.columns]), by)
+            return
+        if self.root is None:
+            raise ValueError("a catalog's tables are partitioned as they were made; write them by insertInto")
         rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.root}/{name}")
