@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave.functions.scalar import clipped, half_even
+from tallyweave.operators.fold import folded
 from tallyweave.operators.temporal import daily_forward_fill
 from tallyweave.sources.vendor import constituent_changes, constituents_as_of
 
@@ -49,6 +52,65 @@ def membership_intervals(seeds: DataFrame, events: DataFrame, window_start: dt.d
     return both.select("ric", F.inline(folded)).select("ric", F.col("ticker").alias("exchange_ticker"), "start_date", "end_date")
 
 
+class OpenIntervals:
+    """The open intervals of one ric: (start, number, ticker) by start, then in the order in which they were opened.
+
+    Closed intervals never change, so they leave at once; what stays is what is open."""
+
+    def __init__(self, window_start: dt.datetime, live: list[tuple] | None = None, opened: int = 0):
+        self.window_start, self.live, self.opened = window_start, live or [], opened
+
+    def open(self, ticker: str | None, start: dt.datetime) -> None:
+        bisect.insort(self.live, (start, self.opened, ticker), key=lambda x: x[:2])
+        self.opened += 1
+
+    def event(self, date: dt.datetime, change: str | None, ticker: str | None) -> tuple | None:
+        """The interval (ticker, start, end) that an event closes, if it does. Events come by date, then seq."""
+        if change == "Joiner":
+            at = bisect.bisect_left(self.live, (self.window_start, 0), key=lambda x: x[:2])
+            if at < len(self.live) and self.live[at][0] == self.window_start:  # the first that has not moved yet
+                number = self.live.pop(at)[1]
+                bisect.insort(self.live, (date, number, ticker), key=lambda x: x[:2])
+            else:
+                self.open(ticker, date)
+        elif change == "Leaver":
+            at = bisect.bisect_right(self.live, date, key=lambda x: x[0]) - 1
+            if at < 0:
+                return ticker, self.window_start, date
+            start, _, own = self.live.pop(at)
+            return own, start, date
+        return None
+
+    def left(self) -> list[tuple]:
+        return [(ticker, start, None) for start, _, ticker in self.live]
+
+
+def membership_intervals_streamed(seeds: DataFrame, events: DataFrame, window_start: dt.datetime) -> DataFrame:
+    """The intervals of `membership_intervals` for rics of any number of events: seeds and events come sorted by ric and
+    time, and only what is open is held. A null ric is a ric like any other."""
+    kind = "ric string, exchange_ticker string, start_date timestamp, end_date timestamp"
+    rows = seeds.select("ric", F.lit(None).cast("timestamp").alias("date"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("change"), "exchange_ticker", F.lit(0).alias("side"))
+    rows = rows.unionByName(events.select("ric", F.col("date").cast("timestamp").alias("date"), F.col("seq").cast("long").alias("seq"), "change", "exchange_ticker", F.lit(1).alias("side")))
+
+    def begin(key: tuple) -> tuple:
+        return key[0], OpenIntervals(window_start)
+
+    def step(state: tuple, row: dict):
+        ric, held = state
+        if row["side"] == 0:
+            held.open(row["exchange_ticker"], window_start)
+        elif row["date"] is not None:
+            closed = held.event(row["date"].replace(tzinfo=None), row["change"], row["exchange_ticker"])
+            if closed:
+                yield (ric, *closed)
+
+    def finish(state: tuple):
+        ric, held = state
+        yield from ((ric, *x) for x in held.left())
+
+    return folded(rows, ["ric"], [F.col("side"), F.col("date"), F.col("seq"), F.col("change"), F.col("exchange_ticker")], begin, step, finish, StructType.fromDDL(kind))
+
+
 def enriched(intervals: DataFrame, security_master: DataFrame, now: dt.datetime, index_id: int = 1) -> DataFrame:
     """Constituent rows with security_id by symbol; ric stays, as the float-adjusted shares need it."""
     named = intervals.join(security_master.select("security_id", "symbol"), intervals["exchange_ticker"] == F.col("symbol"), "left")
