@@ -186,10 +186,11 @@ def portfolio_market_data_(spark: SparkSession, sf: str) -> DataFrame:
 SPINE = "with recursive days(dt) as (select date '2024-01-01' union all select cast(dt + 1 as date) from days where dt {} date '2024-01-30')"
 
 
-@query(SPINE.format("<=") + " select dt from days where dayofweek(dt) between 1 and 5")
+@query("with recursive days(dt) as (select min(cast(ts as date)) from events union all select cast(dt + 1 as date) from days where dt <= (select max(cast(ts as date)) from events)) select dt from days where dayofweek(dt) between 1 and 5")
 def business_days(spark: SparkSession, sf: str) -> DataFrame:
-    """With the day of overrun that a recursion testing before it adds has."""
-    return temporal.business_days(spark, FIRST, LAST, inclusive_overrun=True)
+    """From the first event to the last, with the day of overrun that a recursion testing before it adds has."""
+    first, last = table(spark, sf, "events").agg(F.min(F.col("ts").cast("date")), F.max(F.col("ts").cast("date"))).first()
+    return temporal.business_days(spark, first, last, inclusive_overrun=True)
 
 
 @query(

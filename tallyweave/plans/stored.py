@@ -285,19 +285,6 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", content_hash(F.col("source"), F.col("text")).alias("sha256"), content_hash(F.col("source"), F.col("text"), kind="md5").alias("md5"))
 
 
-@query("select unnest(range(3)) as ordinal, unnest(['n_nationkey', 'n_name', 'n_regionkey']) as column_name, unnest(['bigint', 'string', 'bigint']) as data_type")
-def catalog_columns(spark: SparkSession, sf: str) -> DataFrame:
-    table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey")).createOrReplaceTempView("tallyweave_nation")
-    found = files.columns_of(spark).where("table_name = 'tallyweave_nation'")
-    return found.select(F.col("ordinal").cast("long").alias("ordinal"), "column_name", "data_type")
-
-
-@query("select 'nation' as source, 'sql_schema' as type, 'Table: nation\n  - n_nationkey: bigint NOT NULL [PK]\n  - n_name: string\n  - n_regionkey: bigint [FK]' as content")
-def schema_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    columns = spark.createDataFrame([("nation", 0, "n_nationkey", "bigint", False), ("nation", 1, "n_name", "string", True), ("nation", 2, "n_regionkey", "bigint", True)], "table_name string, ordinal int, column_name string, data_type string, nullable boolean")
-    return files.schema_chunks(columns, {"nation": ["n_nationkey"]}, {"nation": ["n_regionkey"]})
-
-
 @query("select 'region' as source, 'sql_sample' as type, 'r_regionkey | r_name' || chr(10) || string_agg(r_regionkey || ' | ' || r_name, chr(10) order by r_regionkey) as content from (select * from region order by r_regionkey limit 5)")
 def sample_chunk(spark: SparkSession, sf: str) -> DataFrame:
     return files.sample_chunk(table(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"), "region")
