@@ -53,6 +53,8 @@ LARGEST_END = 22 + 65_535 + 20
 #: Bytes that a file is read in.
 BLOCK = 1 << 20
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
+#: Tasks that read packages at most.
+MOST_READERS = 10_000
 
 
 def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -89,6 +91,7 @@ class PackageReader:
     def __init__(self, read: Callable[[int, int], bytes], size: int):
         self.read = read
         self.members: dict[str, tuple[int, int]] = {}  # name: offset of the local header, stored bytes
+        self.begins: dict[str, int] = {}  # name: offset of the stored bytes, once its local header was read
         tail_at = max(0, size - LARGEST_END)
         tail = read(tail_at, size - tail_at)
         at = tail.rfind(END)
@@ -127,11 +130,12 @@ class PackageReader:
 
     def range(self, member: str, start: int = 0, length: int | None = None) -> bytes:
         local, size = self.members[member]
-        head = self.read(local, 30)
-        if head[:4] != LOCAL:
-            raise ValueError("broken ZIP member")
-        skip = 30 + sum(struct.unpack_from("<HH", head, 26))
-        return self.read(local + skip + start, size - start if length is None else min(length, size - start))
+        if member not in self.begins:
+            head = self.read(local, 30)
+            if head[:4] != LOCAL:
+                raise ValueError("broken ZIP member")
+            self.begins[member] = local + 30 + sum(struct.unpack_from("<HH", head, 26))
+        return self.read(self.begins[member] + start, size - start if length is None else min(length, size - start))
 
     def index(self) -> Iterator[dict]:
         for line in self.range(INDEX).decode().splitlines():
@@ -273,10 +277,10 @@ def read_record(raw: bytes, page_id: int | None) -> tuple:
 
 
 def read_package(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple]:
-    """A row for each record that a package's index names, read by its range alone."""
+    """A row for each record that a package's index names, read by its range alone, in the order of the ranges."""
     try:
         reader = PackageReader(read, size)
-        entries = list(reader.index())
+        entries = sorted(reader.index(), key=lambda e: e["offset"])
     except (KeyError, ValueError, struct.error):
         yield None, None, None, "damaged", None, None
         return
@@ -314,4 +318,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     except ValueError:
         folder = None
     listed = written(packages(pages, folder), "listed")
-    return records(listed.repartition(max(1, listed.count())) if folder else listed)  # a package is a task's work
+    return records(listed.repartition(max(1, min(listed.count(), MOST_READERS))) if folder else listed)  # a task reads package after package
