@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators import discovery, selection
+from tallyweave.operators import checks, discovery, selection
 from tallyweave.plans.registry import query, rounded
-from tallyweave.plans.views import table
-from tallyweave.sources import files
+from tallyweave.plans import views
+from tallyweave.plans.views import ctes, table
+from tallyweave.sources import files, manifest
+from tallyweave.sources.tables import Store
+from tallyweave.staging import fresh_path
 
 NAMES = ["region", "nation", "supplier", "customer", "part", "orders"]
 #: Their whole-number columns, for the SQL alone.
@@ -74,3 +77,33 @@ def exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Interpolated quantiles of prices by flag, by rounds of histograms of 64 cells."""
     found = selection.exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.0, 0.05, 0.5, 0.999], cells=64, few=100)
     return rounded(found, "value", digits=4)
+
+
+@query(
+    """with before_ as (select source || '/' || doc_id as path, sha256(coalesce(text, '')) as hash from documents where doc_id % 10 <> 0),
+after_ as (select case when doc_id % 10 = 3 then 'moved/' else '' end || source || '/' || doc_id as path, sha256(coalesce(text, '') || case when doc_id % 10 = 2 then '.' else '' end) as hash from documents where doc_id % 10 <> 1),
+gone as (select *, row_number() over (partition by hash order by path) as nth from before_ b anti join after_ a using (path)),
+come as (select *, row_number() over (partition by hash order by path) as nth from after_ a anti join before_ b using (path))
+select b.path, 'changed' as change, cast(null as varchar) as old_path from before_ b join after_ a on a.path = b.path and a.hash <> b.hash
+union all select coalesce(c.path, g.path), case when g.path is null then 'added' when c.path is null then 'removed' else 'renamed' end, case when g.path is not null and c.path is not null then g.path end
+from gone g full join come c on g.hash = c.hash and g.nth = c.nth"""
+)
+def manifest_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What two manifests of the documents differ in, with renames."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    before = docs.where("doc_id % 10 <> 0").select("path", F.sha2("text", 256).alias("hash"))
+    path = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    text = F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    return manifest.changes(before, docs.where("doc_id % 10 <> 1").select(path.alias("path"), F.sha2(text, 256).alias("hash")))
+
+
+@query(
+    ctes("portfolio", "market", "market_data")
+    + "select count(*) as stored, count(*) as \"rows\", count(*) filter (where close is null) as null_close, count(*) filter (where close <= 0) as not_positive, count(*) filter (where volume = 0) as zero_volume, min(as_of_date) as first_date, max(as_of_date) as last_date from market_data"
+)
+def checks_in_flight(spark: SparkSession, sf: str) -> DataFrame:
+    """Market data measured while it is written, and loaded into a store as its rules hold."""
+    store, rows = Store(spark, fresh_path(spark, "store")), views.market_data(spark, sf)
+    rules = {"some rows": lambda m: m["rows"] > 0, "prices": lambda m: m["null_close"] + m["not_positive"] == 0}
+    found = checks.checked(rows, checks.market_metrics(), rules, lambda made: store.append("market_data", made))
+    return store.table("market_data").agg(F.count("*").alias("stored")).select("stored", *[F.lit(v).alias(k) for k, v in found.items()])

@@ -78,17 +78,25 @@ def embedded(chunks: DataFrame, encode, dimensions_type: str = "array<float>", m
 
 
 def save(df: DataFrame, path: str) -> None:
-    """A Parquet artefact that is there whole or as before: written beside its place, then renamed to it."""
+    """A Parquet artefact that is there whole or as before: written beside its place, then renamed to it. What was there
+    comes back if that fails; between the two renames, a moment, nothing is at the place."""
     spark = df.sparkSession
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(new)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    moved = fs.exists(place) and fs.rename(place, spark._jvm.org.apache.hadoop.fs.Path(old))
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(new), place):
-        raise OSError(f"cannot rename {new} to {path}")
+    aside, ready = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (old, new))
+    moved = fs.exists(place) and fs.rename(place, aside)
+    try:
+        if not fs.rename(ready, place):
+            raise OSError(f"cannot rename {new} to {path}")
+    except Exception:
+        if moved:
+            fs.rename(aside, place)
+        fs.delete(ready, True)
+        raise
     if moved:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
+        fs.delete(aside, True)
 
 
 def load_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
