@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from tallyweave.functions.scalar import clipped, half_even
 from tallyweave.operators.fold import folded
-from tallyweave.operators.temporal import daily_forward_fill
+from tallyweave.operators.temporal import daily_forward_fill, ordered_forward_fill
 from tallyweave.sources.vendor import constituent_changes, constituents_as_of
 
 INTERVAL = "struct<ticker:string,start_date:timestamp,end_date:timestamp>"
@@ -125,19 +125,22 @@ def index_constituents(members: DataFrame, changes: DataFrame, tickers: DataFram
     return enriched(intervals, security_master, now, index_id)
 
 
-def float_adjusted_shares(constituents: DataFrame, shares: DataFrame, free_float: DataFrame, seq: str | None = None) -> DataFrame:
+def float_adjusted_shares(constituents: DataFrame, shares: DataFrame, free_float: DataFrame, seq: str | None = None, strict: bool = False) -> DataFrame:
     """(security_id, metric_type, metric_value, source_vendor, effective_date, end_date).
 
     constituents (ric, exchange_ticker, security_id), shares (instrument, date, outstanding_shares), free_float
     (instrument, date, seq, free_float_pct). The last free float of a day (by seq) is filled forward daily, joined
     to the shares, rounded half to even and clipped to 0..100 percent. Gaps are filled forward within an
-    instrument; values never pass from one instrument to another."""
+    instrument; values never pass from one instrument to another. strict: gaps of all columns, the security too, are
+    filled in one order of all rows by instrument and date, so an instrument without a value takes the one before's."""
     order = Window.partitionBy("instrument", "date").orderBy(F.desc(seq or "seq"))
     last = free_float.where("free_float_pct is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1")
     filled = daily_forward_fill(last.select("instrument", "date", "free_float_pct"), "instrument", "date", "free_float_pct")
     merged = shares.join(filled, ["instrument", "date"], "left")
     known = constituents.select(F.col("ric").alias("instrument"), "security_id").distinct()
     joined = known.join(merged, "instrument", "right")
+    if strict:
+        joined = ordered_forward_fill(joined, ["instrument", "date"], ["security_id", "outstanding_shares", "free_float_pct"])
     so_far = Window.partitionBy("instrument", "security_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     value = F.last("outstanding_shares", ignorenulls=True).over(so_far) * (clipped(half_even(F.last("free_float_pct", ignorenulls=True).over(so_far)), 0, 100) / 100)
     return joined.select("security_id", F.lit("Shares Outstanding").alias("metric_type"), value.alias("metric_value"), F.lit("refinitive").alias("source_vendor"), F.col("date").alias("effective_date"), F.lit(None).cast("date").alias("end_date"))

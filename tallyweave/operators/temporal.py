@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from tallyweave.functions.scalar import is_business_day
+from tallyweave.staging import written
 
 #: Groups that rows without a key are dealt to.
 NULL_GROUPS = 1 << 16
@@ -80,6 +81,20 @@ def daily_forward_fill(df: DataFrame, key: str, day: str, value: str) -> DataFra
     return rows.withColumn(day, F.explode(F.sequence(F.col(day), until))).drop("_next")
 
 
+def ordered_forward_fill(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """df with nulls of `columns` filled by the last value before them in one order of all rows, across all keys.
+
+    Rows are dealt by range of the order and written with the number of their range. A window fills within a range, and what
+    each range hands on is one row, so the order of all ranges is put together from as many rows as there are ranges."""
+    held = written(df.repartitionByRange(*order).withColumn("_fill_range", F.spark_partition_id()), "fill-ranges")
+    so_far = Window.partitionBy("_fill_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    lasts = held.groupBy("_fill_range").agg(*[F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_filled_{c}") for c in columns])
+    before = Window.orderBy("_fill_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("_fill_range", *[F.last(f"_filled_{c}.v", ignorenulls=True).over(before).alias(f"_filled_{c}") for c in columns])
+    filled = held.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns}).join(carried, "_fill_range", "left")
+    return filled.withColumns({c: F.coalesce(c, f"_filled_{c}") for c in columns}).select(*df.columns)
+
+
 def holdings_on(days: DataFrame, securities: DataFrame, quantity: Column) -> DataFrame:
     """Every security on every day with a quantity. Days are a calendar, a row each, so each security makes its own."""
     listed = [r[0] for r in days.select("as_of_date").distinct().orderBy("as_of_date").collect()]

@@ -193,3 +193,12 @@ def test_membership_of_a_stream(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
     batch = membership.membership_intervals_streamed(spark.createDataFrame(seeds, "ric string, exchange_ticker string"), spark.createDataFrame([(r, f"T{i}", d, i, c) for d, i, r, c in events], EVENTS), T[0])
     assert got == sorted((r["ric"], r["start_date"], r["end_date"]) for r in batch.where("end_date is not null").collect())
+
+
+def test_strict_fill_passes_from_one_instrument_to_the_next(spark):
+    members = spark.createDataFrame([("A", "a", 1), ("C", "c", 3)], "ric string, exchange_ticker string, security_id long")
+    shares = spark.createDataFrame([("A", D[0], 100.0), ("A", D[1], None), ("B", D[0], None), ("C", D[0], 50.0), ("C", D[1], 60.0)], "instrument string, date date, outstanding_shares double")
+    float_ = spark.createDataFrame([("A", D[0], 1, 50.0), ("C", D[1], 1, 20.0)], "instrument string, date date, seq long, free_float_pct double")
+    rows = lambda strict: sorted((r["effective_date"], r["security_id"] or 0, r["metric_value"]) for r in membership.float_adjusted_shares(members, shares, float_, strict=strict).collect())
+    assert rows(True) == [(D[0], 1, 50.0), (D[0], 1, 50.0), (D[0], 3, 25.0), (D[1], 1, 50.0), (D[1], 3, 12.0)]
+    assert rows(False) == [(D[0], 0, None), (D[0], 1, 50.0), (D[0], 3, None), (D[1], 1, 50.0), (D[1], 3, 12.0)]
