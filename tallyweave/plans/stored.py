@@ -15,6 +15,7 @@ from tallyweave.plans.queries import DAY, FIRST, INTERVALS, NOW
 from tallyweave.plans.registry import ORACLES, query, rounded
 from tallyweave.plans.views import ctes, table
 from tallyweave.sources import files, vendor
+from tallyweave.sources.buckets import Bucketed
 from tallyweave.sources.tables import Store
 from tallyweave.staging import fresh_path, written
 
@@ -108,18 +109,32 @@ def insert_select(spark: SparkSession, sf: str) -> DataFrame:
     return new.select("port_id", "portfolio_short_name", "upsert_by", F.date_format("upsert_date", "yyyy-MM-dd HH:mm:ss").alias("upsert_date"))
 
 
-@query(
+PORTFOLIO_MARKET = (
     ctes("portfolio", "market", "security_master", "market_data", "holdings", "fundamentals")
     + """select h.as_of_date, h.security_id, h.held_shares, p.portfolio_short_name, s.symbol, round(m.close, 6) as close, f.shares_outstanding
 from holdings h join portfolio p using (port_id) join security_master s using (security_id) join market_data m using (security_id, as_of_date)
 asof left join fundamentals f on f.security_id = h.security_id and h.as_of_date >= f.effective_date
 where portfolio_short_name in ('view', 'click') and h.as_of_date between date '2024-01-05' and date '2024-01-25'"""
 )
+PORTFOLIO_MARKET_COLUMNS = ["as_of_date", "security_id", "held_shares", "portfolio_short_name", "symbol", "close", "shares_outstanding"]
+
+
+@query(PORTFOLIO_MARKET)
+def bucketed_portfolio_market_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Two loads into tables bucketed alike; the read has no exchange between them."""
+    store, prices = Bucketed(spark, fresh_path(spark, "buckets"), buckets=8), views.market_data(spark, sf)
+    for part in ("as_of_date < date '2024-01-13'", "as_of_date >= date '2024-01-13'"):
+        store.load(views.holdings(spark, sf).where(part), prices.where(part), views.security_master(spark, sf), views.fundamentals(spark, sf))
+    picked = views.portfolio(spark, sf).where("portfolio_short_name in ('view', 'click')")
+    return rounded(store.portfolio_market_data(picked, "2024-01-05", "2024-01-25").select(*PORTFOLIO_MARKET_COLUMNS), "close")
+
+
+@query(PORTFOLIO_MARKET)
 def store_portfolio_market_data(spark: SparkSession, sf: str) -> DataFrame:
     facts = views.fundamentals(spark, sf).select("security_id", F.lit("sharesOutstanding").alias("metric_type"), F.col("shares_outstanding").alias("metric_value"), "source_vendor", "effective_date")
     store = _store(spark, portfolio=views.portfolio(spark, sf), portfolio_holdings=views.holdings(spark, sf), security_master=views.security_master(spark, sf), market_data=views.market_data(spark, sf), security_fundamentals=facts)
     found = store.portfolio_market_data("2024-01-05", "2024-01-25", ["view", "click"])
-    return rounded(found.select("as_of_date", "security_id", "held_shares", "portfolio_short_name", "symbol", "close", "shares_outstanding"), "close")
+    return rounded(found.select(*PORTFOLIO_MARKET_COLUMNS), "close")
 
 
 @query("select p_partkey as security_id, m.metric_type, case m.metric_type when 'price' then p_retailprice else p_size::double end as metric_value, 'SimFin' as source_vendor, cast(date '2024-01-01' + p_size as date) as effective_date, cast(null as date) as end_date from part, (values ('price'), ('size')) m(metric_type) where p_partkey % 7 <> 0")
