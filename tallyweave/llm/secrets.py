@@ -8,7 +8,7 @@ a value is the decimal logarithm of the guesses an informed attacker needs; a va
 becomes a span of kind `guess`, also inside a base span; redaction covers the union of all spans.
 
 Defined results: null text is empty and has no spans; any text length is scanned whole, and a value is as long as its
-run of visible characters; of segmentations that cost the same any may be told, spans that start together go by kind;
+quotes or its run of visible characters of any script; of segmentations that cost the same any may be told, spans that start together go by kind;
 repeated rows are scanned each for itself; extra columns, whatever their names, are carried by `find_secrets` and
 ignored by `scan_digests`; an empty table gives an empty result.
 """
@@ -35,14 +35,17 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 characters at least: a shorter run of the class holds no longer match
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: A name (identifier), a sign and a value. The name is matched from its first character and all runs are possessive, so time is linear.
-CONTEXT = re.compile(r"""(?<![a-z0-9_.-])([a-z0-9_.-]++)["']?(?:\x20*+[:=]|\x20++is(?=\x20))\x20*+(?:"((?:\\[!-~]|[!#-~]|"(?=[a-z0-9])){6,}+)|'((?:\\[!-~]|[!-&(-~]|'(?=[a-z0-9])){6,}+)|(?!["'])([!-~]{6,}+))""", re.I | re.A)
+#: A name (identifier) and a sign, with what may stand before a value. The name is matched from its first character and all runs are possessive, so time is linear.
+CONTEXT = re.compile(r"""(?<![a-z0-9_.-])([a-z0-9_.-]++)["']?(?:[\x20\t\r\n]*+(?:=>|[:=])|\x20++(is)(?=\x20))[\x20\t\r\n]*+(["']?)""", re.I | re.A)
+NAMED = re.compile(r"""[A-Za-z0-9_.-]++["']?[:=]""")
+#: Where a value ends: a quoted one at its quote (not at one after a backslash or before a letter or digit) if that is in its line, any other at a blank.
+CLOSING = {q: re.compile(rf"(?<!\\)(?:\\\\)*+{q}(?![A-Za-z0-9])|[\r\n]") for q in "\"'"}
+RUN = {q: re.compile(rf"(?:\\\S|[^{q}\s]|{q}(?=[A-Za-z0-9]))*+") for q in "\"'"} | {"": re.compile(r"\S*+")}
 #: What makes a name a credential's: a long keyword anywhere in it; a short one, which other words hold too (compass, opinion, author), as a part of its own.
 LONG_NAME = re.compile(r"password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|credential|login", re.I | re.A)
 SHORT_NAME = re.compile(r"(?:(?<![A-Za-z])(?:[Pp]ass|PASS|[Pp]in|PIN|[Oo]?[Aa]uth|O?AUTH)|(?<=[a-z])(?:Pass|Pin|PIN|O?Auth))(?![a-z]|(?<=[A-Z])[A-Z])", re.A)
-#: A quoted value ends at its quote (not at one after a backslash or before a letter or digit), any other at a blank.
-#: Characters that end a sentence or a quotation rather than a value.
-TRAILING = ",;.:)]}>'\""
+#: Characters that end a sentence or a quotation rather than a value, in any script.
+TRAILING = ",;.:)]}>'\"\u2019\u201d\u00bb\u3001\u3002\uff0c\uff1b\uff1a\uff09"
 #: Bytes of lower-cased text without which a pattern cannot match.
 ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CONTEXT_HINTS = (b"pass", b"pwd", b"pin", b"secret", b"token", b"api", b"credential", b"login", b"auth")
@@ -136,10 +139,15 @@ def _parts(start: int, end: int, least: int) -> Iterator[tuple[int, int]]:
 
 
 def _periodic(value: str) -> Iterator[tuple[int, int, int]]:
-    """(start, end, width) of each maximal run with a period of `width` >= 2 and two whole units, shortest period first."""
+    """(start, end, width) of each maximal run with a period of `width` >= 2 and two whole units, shortest period first.
+
+    Two runs of periods p and w that are not one share less than p + w characters, so a run of two whole units of w has
+    at least w - p outside of a known run: where a run of p fills all but r characters, none is wider than p + r."""
     points = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+    n = len(points)
     known: list[tuple[int, int, int]] = [(s, e, 1) for s, e in _runs((points[1:] == points[:-1]).tolist(), 1)]
-    for width in range(2, len(value) // 2 + 1):
+    widest, width = min([n // 2, *(p + n - (e - s) for s, e, p in known)]), 1
+    while (width := width + 1) <= widest:
         equal = points[width:] == points[:-width]
         if np.count_nonzero(equal) < width:
             continue
@@ -147,6 +155,7 @@ def _periodic(value: str) -> Iterator[tuple[int, int, int]]:
         for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if e - s >= width and not any(width % p == 0 and a <= s and e + width <= b for a, b, p in known):
                 known.append((s, e + width, width))
+                widest = min(widest, width + n - (e + width - s))
                 yield known[-1]
 
 
@@ -155,8 +164,13 @@ def segments(value: str, ranks: dict[str, int] | None = None, memo: dict[str, fl
     words, dates, and runs (equal characters, repeated units, keyboard walks, character sequences) with their parts."""
     low, n, ranks, memo = value.lower(), len(value), ranks or _ranks(), {} if memo is None else memo
     plain = low.translate(LOOKALIKE)
+    equal = list(_runs([x == y for x, y in zip(value, value[1:])], 1))
+    alike = np.zeros(n, bool)  # where the parts that may be words are those of the place before, of one character each
+    for a, b in equal:
+        if b - a > LONGEST and not any(x * k in ranks for x in (low[a], plain[a]) for k in range(3, LONGEST + 1)):
+            alike[a : b - LONGEST + 1] = True
     for s in range(n):
-        for e in range(s + 3, min(n, s + LONGEST) + 1):
+        for e in range(s + 3, 0 if alike[s] else min(n, s + LONGEST) + 1):
             rank = ranks.get(low[s:e])
             swapped = 0
             if rank is None and plain[s:e] != low[s:e]:
@@ -169,7 +183,7 @@ def segments(value: str, ranks: dict[str, int] | None = None, memo: dict[str, fl
             for size in (4, 8, 9, 10):
                 if s + size <= n and DATE.fullmatch(value, s, s + size):
                     yield s, s + size, math.log10(365 * 120 if size > 4 else 120), "date"
-    for a, b in _runs([x == y for x, y in zip(value, value[1:])], 1):
+    for a, b in equal:
         for s, e in _parts(a, b, 3):
             yield s, e, math.log10(_alphabet(value[s]) * (e - s)), "repeat"
     for step in (1, -1):
@@ -200,15 +214,15 @@ def cheapest(value: str, ranks: dict[str, int] | None = None, memo: dict[str, fl
     memo: costs of repeated units, which are values themselves."""
     n = len(value)
     choice = math.log10(2)
-    ends: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+    ends: dict[int, list[tuple[int, float, str]]] = {}
     for s, e, cost, kind in segments(value, ranks, memo):
-        ends[e].append((s, cost, kind))
+        ends.setdefault(e, []).append((s, cost, kind))
     best: list[tuple[float, int, str]] = [(0.0, 0, "")]
     brute = (math.inf, 0, "brute")
     for k in range(1, n + 1):
         each = math.log10(_alphabet(value[k - 1]))
         brute = min((brute[0] + each, brute[1], "brute"), (best[k - 1][0] + each + choice, k - 1, "brute"))
-        best.append(min([brute, *((best[s][0] + c + choice, s, kind) for s, c, kind in ends[k])]))
+        best.append(min([brute, *((best[s][0] + c + choice, s, kind) for s, c, kind in ends.get(k, ()))]))
     return best
 
 
@@ -239,14 +253,35 @@ def costly(value: str, least_cost: float, ranks: dict[str, int] | None = None) -
 
 
 def values(text: str, raw: bytes) -> Iterator[tuple[int, int]]:
-    """(start, end) of the values of 6 characters and more in a credential context."""
+    """(start, end) of the values of 6 characters and more in a credential context; shorter ones cost less than 8.
+
+    A value in quotes that close in its line is all between them, blanks too, but after the word `is` its first run only,
+    as that is prose. What stands without quotes, or in ones that never close, is a run of visible characters of any
+    script; one without any ASCII character is a word of a language."""
     low = raw.lower()
-    if any(h in low for h in CONTEXT_HINTS) and (b":" in raw or b"=" in raw or b" is " in low):
-        for m in CONTEXT.finditer(text):
-            if LONG_NAME.search(m[1]) or SHORT_NAME.search(m[1]):
-                value = m[m.lastindex].rstrip(TRAILING)
-                if len(value) >= 6:
-                    yield m.start(m.lastindex), m.start(m.lastindex) + len(value)
+    if not any(h in low for h in CONTEXT_HINTS) or not (b":" in raw or b"=" in raw or b" is " in low):
+        return
+    at, ends = 0, {}  # of each quote: the end that was found last and the place from which it is the next one
+    while m := CONTEXT.search(text, at):
+        at = s = m.end()
+        if not (LONG_NAME.search(m[1]) or SHORT_NAME.search(m[1])):
+            at = m.end(1)
+            continue
+        quote, e = m[3], s
+        if quote and not m[2]:
+            since, until = ends.get(quote, (s, -1))
+            if not since <= s <= until:
+                found = CLOSING[quote].search(text, s)
+                since, until = s, found.end() - 1 if found else len(text)
+                ends[quote] = since, until
+            if until < len(text) and text[until] == quote:
+                e = at = until
+        if e == s:
+            e = RUN[quote].match(text, s).end()
+            at = s if NAMED.fullmatch(text, s, e) else e  # a name and a sign are no value but a context of their own
+            e = s + len(text[s:e].rstrip(TRAILING))
+        if e - s >= 6 and not text[s:e].isspace() and any(c.isascii() for c in text[s:e]):
+            yield s, e
 
 
 def scan(text: str, raw: bytes, least_cost: float, ranks: dict[str, int] | None = None) -> list[tuple[int, str, int]]:

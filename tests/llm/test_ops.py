@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -745,3 +746,46 @@ def test_chunks_cover_all_rows():
         rows += [(i + k, data[a:b].tobytes().decode()) for k, (a, b) in enumerate(zip(offsets, offsets[1:]))]
     assert rows == [(k, t or "") for k, t in enumerate(texts)]
     assert len(text_buffers(pa.array([], pa.string()))[1]) == 1
+
+
+def test_values_of_any_script_and_in_quotes_are_redacted_whole():
+    for text, left in (
+        ("pwd=x9$Kq!vé2Lm9wZ end", "pwd=<guess> end"),
+        ("password: naïve9$Kq!v2Lm", "password: <guess>"),
+        ("secret: Zürich$2049!x", "secret: <guess>"),
+        ('password: "my dog ate 99 Bones!" end', 'password: "<guess>" end'),
+        ("pwd\t=\tx9$Kq!v2Lm", "pwd\t=\t<guess>"),
+        ("pwd:\nx9$Kq!v2Lm", "pwd:\n<guess>"),
+        ('"pwd" => "x9$Kq!v2Lm"', '"pwd" => "<guess>"'),
+        ("password: secret: x9$Kq!v2Lm", "password: secret: <guess>"),
+        ('pwd="x9$Kq!v2Lm, not closed', 'pwd="<guess>, not closed'),
+        ("password:请输入您的密码以继续", "password:请输入您的密码以继续"),
+        ('the secret is "never give up on it" she said', 'the secret is "never give up on it" she said'),
+    ):
+        assert secrets.redacted(text, spans_of(text)) == left
+
+
+def test_values_take_linear_time():
+    began = time.time()
+    assert not spans_of("pwd=" + "z" * 300_000) and not spans_of("pwd=" + "zx" * 20_000)
+    for text in ('pwd="a ' * 40_000, "pwd=' " * 40_000, 'pwd="' * 40_000, "pwd:" * 40_000, "pwd" + "\n" * 200_000, 'pwd="' + "\\" * 200_000 + " x"):
+        assert all(e - s >= 6 for s, e in secrets.values(text, text.encode()))
+    assert time.time() - began < 60
+
+
+def test_repeated_units_are_all_found():
+    rng = random.Random(4)
+    for _ in range(60):
+        value = "".join("".join(rng.choices("abX9$", k=rng.choice([1, 2, 3, 5, 30, 64, 65, 130]))) * rng.randint(1, 5) for _ in range(rng.randint(1, 4)))[:900]
+        runs = set()
+        for w in range(1, len(value) // 2 + 1):
+            s = 0
+            while s + w < len(value):
+                e = s
+                while e + w < len(value) and value[e] == value[e + w]:
+                    e += 1
+                if e - s >= w and not any(w % p == 0 and a <= s and e + w <= b for a, b, p in runs):
+                    runs.add((s, e + w, w))
+                s = e + 1
+        found = list(secrets._periodic(value))
+        assert len(found) == len(set(found)) and set(found) == {r for r in runs if r[2] > 1}
