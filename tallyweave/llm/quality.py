@@ -2,13 +2,17 @@
 
 Every rule is evaluated once for a document. The ledger holds its measurements and one long of failure bits; a
 policy is a versioned set of rules, applied as a bit mask, so that a new policy needs no second look at the
-texts. Ablations (what a policy would keep without one of its rules) come from counts by failure bits.
+texts. Ablations (what a policy would keep without one of its rules) and comparisons of policies come from counts by
+failure bits. A version never changes: its rules are listed by name, and another choice of rules is another version.
+Version 2 of the default policy leaves out the count of insults, which looks at ten words of one language and drops clean
+documents that quote them; operator 13 judges toxicity. The count stays in the ledger for version 1.
 
 All of it is DataFrame expressions. Repeated 8-word windows are found in the row itself: hashes of all windows;
 only where some are equal, the pairs (hash, position) are sorted and neighbours compared. Nothing is shuffled.
 
 Defined results: null or empty text has no words, fails few_words and is not kept; repeated rows are judged each
-for itself; only doc_id and text are read; an empty table gives an empty ledger.
+for itself; texts of any length are read whole, and their windows take memory in proportion to their words; only doc_id
+and text are read, other columns are dropped, whatever their names; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from tallyweave.llm.columns import let, run_hashes, words_of
 
 WINDOW = 8
-#: Insults that the toxicity rule counts.
+#: Insults that version 1 of the default policy counts.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 
 #: name: SQL condition under which a document fails; the order gives the bits and only ever grows at its end.
@@ -47,7 +51,13 @@ class Policy:
         return sum(BIT[r] for r in self.rules)
 
 
-POLICIES = {p.name: p for p in (Policy("base", 1, ("few_words", "repeated_windows")), Policy("default", 1, tuple(RULES)))}
+VERSIONS = (
+    Policy("base", 1, ("few_words", "repeated_windows")),
+    Policy("default", 1, ("few_words", "repeated_windows", "symbols", "repeated_lines", "word_length", "insults")),
+    Policy("default", 2, ("few_words", "repeated_windows", "symbols", "repeated_lines", "word_length")),
+)
+#: The latest version of each policy.
+POLICIES = {p.name: p for p in sorted(VERSIONS, key=lambda p: p.version)}
 
 
 def _repeated_words(hashes: Column, n_words: Column) -> Column:
@@ -112,3 +122,14 @@ def ablation(entries: DataFrame, policy: Policy = POLICIES["default"]) -> DataFr
         F.sum(F.when(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.col("n")).otherwise(0)).alias("n_failed"),
         F.sum(F.when(F.col("bits") == F.col("bit"), F.col("n")).otherwise(0)).alias("n_only"),
     )
+
+
+def compared(entries: DataFrame, policies: tuple[Policy, ...] = VERSIONS, against: Policy = POLICIES["default"]) -> DataFrame:
+    """(policy, n_kept, n_gained, n_lost) of each policy, from one ledger: documents that it keeps, that it keeps and
+    `against` drops, and that `against` keeps and it drops."""
+    counts = entries.groupBy("failed_bits").agg(F.count("*").alias("n"))
+    each = F.array(*[F.struct(F.lit(f"{p.name}-{p.version}").alias("policy"), F.lit(p.mask).cast("long").alias("mask")) for p in policies])
+    passes = lambda mask: F.col("failed_bits").bitwiseAND(mask) == 0
+    rows = counts.select("failed_bits", "n", F.inline(each)).select("policy", "n", passes(F.col("mask")).alias("here"), passes(F.lit(against.mask).cast("long")).alias("there"))
+    total = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
+    return rows.groupBy("policy").agg(total(F.col("here")).alias("n_kept"), total(F.col("here") & ~F.col("there")).alias("n_gained"), total(~F.col("here") & F.col("there")).alias("n_lost"))

@@ -48,6 +48,11 @@ def ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def ledger_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every policy of operator 7, judged from one ledger and held against the latest default."""
+    return quality.compared(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BPE_50K, 1024, 2)
 
@@ -93,11 +98,11 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op")} | {f.__name__: f for f in (secret_base_counts, remove_benchmark_passages, ledger_ablation)}
+    return {k: f for k, f in globals().items() if k.startswith("op")} | {f.__name__: f for f in (secret_base_counts, remove_benchmark_passages, ledger_ablation, ledger_policies)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL, "op3_substring_dedup": REPEATS_SQL, "op5_warc_packages": WARC_SQL, "op6_minhash_near_dedup": NEAR_SQL, "op7_quality_ledger": QUALITY_SQL, "remove_benchmark_passages": BENCHMARK_SQL, "ledger_ablation": ABLATION_SQL, "secret_base_counts": SECRET_SQL, "op11_ranked_search": SEARCH_SQL, "op12_source_divergence": DIVERGENCE_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op3_substring_dedup": REPEATS_SQL, "op5_warc_packages": WARC_SQL, "op6_minhash_near_dedup": NEAR_SQL, "op7_quality_ledger": QUALITY_SQL, "remove_benchmark_passages": BENCHMARK_SQL, "ledger_ablation": ABLATION_SQL, "ledger_policies": POLICIES_SQL, "secret_base_counts": SECRET_SQL, "op11_ranked_search": SEARCH_SQL, "op12_source_divergence": DIVERGENCE_SQL}
 
 
 SECRET_SQL = r"""
@@ -142,7 +147,7 @@ facts as (
 bits as (
   select *, cast((n_words < 20)::int + 2 * (100 * n_repeat_words > 30 * n_words)::int + 4 * (10 * n_symbols > n_words)::int + 8 * (n_lines > 3 and 100 * n_dup_lines > 30 * n_lines)::int
     + 16 * (n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words))::int + 32 * (n_insults >= 2 or 100 * n_insults > n_words)::int as bigint) as failed_bits from facts)
-select *, (failed_bits & 3) <> 0 as base_failed, failed_bits = 0 as kept, 'default-1' as policy from bits
+select *, (failed_bits & 3) <> 0 as base_failed, (failed_bits & 31) = 0 as kept, 'default-2' as policy from bits
 """
 
 REPEATS_SQL = r"""
@@ -162,8 +167,12 @@ BENCHMARK_SQL = REPEATS_SQL.replace("pos + 49", "pos + 12").replace("len(words)
 passages as (select distinct array_to_string(list_slice(words, pos, pos + 12), ' ') as w from (select words, unnest(generate_series(1, len(words) - 12)) as pos from items)),
 later as (select doc_id, pos from windows semi join passages using (w))""")
 
-ABLATION_SQL = "with judged as (" + QUALITY_SQL + """), rules as (select unnest(['few_words', 'repeated_windows', 'symbols', 'repeated_lines', 'word_length', 'insults']) as rule, unnest([1, 2, 4, 8, 16, 32]) as bit)
-select rule, count(*) filter (where failed_bits & bit <> 0) as n_failed, count(*) filter (where failed_bits = bit) as n_only from judged, rules group by rule"""
+ABLATION_SQL = "with judged as (" + QUALITY_SQL + """), rules as (select unnest(['few_words', 'repeated_windows', 'symbols', 'repeated_lines', 'word_length']) as rule, unnest([1, 2, 4, 8, 16]) as bit)
+select rule, count(*) filter (where failed_bits & bit <> 0) as n_failed, count(*) filter (where failed_bits & 31 = bit) as n_only from judged, rules group by rule"""
+
+POLICIES_SQL = "with judged as (" + QUALITY_SQL + """), policies as (select unnest(['base-1', 'default-1', 'default-2']) as name, unnest([3, 63, 31]) as mask),
+verdicts as (select name, failed_bits & mask = 0 as here, kept as there from judged, policies)
+select name as policy, count(*) filter (where here) as n_kept, count(*) filter (where here and not there) as n_gained, count(*) filter (where there and not here) as n_lost from verdicts group by name"""
 
 WARC_SQL = """
 with p as (select page_id, sha1(coalesce(html, '')) as digest, cast(strlen(coalesce(html, '')) as bigint) as n from pages),

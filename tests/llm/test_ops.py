@@ -572,6 +572,14 @@ def plain_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
+def test_quality_versions(spark):
+    """A document that quotes two insults is clean to version 2 of the policy and was dropped by version 1."""
+    clean = "In the debate one speaker called the other an idiot and a moron, and the chair asked both of them to keep to the question that the meeting had been called for."
+    entries = quality.ledger(spark.createDataFrame([(1, clean), (2, None)], "doc_id long, text string"))
+    first, second = (p for p in quality.VERSIONS if p.name == "default")
+    assert [r["kept"] for p in (first, second) for r in quality.judged(entries, p).orderBy("doc_id").collect()] == [False, False, True, False]
+
+
 def test_quality(spark):
     rows = corpus(7, 40) + [(100, "a b c d e f g h " * 30), (101, "x\nx\n \nx\ny " * 9), (102, "idiot moron " + "fine words here " * 10), (103, "é#*$ |<>& %" * 3), (104, "same same " * 2000)]
     out = quality.judged(quality.ledger(odd(spark, rows))).collect()
@@ -582,11 +590,19 @@ def test_quality(spark):
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r["base_failed"] and r["kept"])
     kept = {r["doc_id"] for r in out if r["kept"]}
     assert not kept & {0, 1, 2, 3, 100, 102, 104}
-    counts = {r["rule"]: (r["n_failed"], r["n_only"]) for r in quality.ablation(quality.ledger(odd(spark, rows))).collect()}
     bits = [r["failed_bits"] for r in out]
-    assert counts == {rule: (sum(b & k != 0 for b in bits), sum(b == k for b in bits)) for rule, k in quality.BIT.items()}
+    for policy in quality.VERSIONS:
+        counts = {r["rule"]: (r["n_failed"], r["n_only"]) for r in quality.ablation(quality.ledger(odd(spark, rows)), policy).collect()}
+        assert counts == {rule: (sum(b & quality.BIT[rule] != 0 for b in bits), sum(b & policy.mask == quality.BIT[rule] for b in bits)) for rule in policy.rules}
     base = quality.judged(quality.ledger(odd(spark, rows)), quality.POLICIES["base"])
     assert base.where("kept = base_failed").count() == 0
+    latest = quality.POLICIES["default"]
+    assert latest.version == 2 and {r["policy"] for r in out} == {"default-2"}
+    for r in quality.compared(quality.ledger(odd(spark, rows))).collect():
+        mask = next(p.mask for p in quality.VERSIONS if f"{p.name}-{p.version}" == r["policy"])
+        here, there = [b & mask == 0 for b in bits], [b & latest.mask == 0 for b in bits]
+        assert (r["n_kept"], r["n_gained"], r["n_lost"]) == (sum(here), sum(x > y for x, y in zip(here, there)), sum(x < y for x, y in zip(here, there)))
+    assert quality.compared(quality.ledger(spark.createDataFrame([], DOCS))).count() == 0
     assert quality.ledger(spark.createDataFrame([], DOCS)).count() == 0
 
 
