@@ -13,8 +13,8 @@ bucket before it, so that a window inside each bucket sees its successor. Only t
 numbers) go through the driver.
 
 Defined results: null or empty text has no words, an exact sketch without hashes, and likeness 1 to another of
-those, 0 to any other; a long text without a hash in the fraction (one in 100 million at EXACT shingles) has
-likeness 0 to any but exact sketches; texts of under WORDS words have one shingle, the whole; a null doc_id sorts
+those, 0 to any other; a long text without a hash in the fraction (one in 5000 at EXACT shingles, and rarer by e with
+every SCALE shingles more) has likeness 1 to another of those, which copies of it are, and 0 to any other; texts of under WORDS words have one shingle, the whole; a null doc_id sorts
 first; rows of one doc_id are ordered by a hash of their text, and have to fit one task; repeated shingles count
 once; any length is read whole; extra columns are ignored; an empty table gives an empty result.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.columns import let, run_hashes, words_of
 
-WORDS, SCALE, EXACT, CUTS = 5, 4, 64, 65_535
+WORDS, SCALE, EXACT, CUTS = 5, 8, 64, 65_535
 
 
 def kept(hashes: Column) -> Column:
@@ -58,31 +58,33 @@ def merged(a: Column, b: Column) -> Column:
 
 
 def printed(sketch_: Column) -> Column:
-    """`=` and all hashes of an exact sketch, `~` and the hashes of the fraction of any other; hex, by commas."""
-    return F.concat(F.when(sketch_["exact"], F.lit("=")).otherwise(F.lit("~")), F.array_join(F.transform(sketch_["hashes"], lambda h: F.hex(h)), ","))
+    """`=` and all hashes of an exact sketch, `~` and the hashes of the fraction of any other; base64 of eight bytes each,
+    the highest first."""
+    packed = F.unhex(F.array_join(F.transform(sketch_["hashes"], lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    return F.concat(F.when(sketch_["exact"], F.lit("=")).otherwise(F.lit("~")), F.translate(F.base64(packed), "\r\n", ""))
 
 
 def _compared(a: Column, b: Column, rule) -> Column:
-    """rule over both lists of hashes: whole if both are exact, else of the fraction."""
+    """rule over both lists of hashes, whole if both are exact, else of the fraction, and whether both are exact or neither is."""
     exact = a["exact"] & b["exact"]
     part = lambda x: F.when(exact | ~x["exact"], x["hashes"]).otherwise(kept(x["hashes"]))
-    return let(F.struct(part(a).alias("a"), part(b).alias("b"), exact.alias("exact")), lambda p: rule(p["a"], p["b"], p["exact"]))
+    return let(F.struct(part(a).alias("a"), part(b).alias("b"), (a["exact"] == b["exact"]).alias("alike")), lambda p: rule(p["a"], p["b"], p["alike"]))
 
 
 def similarity(a: Column, b: Column) -> Column:
     """Estimate of the Jaccard similarity of two shingle sets, from their sketches."""
 
-    def rule(x: Column, y: Column, exact: Column) -> Column:
+    def rule(x: Column, y: Column, alike: Column) -> Column:
         total = F.size(x) + F.size(y)
         both = F.size(F.array_intersect(x, y))
-        return F.when(total == 0, exact.cast("double")).otherwise(both / (total - both))
+        return F.when(total == 0, alike.cast("double")).otherwise(both / (total - both))
 
     return _compared(a, b, rule)
 
 
 def containment(a: Column, b: Column) -> Column:
     """Estimate of the share of a's shingles that are in b; null where the sketch of a has none."""
-    return _compared(a, b, lambda x, y, exact: F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(x).cast("double")))
+    return _compared(a, b, lambda x, y, alike: F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(x).cast("double")))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The ten operators against plain Python, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import base64
 import hashlib
 import random
 import re
@@ -638,7 +639,7 @@ def test_bpe_forgets_and_keeps_encoding_right(monkeypatch):
 # 9
 
 
-def plain_sketch(words, fraction=4, exact=64, width=5):
+def plain_sketch(words, fraction=8, exact=64, width=5):
     """The rule of the sketch again, over xxHash64 as Spark chains it."""
     long = lambda x, seed: xxhash.xxh64(x.to_bytes(8, "little"), seed=seed).intdigest()
     pair = lambda x, y: long(y, long(x, 42))
@@ -659,15 +660,15 @@ def plain_sketch(words, fraction=4, exact=64, width=5):
 
 
 def plain_likeness(a, b):
-    low = lambda x: {h for h in x if h < -(1 << 63) + (1 << 64) // 4}
+    low = lambda x: {h for h in x if h < -(1 << 63) + (1 << 64) // 8}
     x, y = (set(a[0]), set(b[0])) if a[1] and b[1] else (low(a[0]), low(b[0]))
-    return len(x & y) / len(x | y) if x | y else float(a[1] and b[1])
+    return len(x & y) / len(x | y) if x | y else float(a[1] == b[1])
 
 
 def test_fingerprints(spark):
     rows = corpus(3, 80) + [(90, "z" * 100_000 + " a b c"), (91, "again " * 30_000), (92, "É e\u0301 x")]
     out = {r["doc_id"]: r for r in fingerprint.edited_pairs(odd(spark, random.Random(1).sample(rows, len(rows)))).collect()}
-    shown = lambda s: ("=" if s[1] else "~") + ",".join(f"{h & (2**64 - 1):X}" for h in s[0])
+    shown = lambda s: ("=" if s[1] else "~") + base64.b64encode(b"".join(h.to_bytes(8, "big", signed=True) for h in s[0])).decode()
     lengths = set()
     for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
         t, after, half = t or "", after or "", len(t or "") // 2
@@ -704,6 +705,22 @@ def test_run_hashes_tell_runs_apart(spark):
         assert hashes[1][0] == hashes[2][0] == []
 
 
+def test_fingerprints_are_small(spark, sf):
+    """Both fingerprints of the given documents together take under half of the texts' characters."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = fingerprint.edited_pairs(docs)
+    taken, n_chars = out.agg(F.sum(F.length("fingerprint") + F.length("edited_fingerprint")), F.sum("n_chars")).first()
+    assert taken < n_chars / 2
+
+
+def test_long_texts_without_a_hash_in_the_fraction(spark):
+    none = "struct(cast(array() as array<long>) as hashes, {} as exact)"
+    pairs = [("false", "false", 1.0), ("true", "true", 1.0), ("true", "false", 0.0), ("false", "true", 0.0)]
+    for a, b, want in pairs:
+        got = spark.range(1).select(fingerprint.similarity(F.expr(none.format(a)), F.expr(none.format(b)))).first()[0]
+        assert got == want, (a, b)
+
+
 def test_fingerprints_estimate_similarity(spark):
     words = [f"w{k}" for k in range(6000)]
     pairs = spark.createDataFrame([(" ".join(words[:4000]), " ".join(words[2000:])), (" ".join(words[:300]), " ".join(words)), (" ".join(words[:40]), " ".join(words))], "a string, b string")
