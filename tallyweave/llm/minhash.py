@@ -42,7 +42,7 @@ ROWS = 2 * PERMUTATIONS // BANDS
 #: Nodes of a bucket that one task compares with each other.
 BLOCK = 1024
 #: Nodes of a hub that one task decides at once.
-HUB_BLOCK = 256
+HUB_BLOCK = 32
 #: Buckets that a node shares with its hub: of 32, a pair of similarity 0.8 shares 13 on average.
 SHARED = BANDS // 4
 _rng = np.random.default_rng(77)
