@@ -59,6 +59,9 @@ VERSIONS = (
 #: The latest version of each policy.
 POLICIES = {p.name: p for p in sorted(VERSIONS, key=lambda p: p.version)}
 
+#: All rules of the ledger, for ablations of it.
+EVERY_RULE = Policy("ledger", 1, tuple(RULES))
+
 
 def _repeated_words(hashes: Column, n_words: Column) -> Column:
     """Words covered by windows whose hash occurs twice or more."""
