@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyweave.functions.scalar import truncated
+from tallyweave.staging import bounded_batches, give_back
 
 CODE_TYPES = ("py", "sql", "md", "txt", "json", "yaml", "yml")
 SKIPPED = ("__pycache__", ".git", ".venv", "venv", "node_modules", ".idea", ".vscode", "build", "dist")
@@ -60,18 +62,23 @@ def embedded(chunks: DataFrame, encode, dimensions_type: str = "array<float>", m
     """chunks with `embedding` from encode(list of texts) -> list of vectors, and `embedding_error`; longer texts are cut
     with a marker.
 
-    A batch that fails leaves nulls and its error in its own rows, so vectors and chunks never shift against each other."""
+    A batch that fails leaves nulls and its error in its own rows, so vectors and chunks never shift against each other.
+    Texts go to Python by bytes, not by rows, and a worker's memory stays the same however many rows its task has."""
+    bounded_batches(chunks.sparkSession)
 
     @F.pandas_udf(f"embedding {dimensions_type}, error string")
-    def vectors(texts: pd.Series) -> pd.DataFrame:
-        out: list = []
-        for k in range(0, len(texts), batch):
-            part = list(texts.iloc[k : k + batch])
-            try:
-                out += [(v, None) for v in encode(part)]
-            except (OSError, ValueError, RuntimeError) as e:
-                out += [(None, repr(e))] * len(part)
-        return pd.DataFrame(out, columns=["embedding", "error"])
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out: list = []
+            for k in range(0, len(texts), batch):
+                part = list(texts.iloc[k : k + batch])
+                try:
+                    out += [(v, None) for v in encode(part)]
+                except (OSError, ValueError, RuntimeError) as e:
+                    out += [(None, repr(e))] * len(part)
+            yield pd.DataFrame(out, columns=["embedding", "error"])
+            del texts, out
+            give_back()
 
     made = chunks.withColumn("_made", vectors(truncated(F.coalesce("content", F.lit("")), most, "\n... [truncated]")))
     return made.select(*chunks.columns, F.col("_made.embedding").alias("embedding"), F.col("_made.error").alias("embedding_error"))
