@@ -3,8 +3,9 @@
 Time is cut into buckets of the mean length of the shorter side's intervals, or so long that a row is in COPIES buckets and
 two more on average. An interval is in each bucket that it touches, and a
 pair that shares several buckets is made in one of them, its owner: the bucket in which the later of the two begins. So
-the join is one of equal keys and buckets, with a residual test. A bucket of a key with more than HOT rows is split: rows of
-the left side are dealt to its parts, rows of the right side go to all of them.
+the join is one of equal keys and buckets, with a residual test. Buckets cover only the time in which pairs can begin, and rows
+outside it go nowhere. A bucket of a key with more than HOT rows of a side is split: the side's rows are dealt to parts, the
+other side's rows go to all of them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.staging import written
 
-#: Rows of the left side that one bucket of one key holds in one part.
+#: Rows of a side that one bucket of one key holds in one part.
 HOT = 4096
 #: Buckets of a row on average, besides those of its ends.
 COPIES = 8
@@ -49,27 +50,37 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], left_interval
             known = known & F.col(f"_by{k}").isNotNull()
         return rows.where(known)
 
-    sides = written(side(left, left_interval, "_row"), "intervals-left"), written(side(right, right_interval, "_other"), "intervals-right")
-    spans = [s.agg(F.min("_from"), F.max("_from"), F.max(F.when(F.col("_to") < FOREVER, F.col("_to")))).first() for s in sides]
+    sides = [written(side(left, left_interval, "_row"), "intervals-left"), written(side(right, right_interval, "_other"), "intervals-right")]
+    spans = [s.agg(F.min("_from"), F.max("_from"), F.max("_to")).first() for s in sides]
     keys = [f"_by{k}" for k in range(len(by))]
     made = [F.col("_row")[c].alias(c) for c in left.columns] + [F.col("_other")[c].alias(c) for c in right.columns if c not in by]
-    lows, tops = [s[0] for s in spans if s[0] is not None], [x for s in spans for x in s[1:3] if x is not None]
-    first, last = (min(lows), max(tops)) if lows else (0, 0)  # after `last` nothing begins or ends
+    known = [s for s in spans if s[0] is not None]
+    # The later begin of a pair is not before `first` nor after `last`; rows that do not reach there are in no pair.
+    first = max((s[0] for s in known), default=0)
+    last = min([max((s[1] for s in known), default=0), *(s[2] for s in known)])
+    sides = [s.where((F.col("_from") <= F.lit(last)) & (F.col("_to") >= F.lit(first))) for s in sides]
+    low, high = F.greatest("_from", F.lit(first)), F.least("_to", F.lit(last))
     if width is None:
-        lengths = [s.agg(F.sum((F.least("_to", F.lit(last)) - F.col("_from") + 1).cast("double")), F.count("*")).first() for s in sides]
+        lengths = [s.agg(F.sum((high - low + 1).cast("double")), F.count("*")).first() for s in sides]
         means = [total / n for total, n in lengths if n]
         width = max(min(means, default=1), sum(x[0] or 0 for x in lengths) / (COPIES * max(1, sum(x[1] for x in lengths))))
     width = max(1, round(width), -(-(last - first + 1) // MOST_BUCKETS))
+    place = lambda at: F.floor((at - F.lit(first)) / F.lit(width)).cast("long")
+    dealt = lambda rows: rows.withColumn("_bucket", F.explode(F.sequence(place(low), place(high))))
 
-    def dealt(rows: DataFrame) -> DataFrame:
-        place = lambda at: F.floor((at - F.lit(first)) / F.lit(width)).cast("long")
-        return rows.withColumn("_bucket", F.explode(F.sequence(place(F.col("_from")), place(F.least("_to", F.lit(last))))))
+    begun, other = (dealt(s.withColumn("_id", F.monotonically_increasing_id())) for s in sides)  # numbers in files
+    # Rows of both sides in each bucket that has more than `hot` of one of them: a grid of parts, of at most about `hot` rows of each side.
+    counted = [s.groupBy(*keys, "_bucket").agg(F.count("*").alias(name)) for s, name in ((begun, "_n"), (other, "_m"))]
+    parts = lambda n: F.ceil(F.col(n) / hot).cast("int")
+    crowded = counted[0].join(counted[1], [*keys, "_bucket"]).where((F.col("_n") > hot) | (F.col("_m") > hot)).select(*keys, "_bucket", parts("_n").alias("_parts"), parts("_m").alias("_parts2"))
+    crowded = written(crowded, "crowded")  # a row for each `hot` rows at most
 
-    begun, other = dealt(sides[0].withColumn("_id", F.monotonically_increasing_id())), dealt(sides[1])  # numbers in files
-    crowded = begun.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*keys, "_bucket", F.ceil(F.col("_n") / hot).cast("int").alias("_parts"))
-    crowded = written(crowded, "crowded")  # a row for each `hot` rows of the left side at most
-    begun = begun.join(crowded, [*keys, "_bucket"], "left").withColumn("_part", F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    other = other.join(crowded, [*keys, "_bucket"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts").withColumnsRenamed({"_from": "_from2", "_to": "_to2"})
-    owner = F.floor((F.greatest("_from", "_from2") - F.lit(first)) / F.lit(width)).cast("long")
-    pairs = begun.join(other, [*keys, "_bucket", "_part"]).where((F.col("_from") <= F.col("_to2")) & (F.col("_from2") <= F.col("_to")) & (F.col("_bucket") == owner))
+    def gridded(rows: DataFrame, own: str, all_of: str, names: tuple[str, str]) -> DataFrame:
+        """rows by a part of their own side, once for each part of the other side."""
+        rows = rows.join(crowded, [*keys, "_bucket"], "left").withColumn(names[0], F.pmod(F.xxhash64("_id"), F.coalesce(own, F.lit(1))).cast("int"))
+        return rows.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.coalesce(all_of, F.lit(1)) - 1))).drop("_parts", "_parts2", "_id")
+
+    begun = gridded(begun, "_parts", "_parts2", ("_part", "_part2"))
+    other = gridded(other, "_parts2", "_parts", ("_part2", "_part")).withColumnsRenamed({"_from": "_from2", "_to": "_to2"})
+    pairs = begun.join(other, [*keys, "_bucket", "_part", "_part2"]).where((F.col("_from") <= F.col("_to2")) & (F.col("_from2") <= F.col("_to")) & (F.col("_bucket") == place(F.greatest("_from", "_from2"))))
     return pairs.select(*made)
