@@ -1,5 +1,5 @@
-"""Queries over a relational server. An embedded database in the session's JVM stands in for it, so they are for sessions
-of one machine; `Relational` takes any server's options."""
+"""Queries over a relational server. An embedded database in the session's JVM stands in for it in sessions of one machine, a
+database file in the shared folder in others; `Relational` takes any server's options."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyweave.plans import views
 from tallyweave.plans.registry import query, rounded
 from tallyweave.plans.views import ctes, table
+from tallyweave.sources.fileserver import FileServer
 from tallyweave.sources.relational import Relational
 from tallyweave.sources.tables import Store
 
@@ -21,16 +22,21 @@ def embedded(spark: SparkSession) -> dict[str, str]:
     return {"url": f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
 
 
+def server(spark: SparkSession) -> Relational:
+    """A new and empty server that every task of the session reaches."""
+    return Relational(spark, embedded(spark)) if spark.sparkContext.master.split("[")[0] == "local" else FileServer(spark)
+
+
 LINES = ["l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_returnflag"]
 
 
 def served_lines(spark: SparkSession, sf: str) -> Relational:
     """lineitem on a server, loaded in one transaction."""
-    server, rows = Relational(spark, embedded(spark)), table(spark, sf, "lineitem").select(*LINES)
+    lines, rows = server(spark), table(spark, sf, "lineitem").select(*LINES)
     rows = rows.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
-    server.create("lines", rows, "l_returnflag varchar(1)")
-    server.append("lines", rows)
-    return server
+    lines.create("lines", rows, "l_returnflag varchar(1)")
+    lines.append("lines", rows)
+    return lines
 
 
 @query("select l_orderkey, l_linenumber, cast(l_shipdate as date) as l_shipdate, l_quantity from lineitem where cast(l_shipdate as date) between date '1994-01-01' and date '1996-06-30' and l_returnflag = 'R'")
@@ -49,7 +55,7 @@ def server_scan_by_key(spark: SparkSession, sf: str) -> DataFrame:
 
 def _served(spark: SparkSession, **tables: DataFrame) -> Store:
     """A store on a server with these tables."""
-    store = Store(spark, jdbc=embedded(spark), rows_a_part=1000)
+    store = Store(spark, server=server(spark), rows_a_part=1000)
     for name, rows in tables.items():
         text = ", ".join(f"{c} varchar(200)" for c, kind in rows.dtypes if kind == "string")
         store.server.create(store._on_server(name), rows, text or None)

@@ -83,6 +83,9 @@ def ranges(counts: list[tuple[int, int]], low, width, rows_a_part: int) -> list[
 class Relational:
     """A relational server. options: those of spark.read.format("jdbc"), url at least."""
 
+    #: Parts of a read at most, about; larger tables have larger parts.
+    most_parts = MOST_PARTS
+
     def __init__(self, spark: SparkSession, options: dict[str, str]):
         self.spark, self.options = spark, options
 
@@ -99,13 +102,25 @@ class Relational:
         """Rows of a small result, such as counts."""
         return with_retries(lambda: self._reader(f"({sql}) q").load().collect())
 
+    def _named(self, table: str) -> str:
+        """A table's name in SQL."""
+        return table
+
+    def _cell(self, split: str, low, width, bounds: list) -> str:
+        """The number of the range of a value, in SQL."""
+        return "case " + " ".join(f"when {split} < {literal(b)} then {c}" for c, b in enumerate(bounds)) + f" else {len(bounds)} end" if bounds else "0"
+
+    def _remainder(self, spread: str, pieces: int) -> str:
+        return f"mod(abs(coalesce({spread}, 0)), {pieces})"
+
     def predicates(self, table: str, split: str, spread: str | None = None, rows_a_part: int = ROWS_A_PART) -> list[str]:
         """Conditions of which each row of the table meets exactly one.
 
         spread: an integer column by whose remainder parts of too many rows are split again; nulls count as remainder 0."""
         names = self.names(table)
         split, spread = names[split.lower()], names[spread.lower()] if spread else None
-        low, high, rows, known = self.query(f"select min({split}) as lo, max({split}) as hi, count(*) as n, count({split}) as k from {table}")[0]
+        low, high, rows, known = self.query(f"select min({split}) as lo, max({split}) as hi, count(*) as n, count({split}) as k from {self._named(table)}")[0]
+        rows_a_part = max(rows_a_part, math.ceil(rows / self.most_parts))  # the work of the server is parts times rows where it has no index
         out = [(f"{split} is null", rows - known)] if rows > known else []
         if known:
             days = isinstance(low, dt.date)
@@ -113,15 +128,15 @@ class Relational:
             width = max(1, math.ceil((distance + 1) / CELLS)) if days or isinstance(low, int) else float(distance) / CELLS or 1.0
             bounds = [low + (dt.timedelta(days=width * c) if days else width * c) for c in range(1, CELLS)]
             bounds = [b for b in bounds if b <= high]
-            cell = "case " + " ".join(f"when {split} < {literal(b)} then {c}" for c, b in enumerate(bounds)) + f" else {len(bounds)} end" if bounds else "0"
-            counts = [(int(r[0]), int(r[1])) for r in self.query(f"select c, count(*) as n from (select {cell} as c from {table} where {split} is not null) x group by c")]
+            cell = self._cell(split, low, width, bounds)
+            counts = [(int(r[0]), int(r[1])) for r in self.query(f"select c, count(*) as n from (select {cell} as c from {self._named(table)} where {split} is not null) x group by c")]
             for a, b, n in ranges(counts, low, dt.timedelta(days=width) if days else width, rows_a_part):
                 tests = [f"{split} >= {literal(a)}"] * (a is not None) + [f"{split} < {literal(b)}"] * (b is not None)
                 out.append((" and ".join([*tests, f"{split} is not null"]), n))
         parts = []
         for test, n in out:
             pieces = min(MOST_PARTS, math.ceil(n / rows_a_part)) if spread else 1
-            parts += [test] if pieces <= 1 else [f"{test} and mod(abs(coalesce({spread}, 0)), {pieces}) = {k}" for k in range(pieces)]
+            parts += [test] if pieces <= 1 else [f"{test} and {self._remainder(spread, pieces)} = {k}" for k in range(pieces)]
         return parts or ["1 = 1"]
 
     def read(self, table: str, split: str | None = None, spread: str | None = None, rows_a_part: int = ROWS_A_PART) -> DataFrame:
@@ -186,4 +201,4 @@ class Relational:
     def replace(self, table: str, rows: DataFrame, by: str) -> None:
         """The rows of all values of `by` that rows has are replaced by rows; a null is a value like any other."""
         by = self.names(table)[by.lower()]
-        self._load(table, rows, lambda own: [f"delete from {table} where {by} in (select {by} from {own} where {by} is not null) or ({by} is null and exists (select 1 from {own} where {by} is null))"])
+        self._load(table, rows, lambda own: [f"delete from {self._named(table)} where {by} in (select {by} from {own} where {by} is not null) or ({by} is null and exists (select 1 from {own} where {by} is null))"])

@@ -23,12 +23,12 @@ SPLITS: dict[str, tuple[str | None, str | None]] = {
 
 
 class Store:
-    """The six tables by name: root, a folder of Parquet tables; or jdbc, the options of a relational server; else the
+    """The six tables by name: root, a folder of Parquet tables; or jdbc, the options of a relational server, or that server; else the
     session's catalog. Loads go to where the tables are read."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, jdbc: dict[str, str] | None = None, rows_a_part: int = ROWS_A_PART):
+    def __init__(self, spark: SparkSession, root: str | None = None, jdbc: dict[str, str] | None = None, rows_a_part: int = ROWS_A_PART, server: Relational | None = None):
         self.spark, self.root, self.rows_a_part = spark, root, rows_a_part
-        self.server = Relational(spark, jdbc) if jdbc is not None else None
+        self.server = Relational(spark, jdbc) if jdbc is not None else server
 
     def _on_server(self, name: str) -> str:
         return f"{'reference' if name == 'index_constituents' else 'dbo'}.{name}"
