@@ -1,18 +1,23 @@
-"""A relational database in one file of the shared folder (SQLite), with the reads and loads of `Relational`.
+"""A relational database in files of the shared folder (SQLite), with the reads and loads of `Relational`.
 
 It stands in for a server where a session has several machines: an embedded database of the driver's JVM is not there for
-executors, but the file is there for all tasks. Tasks write their rows into the load's own table, one task at a time, each in
-a transaction; the move to the target is one transaction, as on a server. Dates are stored as days since 1970-01-01 and come
-back as dates; columns are numbers, strings or dates. A read's split column gets an index, so a task reads its own part.
+executors, but files are there for all tasks. A table is in shards, files of about SHARD rows. A task of a load writes shards
+of its own, under new names in each attempt, so no task waits for another and a task that runs twice counts once; one
+transaction in the catalog file then names those of the attempts that ended well, and a load that fails names none. A read
+takes small shards together and splits large ones by predicates, each in the shard alone, on an index that the shard's own task
+makes: so the work on a shard does not depend on how many there are. A replacement writes anew only shards that hold one of
+its values; a table that was read before keeps the shards it had. Dates are stored as days since 1970-01-01 and come back as dates;
+columns are numbers, strings or dates.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sqlite3
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import closing
+from collections.abc import Iterator
+from contextlib import closing, suppress
 from itertools import islice
 
 import pyarrow as pa
@@ -21,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DateType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
-from tallyweave.sources.relational import ROWS_A_PART, WRITERS, Relational
-from tallyweave.staging import fresh_path, mapped, written
+from tallyweave.sources.relational import ROWS_A_PART, Relational
+from tallyweave.staging import fresh_path, mapped
 
-#: Seconds that a task waits for others that write, rows of one Arrow batch.
-WAIT, ROWS = 3600, 50_000
+#: Seconds that a reader waits for one that makes an index; rows of one Arrow batch, and of a shard.
+WAIT, ROWS, SHARD = 3600, 50_000, 250_000
+#: Shards of a task, each with its predicate.
+Part = list[tuple[str, str]]
 
 
 def _connected(path: str) -> sqlite3.Connection:
@@ -34,6 +41,43 @@ def _connected(path: str) -> sqlite3.Connection:
     return connection
 
 
+def _kind(field: StructField) -> str:
+    return "text" if isinstance(field.dataType, StringType) else "real" if isinstance(field.dataType, (DoubleType, FloatType)) else "integer"
+
+
+def _stored(schema: StructType) -> StructType:
+    return StructType([StructField(f.name, IntegerType() if isinstance(f.dataType, DateType) else f.dataType) for f in schema])
+
+
+class _Shard(Relational):
+    """One shard, inside a task."""
+
+    def __init__(self, path: str, columns: list[str]):
+        self.path, self.columns = path, columns
+
+    def _named(self, table: str) -> str:
+        return '"rows"'
+
+    def names(self, table: str) -> dict[str, str]:
+        return {c.lower(): f'"{c}"' for c in self.columns}
+
+    def query(self, sql: str) -> list:
+        with closing(_connected(self.path)) as connection:
+            return connection.execute(sql).fetchall()
+
+    def _cell(self, split: str, low, width, bounds: list) -> str:
+        return f"({split} - {low}) / {width}" if isinstance(low, int) else super()._cell(split, low, width, bounds)
+
+    def _remainder(self, spread: str, pieces: int) -> str:
+        return f"abs(coalesce({spread}, 0)) % {pieces}"
+
+    def parts(self, split: str, spread: str | None, rows_a_part: int) -> list[str]:
+        names = self.names("rows")
+        indexed = ", ".join(names[c.lower()] for c in (split, spread) if c)
+        self.query(f'create index if not exists "{split}_{spread}" on "rows" ({indexed})')
+        return self.predicates("rows", split, spread, rows_a_part)
+
+
 class FileServer(Relational):
     most_parts = 1024
 
@@ -44,19 +88,20 @@ class FileServer(Relational):
             raise ValueError(f"a database file needs a shared folder that is mounted, not {folder}")
         place = spark._jvm.org.apache.hadoop.fs.Path(folder)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
-        self.path, self.schemas = f"{place.toUri().getPath()}/db", {}
-
-    def _named(self, table: str) -> str:
-        return f'"{table}"'
+        self.folder, self.schemas = place.toUri().getPath(), {}
+        self.path = f"{self.folder}/db"
+        self.execute("create table shards (name text, file text, n integer)")
 
     def names(self, table: str) -> dict[str, str]:
         return {f.name.lower(): f'"{f.name}"' for f in self.schemas[table]}
 
     def query(self, sql: str) -> list:
+        """Of the catalog."""
         with closing(_connected(self.path)) as connection:
             return connection.execute(sql).fetchall()
 
     def execute(self, *statements: str) -> None:
+        """On the catalog, in one transaction."""
         with closing(_connected(self.path)) as connection:
             connection.execute("begin immediate")
             try:
@@ -69,60 +114,110 @@ class FileServer(Relational):
 
     def create(self, table: str, rows: DataFrame, types: str | None = None) -> None:
         """An empty table with the columns of rows; lengths in `types` mean nothing here."""
-        kind = lambda f: "text" if isinstance(f.dataType, StringType) else "real" if isinstance(f.dataType, (DoubleType, FloatType)) else "integer"
-        self.execute(f"create table {self._named(table)} (" + ", ".join(f'"{f.name}" {kind(f)}' for f in rows.schema) + ")")
+        if table in self.schemas:
+            raise ValueError(f"table {table} is there already")
         self.schemas[table] = rows.schema
 
-    def _cell(self, split: str, low, width, bounds: list) -> str:
-        return f"({split} - {low}) / {width}" if isinstance(low, int) else super()._cell(split, low, width, bounds)
+    def shards(self, table: str) -> list[tuple[str, int]]:
+        """Files of a table and their rows."""
+        name = table.replace("'", "''")
+        return self.query(f"select file, n from shards where name = '{name}' order by rowid")
 
-    def _remainder(self, spread: str, pieces: int) -> str:
-        return f"abs(coalesce({spread}, 0)) % {pieces}"
+    def _rows(self, table: str, parts: list[Part], number: bool = False) -> DataFrame:
+        """Rows of the parts, one task each; number: each with the number of its part."""
+        schema = self.schemas[table]
+        stored = _stored(schema) if not number else _stored(schema).add("load_part", "integer")
+        arrow, select = to_arrow_schema(stored), f"select {', '.join(self.names(table).values())}"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in batch.column(0).to_pylist():
+                    for file, test in parts[part]:
+                        with closing(_connected(file)) as connection:
+                            found = connection.execute(f'{select}{f", {part}" if number else ""} from "rows" where {test}')
+                            while rows := list(islice(found, ROWS)):
+                                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+        rows = mapped(self.spark.range(0, len(parts), 1, max(1, len(parts))), run, stored)
+        return rows.select(*[F.date_from_unix_date(f.name).alias(f.name) if isinstance(f.dataType, DateType) else F.col(f.name) for f in schema], *["load_part"] * number)
 
     def read(self, table: str, split: str | None = None, spread: str | None = None, rows_a_part: int = ROWS_A_PART) -> DataFrame:
-        schema, parts, path = self.schemas[table], ["1 = 1"], self.path
-        if split is not None:
-            names = self.names(table)
-            indexed = ", ".join(names[c.lower()] for c in (split, spread) if c)
-            self.execute(f'create index if not exists "{table}_{split}_{spread}" on {self._named(table)} ({indexed})')
-            parts = self.predicates(table, split, spread, rows_a_part)
-        stored = StructType([StructField(f.name, IntegerType() if isinstance(f.dataType, DateType) else f.dataType) for f in schema])
-        arrow, select = to_arrow_schema(stored), f"select {', '.join(self.names(table).values())} from {self._named(table)} where "
+        shards, columns = self.shards(table), self.schemas[table].names
+        rows_a_part = max(rows_a_part, math.ceil(sum(n for _, n in shards) / self.most_parts))
+        large = [file for file, n in shards if split is not None and n > rows_a_part]
+        apart, held = {*large}, rows_a_part
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            with closing(_connected(path)) as connection:
-                for batch in batches:
-                    for part in batch.column(0).to_pylist():
-                        found = connection.execute(select + parts[part])
-                        while rows := list(islice(found, ROWS)):
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-
-        rows = mapped(self.spark.range(0, len(parts), 1, len(parts)), run, stored)
-        return rows.select(*[F.date_from_unix_date(f.name).alias(f.name) if isinstance(f.dataType, DateType) else F.col(f.name) for f in schema])
-
-    def _load(self, table: str, rows: DataFrame, before: Callable[[str], list[str]]) -> None:
-        held = written(rows, "load").withColumn("load_row", F.monotonically_increasing_id())  # of files, so each attempt numbers alike
-        held = held.select(*[F.unix_date(f.name).alias(f.name) if isinstance(f.dataType, DateType) else F.col(f.name) for f in held.schema])
-        names, path = self.names(table), self.path
-        columns = ", ".join(names[c.lower()] for c in rows.columns)
-        own = f'"{table}_load_{uuid.uuid4().hex[:12]}"'
-        insert = f"insert into {own} ({columns}, load_row) values ({', '.join('?' * len(held.columns))})"
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    tests = _Shard(large[k], columns).parts(split, spread, rows_a_part)
+                    yield pa.RecordBatch.from_arrays([pa.array([large[k]] * len(tests)), pa.array(tests)], names=["file", "test"])
+
+        parts: list[Part] = []
+        if large:
+            parts = [[(r["file"], r["test"])] for r in mapped(self.spark.range(0, len(large), 1, len(large)), run, "file string, test string").collect()]
+        for file, n in shards:
+            if file not in apart:
+                if held + n > rows_a_part:
+                    parts.append([])
+                    held = 0
+                parts[-1].append((file, "1 = 1"))
+                held += n
+        return self._rows(table, parts)
+
+    def _written(self, table: str, rows: DataFrame) -> list[tuple[str, int]]:
+        """New shards with the rows, which no table has yet."""
+        held = rows.select(*[F.unix_date(f.name).alias(f.name) if isinstance(f.dataType, DateType) else F.col(f.name) for f in rows.schema])
+        names, folder = self.names(table), self.folder
+        create = 'create table "rows" (' + ", ".join(f'"{f.name}" {_kind(f)}' for f in self.schemas[table]) + ")"
+        insert = f'insert into "rows" ({", ".join(names[c.lower()] for c in rows.columns)}) values ({", ".join("?" * len(rows.columns))})'
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            with closing(_connected(path)) as connection:
-                connection.execute("begin immediate")
-                n = 0
-                for batch in batches:
-                    connection.executemany(insert, zip(*(c.to_pylist() for c in batch.columns)))
-                    n += batch.num_rows
-                connection.execute("commit")  # a task that fails closes without it, and has written nothing
-            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
-
-        self.execute(f"create table {own} as select {columns}, 0 as load_row from {self._named(table)} where 1 = 0")
-        try:
-            mapped(held.coalesce(WRITERS), run, "n long").agg(F.sum("n")).collect()
-            rows_, numbers = self.query(f"select count(*), count(distinct load_row) from {own}")[0]
-            again = f"(select distinct load_row, {columns} from {own}) x" if rows_ > numbers else own
-            self.execute(*before(own), f"insert into {self._named(table)} ({columns}) select {columns} from {again}")
-        finally:
-            self.execute(f"drop table {own}")
+            made: list[tuple[str, int]] = []
+            more = True
+            try:
+                while more:
+                    more, file, n = False, f"{folder}/{uuid.uuid4().hex}", 0
+                    for batch in batches:
+                        if not batch.num_rows:
+                            continue
+                        if not n:
+                            made.append((file, 0))
+                            connection = _connected(file)
+                            connection.execute("pragma journal_mode = off")  # none reads the file before it is whole
+                            connection.execute(create)
+                            connection.execute("begin")
+                        connection.executemany(insert, zip(*(c.to_pylist() for c in batch.columns)))
+                        n += batch.num_rows
+                        if more := n >= SHARD:
+                            break
+                    if n:
+                        connection.execute("commit")
+                        connection.close()
+                        made[-1] = (file, n)
+            except BaseException:
+                for file, _ in made:
+                    with suppress(OSError):
+                        os.remove(file)
+                raise
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], names=["file", "n"])
+
+        return [tuple(r) for r in mapped(held, run, "file string, n long").collect()]
+
+    def _named_by(self, table: str, shards: list[tuple[str, int]]) -> list[str]:
+        name = table.replace("'", "''")
+        return [f"insert into shards values ('{name}', '{file}', {n})" for file, n in shards]
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        self.execute(*self._named_by(table, self._written(table, rows)))
+
+    def replace(self, table: str, rows: DataFrame, by: str) -> None:
+        """The rows of all values of `by` that rows has are replaced by rows; a null is a value like any other."""
+        by, old = self.names(table)[by.lower()].strip('"'), self.shards(table)
+        new = self._written(table, rows)
+        values = self._rows(table, [[(file, "1 = 1")] for file, _ in new]).select(F.col(by).alias("value")).distinct()
+        same = F.col(by).eqNullSafe(F.col("value"))
+        found = self._rows(table, [[(file, "1 = 1")] for file, _ in old], number=True).select(by, "load_part").distinct().join(values, same, "left_semi").select("load_part").distinct().collect()
+        touched = [old[r["load_part"]][0] for r in found]
+        kept = self._written(table, self._rows(table, [[(file, "1 = 1")] for file in touched]).join(values, same, "left_anti")) if touched else []
+        self.execute(*[f"delete from shards where file = '{file}'" for file in touched], *self._named_by(table, kept + new))

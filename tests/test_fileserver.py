@@ -70,3 +70,29 @@ def test_executors_reach_the_server(tmp_path, duck, sf):
     run = subprocess.run([sys.executable, "-c", CLUSTER % tmp_path], env=env | {"PYTHONPATH": root, "SPARK_LOCAL_DIRS": str(tmp_path)}, cwd=tmp_path, capture_output=True, text=True, timeout=300)
     want = [f"{n} {len(duck.sql(__spark_entry__.oracle_sql()[n]).fetchall())}" for n in ("server_holdings", "server_scan_by_key")]
     assert [x for x in run.stdout.splitlines() if x.startswith("server_")] == want, run.stderr[-2000:]
+
+
+def test_tasks_of_a_load_write_files_of_their_own(spark):
+    server, df = FileServer(spark), spark.createDataFrame(ROWS, SCHEMA).repartition(4)
+    server.create("t", df)
+    server.append("t", df)
+    files = [x for x in Path(server.path).parent.iterdir() if x.name != "db"]
+    assert len(files) == 4 and sum(n for _, n in server.shards("t")) == len(ROWS)
+    before = server.read("t", "d", "k", 50)
+    server.append("t", spark.createDataFrame([(7, D[0], 1.0, "z")], SCHEMA).coalesce(1))
+    server.replace("t", spark.createDataFrame([(8, dt.date(1960, 2, 29), 1.0, "y")], SCHEMA).coalesce(1), "d")
+    assert sum(Path(f) in files for f, _ in server.shards("t")) == 3  # the one with that day is written anew
+    assert sorted(map(tuple, server.read("t", "d", "k", 50).collect()), key=repr) == sorted([r for r in ROWS if r[1] != dt.date(1960, 2, 29)] + [(7, D[0], 1.0, "z"), (8, dt.date(1960, 2, 29), 1.0, "y")], key=repr)
+    assert sorted(map(tuple, before.collect()), key=repr) == sorted(ROWS, key=repr)
+    with pytest.raises(ValueError):
+        server.create("t", df)
+
+
+def test_queries_on_files_equal_their_sql(spark, duck, sf, monkeypatch):
+    import __spark_entry__
+    from tallyweave.plans import served as plans
+    from tests.compare import same
+
+    monkeypatch.setattr(plans, "server", FileServer)
+    for name in ("server_scan", "server_scan_by_key", "server_store", "server_holdings"):
+        same(__spark_entry__.queries()[name](spark, sf), duck.sql(__spark_entry__.oracle_sql()[name]))
