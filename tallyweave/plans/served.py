@@ -3,6 +3,7 @@ database file in the shared folder in others; `Relational` takes any server's op
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,14 +43,14 @@ def served_lines(spark: SparkSession, sf: str) -> Relational:
 @query("select l_orderkey, l_linenumber, cast(l_shipdate as date) as l_shipdate, l_quantity from lineitem where cast(l_shipdate as date) between date '1994-01-01' and date '1996-06-30' and l_returnflag = 'R'")
 def server_scan(spark: SparkSession, sf: str) -> DataFrame:
     """A scan by several tasks, split by date; filters and columns are in each task's query."""
-    lines = served_lines(spark, sf).read("lines", "l_shipdate", "l_orderkey", rows_a_part=2000)
-    return lines.where("l_shipdate between date '1994-01-01' and date '1996-06-30' and l_returnflag = 'R'").select(*LINES[:4])
+    between = {"l_shipdate": (dt.date(1994, 1, 1), dt.date(1996, 6, 30)), "l_returnflag": ("R", "R")}
+    return served_lines(spark, sf).read("lines", "l_shipdate", "l_orderkey", rows_a_part=2000, columns=LINES[:4], between=between)
 
 
 @query("select l_returnflag, count(*) as n, cast(sum(l_orderkey) as bigint) as orders from lineitem group by l_returnflag")
 def server_scan_by_key(spark: SparkSession, sf: str) -> DataFrame:
     """A split by a number with few values, whose large parts are split again by the order's remainder."""
-    lines = served_lines(spark, sf).read("lines", "l_linenumber", "l_orderkey", rows_a_part=1500)
+    lines = served_lines(spark, sf).read("lines", "l_linenumber", "l_orderkey", rows_a_part=1500, columns=["l_returnflag", "l_orderkey"])
     return lines.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders"))
 
 

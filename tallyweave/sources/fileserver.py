@@ -5,13 +5,14 @@ executors, but files are there for all tasks. A table is in shards, files of abo
 of its own, under new names in each attempt, so no task waits for another and a task that runs twice counts once; one
 transaction in the catalog file then names those of the attempts that ended well, and a load that fails names none. A read
 takes small shards together and splits large ones by predicates, each in the shard alone, on an index that the shard's own task
-makes: so the work on a shard does not depend on how many there are. A replacement writes anew only shards that hold one of
+makes: so the work on a shard does not depend on how many there are. Columns and ranges that a read names are in its queries. A replacement writes anew only shards that hold one of
 its values; a table that was read before keeps the shards it had. Dates are stored as days since 1970-01-01 and come back as dates;
 columns are numbers, strings or dates.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import os
 import sqlite3
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DateType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
-from tallyweave.sources.relational import ROWS_A_PART, Relational
+from tallyweave.sources.relational import ROWS_A_PART, Between, Relational
 from tallyweave.staging import fresh_path, mapped
 
 #: Seconds that a reader waits for one that makes an index; rows of one Arrow batch, and of a shard.
@@ -123,26 +124,29 @@ class FileServer(Relational):
         name = table.replace("'", "''")
         return self.query(f"select file, n from shards where name = '{name}' order by rowid")
 
-    def _rows(self, table: str, parts: list[Part], number: bool = False) -> DataFrame:
+    def _rows(self, table: str, parts: list[Part], number: bool = False, columns: list[str] | None = None, between: Between | None = None) -> DataFrame:
         """Rows of the parts, one task each; number: each with the number of its part."""
-        schema = self.schemas[table]
+        names, whole = self.names(table), self.schemas[table]
+        schema = whole if columns is None else StructType([StructField(c, next(f.dataType for f in whole if f.name.lower() == c.lower())) for c in columns])
         stored = _stored(schema) if not number else _stored(schema).add("load_part", "integer")
-        arrow, select = to_arrow_schema(stored), f"select {', '.join(self.names(table).values())}"
+        arrow, select = to_arrow_schema(stored), f"select {', '.join(names[f.name.lower()] for f in schema)}"
+        tests = "".join(f" and {names[c.lower()]} between ? and ?" for c in between or {})
+        ends = [(x - dt.date(1970, 1, 1)).days if isinstance(x, dt.date) else x for pair in (between or {}).values() for x in pair]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in batch.column(0).to_pylist():
                     for file, test in parts[part]:
                         with closing(_connected(file)) as connection:
-                            found = connection.execute(f'{select}{f", {part}" if number else ""} from "rows" where {test}')
+                            found = connection.execute(f'{select}{f", {part}" if number else ""} from "rows" where {test}{tests}', ends)
                             while rows := list(islice(found, ROWS)):
                                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
         rows = mapped(self.spark.range(0, len(parts), 1, max(1, len(parts))), run, stored)
         return rows.select(*[F.date_from_unix_date(f.name).alias(f.name) if isinstance(f.dataType, DateType) else F.col(f.name) for f in schema], *["load_part"] * number)
 
-    def read(self, table: str, split: str | None = None, spread: str | None = None, rows_a_part: int = ROWS_A_PART) -> DataFrame:
-        shards, columns = self.shards(table), self.schemas[table].names
+    def read(self, table: str, split: str | None = None, spread: str | None = None, rows_a_part: int = ROWS_A_PART, columns: list[str] | None = None, between: Between | None = None) -> DataFrame:
+        shards, known = self.shards(table), self.schemas[table].names
         rows_a_part = max(rows_a_part, math.ceil(sum(n for _, n in shards) / self.most_parts))
         large = [file for file, n in shards if split is not None and n > rows_a_part]
         apart, held = {*large}, rows_a_part
@@ -150,7 +154,7 @@ class FileServer(Relational):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in batch.column(0).to_pylist():
-                    tests = _Shard(large[k], columns).parts(split, spread, rows_a_part)
+                    tests = _Shard(large[k], known).parts(split, spread, rows_a_part)
                     yield pa.RecordBatch.from_arrays([pa.array([large[k]] * len(tests)), pa.array(tests)], names=["file", "test"])
 
         parts: list[Part] = []
@@ -163,7 +167,7 @@ class FileServer(Relational):
                     held = 0
                 parts[-1].append((file, "1 = 1"))
                 held += n
-        return self._rows(table, parts)
+        return self._rows(table, parts, columns=columns, between=between)
 
     def _written(self, table: str, rows: DataFrame) -> list[tuple[str, int]]:
         """New shards with the rows, which no table has yet."""
@@ -215,9 +219,9 @@ class FileServer(Relational):
         """The rows of all values of `by` that rows has are replaced by rows; a null is a value like any other."""
         by, old = self.names(table)[by.lower()].strip('"'), self.shards(table)
         new = self._written(table, rows)
-        values = self._rows(table, [[(file, "1 = 1")] for file, _ in new]).select(F.col(by).alias("value")).distinct()
+        values = self._rows(table, [[(file, "1 = 1")] for file, _ in new], columns=[by]).select(F.col(by).alias("value")).distinct()
         same = F.col(by).eqNullSafe(F.col("value"))
-        found = self._rows(table, [[(file, "1 = 1")] for file, _ in old], number=True).select(by, "load_part").distinct().join(values, same, "left_semi").select("load_part").distinct().collect()
+        found = self._rows(table, [[(file, "1 = 1")] for file, _ in old], number=True, columns=[by]).distinct().join(values, same, "left_semi").select("load_part").distinct().collect()
         touched = [old[r["load_part"]][0] for r in found]
         kept = self._written(table, self._rows(table, [[(file, "1 = 1")] for file in touched]).join(values, same, "left_anti")) if touched else []
         self.execute(*[f"delete from shards where file = '{file}'" for file in touched], *self._named_by(table, kept + new))

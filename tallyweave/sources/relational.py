@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tallyweave.staging import written
 
 T = TypeVar("T")
+#: Least and greatest value by column.
+Between = dict[str, tuple[object, object]]
 
 CELLS, ROWS_A_PART, MOST_PARTS, WRITERS = 256, 1_000_000, 4096, 8
 #: SQLSTATE class of connection errors, and Java errors of a lost or refused connection.
@@ -139,13 +141,19 @@ class Relational:
             parts += [test] if pieces <= 1 else [f"{test} and {self._remainder(spread, pieces)} = {k}" for k in range(pieces)]
         return parts or ["1 = 1"]
 
-    def read(self, table: str, split: str | None = None, spread: str | None = None, rows_a_part: int = ROWS_A_PART) -> DataFrame:
-        """A table, by as many tasks as `predicates` says; without a split column by one."""
+    def read(self, table: str, split: str | None = None, spread: str | None = None, rows_a_part: int = ROWS_A_PART, columns: list[str] | None = None, between: Between | None = None) -> DataFrame:
+        """A table, by as many tasks as `predicates` says; without a split column by one.
+
+        columns, between: only these columns, and rows with values in these ranges, ends included; they are in each task's query."""
         if split is None:
-            return with_retries(self._reader(table).load)
-        parts = self.predicates(table, split, spread, rows_a_part)
-        other = {k: v for k, v in self.options.items() if k != "url"}
-        return with_retries(lambda: self.spark.read.jdbc(self.options["url"], table, predicates=parts, properties=other))
+            rows = with_retries(self._reader(table).load)
+        else:
+            parts = self.predicates(table, split, spread, rows_a_part)
+            other = {k: v for k, v in self.options.items() if k != "url"}
+            rows = with_retries(lambda: self.spark.read.jdbc(self.options["url"], table, predicates=parts, properties=other))
+        for c, (low, high) in (between or {}).items():
+            rows = rows.where(F.col(c).between(F.lit(low), F.lit(high)))
+        return rows if columns is None else rows.select(*columns)
 
     @contextmanager
     def _connection(self):

@@ -96,3 +96,12 @@ def test_queries_on_files_equal_their_sql(spark, duck, sf, monkeypatch):
     monkeypatch.setattr(plans, "server", FileServer)
     for name in ("server_scan", "server_scan_by_key", "server_store", "server_holdings"):
         same(__spark_entry__.queries()[name](spark, sf), duck.sql(__spark_entry__.oracle_sql()[name]))
+
+
+def test_columns_and_ranges_are_in_the_queries_of_tasks(spark, monkeypatch):
+    server = served(spark, ROWS)
+    for split in (None, "d"):
+        found = server.read("dbo.t", split, "k", 100, columns=["s", "K"], between={"d": (D[3], D[90]), "s": ("a", "a")})
+        want = [(r[3], r[0]) for r in ROWS if r[1] is not None and D[3] <= r[1] <= D[90] and r[3] == "a"]
+        assert found.columns == ["s", "K"] and sorted(map(tuple, found.collect())) == sorted(want) and want
+        assert "Filter" not in found._jdf.queryExecution().executedPlan().toString()
